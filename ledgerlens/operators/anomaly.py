@@ -152,7 +152,7 @@ def fit_forest(features: DataFrame, seed: int, trees: int = 200, sample: int = 2
     chosen = chosen.withColumn("pick", share(F.col("txn_id"), F.col("tree")))
     limit = int(np.ceil(np.log2(max(size, 2))))
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(key[0])
         pdf = pdf.sort_values(["pick", "txn_id"]).head(size)
         nodes = _grow(np.array(pdf["x"].tolist(), dtype=float), np.random.default_rng([seed, tree]), limit)

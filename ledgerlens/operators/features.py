@@ -180,8 +180,9 @@ def _customer_windows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
         return F.col(f"{weight}_1") - F.col(f"{weight}_{span + 1}")
 
     columns = {f"cnt_{name}": within("_n", span).cast("double") for name, span in VELOCITY.items()}
-    for name in ("1h", "24h", "7d"):  # an empty window is exactly 0, not a rounding residue
-        columns[f"sum_{name}"] = F.when(within("_n", VELOCITY[name]) > 0, within("_amt", VELOCITY[name])).otherwise(0.0)
+    for name in ("1h", "24h", "7d"):  # rounding removes the residue of the difference: equal windows, equal sums
+        total = F.round(within("_amt", VELOCITY[name]), 6)
+        columns[f"sum_{name}"] = F.when(within("_n", VELOCITY[name]) > 0, total).otherwise(0.0)
     out = series.where("_own").withColumns({
         **columns,
         "small_cnt_30m": within("_small", 1800).cast("double"),

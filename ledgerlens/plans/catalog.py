@@ -79,8 +79,8 @@ def valid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).where(F.col("split") == "valid")
 
 
-def rounded(df: DataFrame, columns: Sequence[str], digits: int = 4) -> DataFrame:
-    return df.withColumns({c: F.round(F.col(c).cast("double"), digits) for c in columns})
+def rounded(df: DataFrame, columns: Sequence[str], digits: int | None = None) -> DataFrame:
+    return df.withColumns({c: F.round(F.col(c).cast("double"), digits or oracle.digits_of(c)) for c in columns})
 
 
 # ================================================================================== sources and sinks
@@ -687,9 +687,9 @@ def _cost_select(a: str) -> str:
  sum(CASE WHEN is_fraud=1 AND {a} THEN amount ELSE 0 END) AS fraud_prevented FROM te"""
 
 
-@query("ev3_business_cost", oracle.scored(f"SELECT {oracle.rounded(_COST_COLS)} FROM (SELECT *, review_cost + friction_cost + missed_fraud_cost AS total_cost FROM ({_cost_select('alert')}))"))
+@query("ev3_business_cost", oracle.scored(f"SELECT {oracle.rounded(_COST_COLS, 4)} FROM (SELECT *, review_cost + friction_cost + missed_fraud_cost AS total_cost FROM ({_cost_select('alert')}))"))
 def _(spark, sf):
-    return rounded(evaluation.business_cost(test_rows(spark, sf), alert()), _COST_COLS)
+    return rounded(evaluation.business_cost(test_rows(spark, sf), alert()), _COST_COLS, 4)
 
 
 def _curve_ctes(source: str, score: str, points: int, high: float) -> str:
@@ -707,7 +707,7 @@ cc AS (SELECT threshold, alerts, tp, tp / p AS recall, alerts*6.0 + (alerts-tp)*
                                               _curve_ctes("va", "score_z", 400, 0.9999)))
 def _(spark, sf):
     out = evaluation.threshold_by_cost(valid_rows(spark, sf), "score_z")
-    return rounded(rounded(out, ["threshold"], 6), ["cost"])
+    return rounded(rounded(out, ["threshold"], 6), ["cost"], 4)
 
 
 @query("ev5_threshold_by_precision", oracle.scored("""SELECT round(coalesce(min(CASE WHEN tp / alerts >= 0.2 AND alerts >= 20 THEN score END), CAST('inf' AS DOUBLE)), 6) AS threshold FROM c""",
@@ -723,7 +723,7 @@ def _(spark, sf):
                                                _curve_ctes("va", "score_rules", 400, 0.9999) + "," + oracle.ranking("va", "score_rules")))
 def _(spark, sf):
     out = evaluation.operating_thresholds(valid_rows(spark, sf), "score_rules")
-    return rounded(rounded(out, ["review", "block"], 6), ["valid_cost"])
+    return rounded(rounded(out, ["review", "block"], 6), ["valid_cost"], 4)
 
 
 _LOAD = ["alerts_per_day", "review_hours_per_day", "analysts_needed"]
@@ -804,10 +804,10 @@ _POLICY = " UNION ALL ".join(f"SELECT '{n}' AS policy, *, review_cost + friction
                              for n, a in [("model", "alert"), ("no_model", "false"), ("alert_everything", "true")])
 
 
-@query("ev15_cost_comparison", oracle.scored(f"""SELECT policy, {oracle.rounded(_COST_COLS)}, round(none - total_cost, 4) AS saving_vs_no_model, round(100*(1 - total_cost/none), 4) AS saving_pct
+@query("ev15_cost_comparison", oracle.scored(f"""SELECT policy, {oracle.rounded(_COST_COLS, 4)}, round(none - total_cost, 4) AS saving_vs_no_model, round(100*(1 - total_cost/none), 4) AS saving_pct
  FROM pol, (SELECT total_cost AS none FROM pol WHERE policy = 'no_model')""", f"pol AS ({_POLICY})"))
 def _(spark, sf):
-    return rounded(evaluation.cost_comparison(test_rows(spark, sf), alert()), [*_COST_COLS, "saving_vs_no_model", "saving_pct"])
+    return rounded(evaluation.cost_comparison(test_rows(spark, sf), alert()), [*_COST_COLS, "saving_vs_no_model", "saving_pct"], 4)
 
 
 @query("ev16_recall_by_pattern", oracle.scored("""SELECT true_pattern, count(*) AS n, round(count(CASE WHEN score_z >= 2 THEN 1 END) / count(*), 6) AS recall, round(avg(score_z), 5) AS mean_score
@@ -841,7 +841,7 @@ def _(spark, sf):
     days = rows.agg(F.countDistinct("day").alias("_days"))
     curve = evaluation.cost_curve(rows, "score_z", points=120, high=0.9995).crossJoin(F.broadcast(days))
     load = evaluation.workload(F.col("alerts"), F.col("_days"))["analysts_needed"]
-    return rounded(rounded(curve.withColumn("analysts", load), ["threshold", "analysts", "recall"], 6), ["total_cost"]).select(
+    return rounded(rounded(curve.withColumn("analysts", load), ["threshold", "analysts", "recall"], 6), ["total_cost"], 4).select(
         "threshold", "total_cost", "analysts", "recall")
 
 
@@ -854,7 +854,7 @@ _DIMS = {"segment": "segment", "channel": "channel", "category": "category", "am
  round(100.0*count(CASE WHEN alert THEN 1 END)/(SELECT greatest(count(*), 1) FROM te WHERE alert AND is_fraud=0), 4) AS share_of_fps_pct
  FROM ({" UNION ALL ".join(f"SELECT '{d}' AS dim, {c} AS value, alert FROM te WHERE is_fraud=0" for d, c in _DIMS.items())}) WHERE value IS NOT NULL GROUP BY dim, value"""))
 def _(spark, sf):
-    return rounded(breakdown.false_positive_rates(test_rows(spark, sf), alert()), ["fp_rate_pct", "share_of_fps_pct"])
+    return rounded(breakdown.false_positive_rates(test_rows(spark, sf), alert()), ["fp_rate_pct", "share_of_fps_pct"], 4)
 
 
 _FPC = "fpc AS (SELECT customer_id, count(*) AS n FROM te WHERE alert AND is_fraud=0 GROUP BY customer_id)"
@@ -863,7 +863,7 @@ _FPC = "fpc AS (SELECT customer_id, count(*) AS n FROM te WHERE alert AND is_fra
 @query("br2_fp_concentration", oracle.scored("""SELECT CAST(sum(n) AS BIGINT) AS n_false_positives, count(*) AS customers_with_fp,
  round(100.0*sum(CASE WHEN n >= 3 THEN n ELSE 0 END)/sum(n), 4) AS pct_fps_from_customers_with_3plus FROM fpc""", _FPC))
 def _(spark, sf):
-    return rounded(breakdown.false_positive_concentration(test_rows(spark, sf), alert()), ["pct_fps_from_customers_with_3plus"])
+    return rounded(breakdown.false_positive_concentration(test_rows(spark, sf), alert()), ["pct_fps_from_customers_with_3plus"], 4)
 
 
 @query("br2_top_fp_customers", oracle.scored("SELECT customer_id, n AS false_positives FROM fpc ORDER BY n DESC, customer_id LIMIT 5", _FPC))
@@ -925,11 +925,11 @@ def _(spark, sf):
 
 
 @query("md8_baseline_values", oracle.scored(" UNION ALL ".join(
-    f"SELECT '{f}' AS feature, round(coalesce(median(CAST({f} AS DOUBLE)), 0), 4) AS baseline FROM tr WHERE is_fraud = 0" for f in FEATURES)))
+    f"SELECT '{f}' AS feature, round(coalesce(median(CAST({f} AS DOUBLE)), 0), 6) AS baseline FROM tr WHERE is_fraud = 0" for f in FEATURES)))
 def _(spark, sf):
     from ledgerlens.plans.training import baseline_table
 
-    return rounded(baseline_table(train_rows(spark, sf)), ["baseline"])
+    return rounded(baseline_table(train_rows(spark, sf)), ["baseline"], 6)
 
 
 # ============================================================================================ monitoring
@@ -1076,3 +1076,248 @@ def _(spark, sf):
 def _(spark, sf):
     s = star(spark, sf)
     return quality.leakage_audit(s, DELAY, quality.last_cut(s.transactions), SETTINGS.skew)
+
+
+# =============================================================================== models, reasons, backtest
+def _trained(spark, sf):
+    """One model per application; fewer boosting rounds than in production keep the check short."""
+    from dataclasses import replace
+
+    from ledgerlens.plans.training import train_all
+
+    key = (spark.sparkContext.applicationId, sf, "trained")
+    if key not in _tables:
+        light = replace(SETTINGS, training=replace(SETTINGS.training, boosting_rounds=15, forest_trees=50, logistic_iterations=100))
+        _tables[key] = train_all(feature_table(spark, sf), light)
+    return _tables[key]
+
+
+def _model_scores(spark, sf, column):
+    return _trained(spark, sf).scored.select("txn_id", "split", F.round(column, 6).alias(column))
+
+
+@query("md1_logistic_regression")
+def _(spark, sf):
+    return _model_scores(spark, sf, "score_logreg")
+
+
+@query("md2_boosted_trees")
+def _(spark, sf):
+    return _model_scores(spark, sf, "score_boosted")
+
+
+@query("md3_platt_calibration")
+def _(spark, sf):
+    return _model_scores(spark, sf, "p_model")
+
+
+@query("md4_train_and_select")
+def _(spark, sf):
+    """Every method on the same validation and test rows."""
+    from ledgerlens.plans.training import SCORES
+
+    t = _trained(spark, sf)
+    return rounded(evaluation.method_comparison(t.scored, {**SCORES, "calibrated": "p_model"}, 200, ["split"]),
+                   [*_RKC, "precision_at_budget", "recall_at_budget"], 6)
+
+
+@query("md5_score_record")
+def _(spark, sf):
+    return _trained(spark, sf).scored.select("txn_id", F.round("p_model", 6).alias("p_model"), "band")
+
+
+@query("snk6_model_roundtrip")
+def _(spark, sf):
+    """Saves the model, loads it and counts the test rows on which both disagree (none)."""
+    from ledgerlens.plans.training import RiskModel
+
+    t = _trained(spark, sf)
+    t.model.save(f"{workspace(spark)}/model")
+    again = RiskModel.load(f"{workspace(spark)}/model")
+    rows = feature_table(spark, sf).where(F.col("split") == "test")
+    both = again.predict(rows).select("txn_id", F.col("p_model").alias("p2")).join(t.scored.select("txn_id", "p_model"), "txn_id")
+    return both.agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("p2") - F.col("p_model")) > 1e-9, 1)).alias("different"))
+
+
+def _explained(spark, sf):
+    from ledgerlens.operators.explain import with_reasons
+
+    t = _trained(spark, sf)
+    rows = t.scored.where(F.col("split") == "test")
+    return with_reasons(t.model, rows, F.col("p_model") >= t.model.review)
+
+
+@query("ex1_group_contributions")
+def _(spark, sf):
+    from ledgerlens.operators.explain import FEATURE_GROUPS, drop_column, group_contributions
+
+    t = _trained(spark, sf)
+    alerts = t.scored.where((F.col("split") == "test") & (F.col("p_model") >= t.model.review))
+    return rounded(group_contributions(t.model, alerts, t.model.baseline), [drop_column(g) for g in FEATURE_GROUPS], 6)
+
+
+@query("ex2_model_reasons")
+def _(spark, sf):
+    return _explained(spark, sf).where(F.col("reasons") != "").select("txn_id", "reasons")
+
+
+@query("ex3_merged_reasons")
+def _(spark, sf):
+    return _explained(spark, sf).select("txn_id", "top_reason", F.length("reasons").alias("reasons_length"))
+
+
+def _backtest(spark, sf):
+    from dataclasses import replace
+
+    from ledgerlens.plans.backtest import run_backtest
+
+    key = (spark.sparkContext.applicationId, sf, "backtest")
+    if key not in _tables:
+        light = replace(SETTINGS, training=replace(SETTINGS.training, boosting_rounds=5, logistic_iterations=50))
+        folds, summary = run_backtest(feature_table(spark, sf), light, n_origins=2, step_days=4, test_days=6, min_train_days=4)
+        _tables[key] = (materialize(folds, "folds"), materialize(summary, "summary"))
+    return _tables[key]
+
+
+@query("bt1_backtest_folds")
+def _(spark, sf):
+    return _backtest(spark, sf)[0]
+
+
+@query("bt2_backtest_summary")
+def _(spark, sf):
+    return _backtest(spark, sf)[1]
+
+
+@query("pv1_fingerprint")
+def _(spark, sf):
+    from ledgerlens.operators.provenance import fingerprint
+
+    return fingerprint(star(spark, sf).transactions)
+
+
+@query("pv2_manifest")
+def _(spark, sf):
+    from ledgerlens.operators.provenance import manifest
+
+    return manifest(star(spark, sf).transactions, SETTINGS, {"source": "driver tables"})
+
+
+# ============================================================================================== streaming
+def _stream_star(spark, sf, days: int = 2):
+    """The star cut at the last ``days`` days: (stored history, arriving rows)."""
+    s = star(spark, sf)
+    last = s.transactions.agg((F.max("ts_epoch") - days * DAY).alias("_cut"))
+    marked = s.transactions.crossJoin(F.broadcast(last))
+    return s, marked.where(F.col("ts_epoch") < F.col("_cut")).drop("_cut"), marked.where(F.col("ts_epoch") >= F.col("_cut")).drop("_cut")
+
+
+def _fresh(spark, name: str) -> str:
+    import uuid
+
+    return f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+_ARRIVED = "ts_epoch >= (SELECT max(ts_epoch) - 172800 FROM txn)"
+
+
+@query("st1_stream_scoring", oracle.scored(f"SELECT txn_id, {oracle.rounded(['cnt_24h', 'sum_7d', 'merch_prior_n', 'merch_fraud_rate_matured'])}, round(score_rules, 6) AS score_rules FROM s_ WHERE {_ARRIVED}",
+                                          f"s_ AS (SELECT ds.*, 1.0 - {' * '.join(f'(CASE WHEN {oracle._hit(c)} THEN 1.0 - CAST({w} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END)' for c, (_, w) in oracle.RULE_SQL.items())} AS score_rules FROM ds)"))
+def _(spark, sf):
+    """The last two days arrive as a file stream and are scored against the stored history."""
+    from ledgerlens.streaming.scoring import start_scoring
+
+    root = _fresh(spark, "st1")
+    s, stored, arriving = _stream_star(spark, sf)
+    stored.write.parquet(f"{root}/history/batch=-1")
+    arriving.repartitionByRange(3, "ts_epoch").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(arriving.schema).parquet(f"{root}/in")
+    q = start_scoring(stream, f"{root}/history", s, SETTINGS, f"{root}/scored", f"{root}/bad", f"{root}/check", available_now=True)
+    q.awaitTermination()
+    cols = ["cnt_24h", "sum_7d", "merch_prior_n", "merch_fraud_rate_matured"]
+    return rounded(rounded(spark.read.parquet(f"{root}/scored"), cols), ["score_rules"], 6).select("txn_id", *cols, "score_rules")
+
+
+@query("st2_replay", oracle.features(f"SELECT txn_id, {oracle.rounded(FEATURES)} FROM f WHERE is_fraud = 1"))
+def _(spark, sf):
+    """Replays every fraud-labelled transaction from its own past."""
+    from ledgerlens.streaming.scoring import replay
+
+    s = star(spark, sf)
+    ids = s.transactions.where(F.col("is_fraud") == 1).select("txn_id")
+    return rounded(replay(s, ids, SETTINGS, lambda f: f), FEATURES).select("txn_id", *FEATURES)
+
+
+_VEL = ["cnt_10m", "cnt_1h", "cnt_6h", "cnt_24h", "cnt_7d", "sum_1h", "sum_24h", "sum_7d", "small_cnt_30m", "online_cnt_1h",
+        "distinct_merchants_24h"]
+
+
+@query("st3_keyed_velocity", oracle.features(f"SELECT txn_id, {oracle.rounded(_VEL, 6)} FROM f"))
+def _(spark, sf):
+    """Velocity features of the whole stream from per-customer state."""
+    from ledgerlens.streaming.velocity import velocity_stream
+
+    root = _fresh(spark, "st3")
+    t = star(spark, sf).transactions
+    t.repartitionByRange(4, "ts_epoch").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(t.schema).parquet(f"{root}/in")
+    q = (velocity_stream(stream).writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/check").outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return rounded(spark.read.parquet(f"{root}/out"), _VEL, 6).select("txn_id", *_VEL)
+
+
+@query("st4_stream_quarantine", oracle.with_ctes(_ODD + f", arr AS (SELECT * FROM odd WHERE {_ARRIVED})", """SELECT txn_id, array_to_string(list_filter([
+ CASE WHEN device_id IS NOT NULL AND NOT (regexp_full_match(device_id, '[A-Za-z0-9_-]+') AND length(device_id) <= 32) THEN 'bad_device_id' END,
+ CASE WHEN NOT (amount > 0 AND amount < 1e7) THEN 'bad_amount' END, CASE WHEN channel NOT IN ('card_present','online','atm') THEN 'bad_channel' END,
+ CASE WHEN merchant_id NOT IN (SELECT merchant_id FROM merch) THEN 'unknown_merchant_id' END], lambda x : x IS NOT NULL), '|') AS r FROM arr""")
+       .replace("SELECT txn_id, array_to_string(list_filter([\n CASE WHEN device_id IS NOT NULL", "SELECT txn_id, r AS reject_reasons FROM (SELECT txn_id, array_to_string(list_filter([\n CASE WHEN device_id IS NOT NULL") + ") WHERE r <> ''")
+def _(spark, sf):
+    """Defective rows of the stream end in the quarantine table with their reasons."""
+    from ledgerlens.streaming.scoring import start_scoring
+
+    root = _fresh(spark, "st4")
+    s, stored, arriving = _stream_star(spark, sf)
+    kind = F.col("txn_id") % 50
+    odd = arriving.withColumns({
+        "amount": F.when(kind == 0, -F.col("amount")).when(kind == 1, F.col("amount") * 1e8).otherwise(F.col("amount")),
+        "channel": F.when(kind == 2, "wire").otherwise(F.col("channel")),
+        "merchant_id": F.when(kind == 3, F.lit(999999)).otherwise(F.col("merchant_id")),
+        "device_id": F.when(kind == 4, "x'; DROP TABLE t").otherwise(F.col("device_id"))})
+    stored.write.parquet(f"{root}/history/batch=-1")
+    odd.write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(arriving.schema).parquet(f"{root}/in")
+    q = start_scoring(stream, f"{root}/history", s, SETTINGS, f"{root}/scored", f"{root}/bad", f"{root}/check", available_now=True)
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/bad").select("txn_id", F.concat_ws("|", "reject_reasons").alias("reject_reasons"))
+
+
+@query("st5_windowed_volume", oracle.scored("""SELECT strftime(to_timestamp(start_s) AT TIME ZONE 'UTC', '%Y-%m-%d') AS start, n_txn, n_alerts FROM
+ (SELECT (day//4)*4*86400 + (SELECT min(ts_epoch)//86400*86400 FROM txn) AS start_s, count(*) AS n_txn, count(CASE WHEN score_rules >= 0.35 THEN 1 END) AS n_alerts FROM s_ GROUP BY 1)
+ WHERE start_s + 4*86400 <= (SELECT max(ts_epoch) FROM txn) - 86400""",
+                                            f"s_ AS (SELECT ds.*, 1.0 - {' * '.join(f'(CASE WHEN {oracle._hit(c)} THEN 1.0 - CAST({w} AS DOUBLE) ELSE CAST(1.0 AS DOUBLE) END)' for c, (_, w) in oracle.RULE_SQL.items())} AS score_rules FROM ds)"))
+def _(spark, sf):
+    """Blocks of four days since the first day, each emitted when the watermark passes its end."""
+    from ledgerlens.streaming.kpi import volume_stream
+
+    root = _fresh(spark, "st5")
+    rows = feature_table(spark, sf).select("txn_id", "ts", "ts_epoch", rules.rule_score().alias("score_rules"))
+    rows.repartitionByRange(4, "ts_epoch").write.parquet(f"{root}/in")
+    first = int(rows.agg(F.min("ts_epoch").alias("t")).first()["t"]) // DAY
+    stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
+    q = (volume_stream(stream, alert(), SETTINGS.monitor_window_days, first).writeStream.format("parquet")
+         .option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select(F.date_format("start", "yyyy-MM-dd").alias("start"), "n_txn", "n_alerts")
+
+
+@query("st5_matured_kpi", oracle.scored(f"""SELECT day, count(*) AS n, count(CASE WHEN score_rules >= 0.35 THEN 1 END) AS alerts, CAST(sum(is_fraud) AS BIGINT) AS fraud,
+ count(CASE WHEN score_rules >= 0.35 AND is_fraud = 1 THEN 1 END) AS caught FROM sc WHERE ts_epoch + 172800 <= (SELECT max(ts_epoch) FROM txn) GROUP BY day"""))
+def _(spark, sf):
+    from ledgerlens.streaming.kpi import matured_kpi
+
+    s = star(spark, sf)
+    as_of = s.transactions.agg(F.max("ts_epoch").alias("_as_of"))
+    rows = scored(spark, sf).drop("is_fraud").crossJoin(F.broadcast(as_of))
+    return matured_kpi(rows, s.transactions, alert(), F.col("_as_of"), DELAY * DAY, F.col("day"))

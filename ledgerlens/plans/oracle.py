@@ -110,9 +110,9 @@ f{suffix} AS (SELECT txn_id, customer_id, merchant_id, account_id, ts_epoch, cha
   CASE WHEN cust_prior_n >= 5 THEN (ln(1+amount) - mean_log) / greatest(sqrt(greatest(mean_log2 - mean_log*mean_log, 0)), 0.25) END AS amount_logz,
   CASE WHEN cust_prior_n >= 5 THEN CAST(amount > cust_prior_max AS DOUBLE) END AS amount_gt_prior_max,
   (ts_epoch - prev.t) / 3600.0 AS hours_since_last,
-  {_km("prev.lat", "prev.lon", "lat", "lon")} AS dist_from_last_km,
+  CASE WHEN prev.t IS NOT NULL THEN {_km("prev.lat", "prev.lon", "lat", "lon")} END AS dist_from_last_km,
   CASE WHEN prev.t IS NOT NULL THEN {_km("prev.lat", "prev.lon", "lat", "lon")} / greatest((ts_epoch - prev.t) / 3600.0, CAST(1 AS DOUBLE)/60) END AS implied_speed_kmh,
-  {_km("home_lat", "home_lon", "lat", "lon")} AS dist_from_home_km,
+  CASE WHEN home_lat IS NOT NULL AND lat IS NOT NULL THEN {_km("home_lat", "home_lon", "lat", "lon")} END AS dist_from_home_km,
   CASE WHEN home_country IS NOT NULL THEN CAST(country IS DISTINCT FROM home_country AS DOUBLE) END AS is_foreign,
   {", ".join(f"CASE WHEN cust_prior_n > 0 THEN CAST(seen_{s} = 0 AS DOUBLE) END AS {n}" for n, s in
              [("new_country", "country"), ("new_merchant_for_cust", "merchant"), ("new_category_for_cust", "category")])},
@@ -198,8 +198,17 @@ def scored(body: str, ctes: str = "") -> str:
     return f"WITH {TABLE_CTES}, {feature_ctes()}, {DATASET_CTES}{', ' + ctes if ctes else ''} {body}"
 
 
-def rounded(columns: list[str], digits: int = 4) -> str:
-    return ", ".join(f"round(CAST({c} AS DOUBLE), {digits}) AS {c}" for c in columns)
+# Distances, speeds and logs are irrational, so few digits suffice; exact fractions need enough digits to avoid ties.
+FEATURE_DIGITS = {"dist_from_last_km": 4, "implied_speed_kmh": 4, "dist_from_home_km": 4, "amount_logz": 6, "log_amount": 6,
+                  "cnt_24h_vs_daily_rate": 6}
+
+
+def digits_of(column: str) -> int:
+    return FEATURE_DIGITS.get(column, 9)
+
+
+def rounded(columns: list[str], digits: int | None = None) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), {digits or digits_of(c)}) AS {c}" for c in columns)
 
 
 def ranking(source: str, score: str, by: str = "", where: str = "") -> str:
@@ -224,17 +233,18 @@ def psi_ctes(features_: list[str], ref: str, cur: str, by: str = "") -> str:
     cur_long = " UNION ALL ".join(f"SELECT {keys}'{f}' AS feature, CAST({f} AS DOUBLE) AS x FROM {cur}" for f in features_)
     probs = ", ".join(str(i / 10) for i in range(1, 10))
     bin_ = "CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(edges, lambda q : q <= x)) END"
+    of = "PARTITION BY " + ", ".join(f"gr.{k}" for k in [*by.split(", "), "feature"] if k)
+    match = " AND ".join(f"gr.{k} = cb.{k}" for k in [*by.split(", "), "feature", "bin"] if k)
+    out = ", ".join(f"gr.{k}" for k in [*by.split(", "), "feature"] if k)
     return f"""
 rl AS ({ref_long}), cl AS ({cur_long}),
 ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [{probs}]))) AS edges FROM rl WHERE x IS NOT NULL GROUP BY feature),
 rb AS (SELECT feature, {bin_} AS bin, count(*) AS n FROM rl JOIN ed USING (feature) GROUP BY ALL),
 cb AS (SELECT {keys}feature, {bin_} AS bin, count(*) AS n FROM cl JOIN ed USING (feature) GROUP BY ALL),
 gr AS (SELECT DISTINCT {keys}cb.feature, unnest(range(-1, len(edges) + 1)) AS bin FROM cb JOIN ed USING (feature)),
-pp AS (SELECT {", ".join(f"gr.{b}" for b in by.split(", ")) + ", " if by else ""}gr.feature,
-  greatest(coalesce(rb.n, 0) / CAST(sum(rb.n) OVER (PARTITION BY {keys}gr.feature) AS DOUBLE), 1e-4) AS r,
-  greatest(coalesce(cb.n, 0) / CAST(sum(cb.n) OVER (PARTITION BY {keys}gr.feature) AS DOUBLE), 1e-4) AS c
-  FROM gr LEFT JOIN rb ON gr.feature = rb.feature AND gr.bin = rb.bin
-  LEFT JOIN cb ON gr.feature = cb.feature AND gr.bin = cb.bin{"".join(f" AND gr.{b} = cb.{b}" for b in by.split(", ")) if by else ""}),
+pp AS (SELECT {out}, greatest(coalesce(rb.n, 0) / CAST(sum(rb.n) OVER ({of}) AS DOUBLE), 1e-4) AS r,
+  greatest(coalesce(cb.n, 0) / CAST(sum(cb.n) OVER ({of}) AS DOUBLE), 1e-4) AS c
+  FROM gr LEFT JOIN rb ON gr.feature = rb.feature AND gr.bin = rb.bin LEFT JOIN cb ON {match}),
 ps AS (SELECT {keys}feature, sum((c - r) * ln(c / r)) AS psi FROM pp GROUP BY {keys}feature)"""
 
 

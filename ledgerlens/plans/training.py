@@ -89,8 +89,8 @@ def boosted_stages(features: Sequence[str], t: Training) -> list:
     return [prepare, VectorAssembler(inputCols=columns, outputCol="_vector"),
             GBTClassifier(featuresCol="_vector", labelCol=LABEL, maxIter=t.boosting_rounds, stepSize=t.boosting_step,
                           maxDepth=t.boosting_depth, minInstancesPerNode=t.min_leaf_rows, maxBins=64, seed=t.seed,
-                          checkpointInterval=10, rawPredictionCol="_margin", probabilityCol="_probability",
-                          predictionCol="_label")]
+                          checkpointInterval=10, predictionCol="_label")
+            .setRawPredictionCol("_margin").setProbabilityCol("_probability")]
 
 
 def fit_candidate(name: str, train: DataFrame, features: Sequence[str], t: Training, n_rows: int,

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.config import Settings
@@ -33,16 +34,20 @@ def relevant_history(stored: DataFrame, batch: DataFrame) -> DataFrame:
     return by_customer.unionByName(by_merchant)
 
 
-def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[str] | None = None) -> DataFrame:
+def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[str] | None = None,
+                   labelled: bool = False) -> DataFrame:
     """Features of the batch rows from strictly earlier rows: stored history plus earlier rows of the batch.
 
-    Batch rows carry no usable label yet. ``star.transactions`` is the stored history.
+    ``star.transactions`` is the stored history. Arriving rows have no label yet, so theirs is blanked unless
+    ``labelled``; a row's own label can never reach its features either way, because labels mature after a delay.
     """
-    new = batch.select(*star.transactions.columns).withColumns({"is_fraud": F.lit(None).cast("int"), "_new": F.lit(True)})
-    old = relevant_history(star.transactions, batch).withColumn("_new", F.lit(False))
+    new = batch.select(*star.transactions.columns).withColumn("is_new", F.lit(True))
+    if not labelled:
+        new = new.withColumn("is_fraud", F.lit(None).cast("int"))
+    old = relevant_history(star.transactions, batch).withColumn("is_new", F.lit(False))
     both = Star(old.unionByName(new), star.customers, star.accounts, star.merchants, star.locations)
-    out = build_features(both, settings.split.label_delay_days, settings.skew, keep=[*(keep or []), "_new"])
-    return out.where("_new").drop("_new")
+    out = build_features(both, settings.split.label_delay_days, settings.skew, keep=[*(keep or []), "is_new"])
+    return out.where("is_new").drop("is_new")
 
 
 def rule_scorer(features: DataFrame) -> DataFrame:
@@ -52,10 +57,11 @@ def rule_scorer(features: DataFrame) -> DataFrame:
 def replay(star: Star, ids: DataFrame, settings: Settings, scorer: Scorer = rule_scorer,
            keep: list[str] | None = None) -> DataFrame:
     """Re-scores stored transactions (``ids``: txn_id) from their own past only."""
-    batch = star.transactions.join(ids.select("txn_id").distinct(), "txn_id", "left_semi").select(*star.transactions.columns)
-    rest = star.transactions.join(ids.select("txn_id").distinct(), "txn_id", "left_anti").select(*star.transactions.columns)
+    wanted = ids.select("txn_id").distinct()
+    batch = star.transactions.join(wanted, "txn_id", "left_semi").select(*star.transactions.columns)
+    rest = star.transactions.join(wanted, "txn_id", "left_anti").select(*star.transactions.columns)
     stored = Star(rest, star.customers, star.accounts, star.merchants, star.locations)
-    return scorer(batch_features(stored, batch, settings, keep))
+    return scorer(batch_features(stored, batch, settings, keep, labelled=True))
 
 
 def start_scoring(stream: DataFrame, history_path: str, dims: Star, settings: Settings, scored_path: str,
@@ -88,6 +94,6 @@ def start_scoring(stream: DataFrame, history_path: str, dims: Star, settings: Se
 
 def _history(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame:
     """Stored rows of earlier batches (the initial load is batch -1)."""
-    schema = like.schema.add("batch", "int")
+    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
     rows = spark.read.schema(schema).parquet(path)
     return rows.where(F.col("batch") < batch_id).select(*like.columns)
