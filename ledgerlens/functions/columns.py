@@ -36,15 +36,14 @@ def logit(p: Column, eps: float = 1e-6) -> Column:
 
 
 def at_least(x: Column, floor: float) -> Column:
-    """max(x, floor) that keeps missing values missing (``greatest`` alone would skip them)."""
-    return F.when(x.isNotNull(), F.greatest(x, F.lit(floor)))
+    """max(x, floor) that keeps missing values missing (``greatest`` would skip them)."""
+    return F.when(x < floor, F.lit(floor)).otherwise(x)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     dlat, dlon = F.radians(lat2) - F.radians(lat1), F.radians(lon2 - lon1)
     a = F.pow(F.sin(dlat / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2)
-    inside = F.when(a.isNotNull(), F.greatest(F.lit(0.0), F.least(a, F.lit(1.0))))
-    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(inside))
+    return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.when(a > 1.0, F.lit(1.0)).otherwise(a)))
 
 
 def epoch_seconds(ts: Column) -> Column:

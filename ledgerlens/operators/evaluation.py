@@ -80,7 +80,8 @@ def at_budget(df: DataFrame, score: str, k: Column | int, by: Sequence[str] = ()
               row_id: str = "txn_id") -> DataFrame:
     """Precision and recall when only the k best-scored rows are reviewed; ties are taken in id order."""
     k = F.lit(k) if isinstance(k, int) else k
-    ranked = global_row_number(df.withColumn("_k", k), [F.col(score).desc(), F.col(row_id)], by)
+    slim = df.select(*by, row_id, score, label, k.alias("_k"))
+    ranked = global_row_number(slim, [F.col(score).desc(), F.col(row_id)], by)
     inside = F.col("rn") <= F.greatest(F.col("_k"), F.lit(1))
     return ranked.groupBy(*by).agg(
         _count(inside).alias("k"),

@@ -1,7 +1,7 @@
 """Point-in-time features: each row sees only rows of its customer or merchant with an earlier second.
 
-Plan shape: one shuffle by merchant on the narrow fact columns, the dimension joins, then one shuffle by customer
-under which every customer and (customer, x) window runs. Bounded windows are differences of growing sums, so a
+Plan shape: one shuffle by merchant on the narrow fact columns, the event-side lookups, then one shuffle by customer
+under which the customer lookup and every customer and (customer, x) window run. Bounded windows are differences of growing sums, so a
 row costs the same however many rows fall into its last week.
 """
 
@@ -56,8 +56,7 @@ def build_features(star: Star, label_delay_days: int, skew: Skew = Skew(), hot:
     extra = [c for c in keep if c in star.transactions.columns and c not in FACT_COLUMNS]
     rows = star.transactions.select(*FACT_COLUMNS, *extra)
     rows = merchant_history(rows, label_delay_days, hot.merchants)
-    rows = enrich(rows, star)
-    rows = customer_history(rows, hot.customers)
+    rows = customer_history(enrich_event(rows, star), star, hot.customers)
     kept = [c for c in keep if c not in FEATURES]
     return rows.select("txn_id", *kept, *FEATURES)
 
@@ -93,27 +92,63 @@ def _epoch_of(table: DataFrame, name: str):
     return F.col(f"{name}_epoch") if f"{name}_epoch" in table.columns else epoch_seconds(F.col(f"{name}_at"))
 
 
-def enrich(rows: DataFrame, star: Star) -> DataFrame:
-    """N:1 lookups; Spark broadcasts a dimension only when its size allows, and splits skewed joins otherwise."""
+def enrich_event(rows: DataFrame, star: Star) -> DataFrame:
+    """Merchant, place and account of each transaction.
+
+    Spark broadcasts a dimension only when its size allows; otherwise it shuffles and splits skewed keys.
+    """
     merch = star.merchants.select("merchant_id", "category", F.col("is_online").alias("m_online"),
                                   _epoch_of(star.merchants, "onboarded").alias("onboarded_epoch"))
     place = star.locations.select("location_id", "lat", "lon", "country")
-    home = star.locations.select(F.col("location_id").alias("home_location_id"), F.col("lat").alias("home_lat"),
-                                 F.col("lon").alias("home_lon"), F.col("country").alias("home_country"))
-    cust = star.customers.select("customer_id", "segment", "home_location_id")
     acct = star.accounts.select("account_id", "account_type",
                                 _epoch_of(star.accounts, "opened").alias("opened_epoch"))
     return (rows.join(merch, "merchant_id", "left").join(place, "location_id", "left")
-            .join(cust, "customer_id", "left").join(home, "home_location_id", "left")
             .join(acct, "account_id", "left"))
 
 
+def enrich_customer(rows: DataFrame, star: Star) -> DataFrame:
+    """Segment and home of the customer. Called on rows already partitioned by customer, a shuffled join moves only the
+    dimension."""
+    cust = star.customers.select("customer_id", "segment", "home_location_id")
+    home = star.locations.select(F.col("location_id").alias("home_location_id"), F.col("lat").alias("home_lat"),
+                                 F.col("lon").alias("home_lon"), F.col("country").alias("home_country"))
+    return rows.join(cust, "customer_id", "left").join(home, "home_location_id", "left")
+
+
+def enrich(rows: DataFrame, star: Star) -> DataFrame:
+    """All N:1 lookups; the row count does not change while dimension keys are unique."""
+    return enrich_customer(enrich_event(rows, star), star)
+
+
+def row_features(d: DataFrame) -> DataFrame:
+    """Features that need no customer history. They are computed below the windows: they replace the looked-up columns they
+    come from, and keep the projection above the windows small enough for the JIT compiler."""
+    amount, ts = F.col("amount"), F.col("ts_epoch")
+    return d.withColumns({
+        "log_amount": F.log1p(amount),
+        "is_online": flag(F.col("channel") == "online"),
+        "is_atm": flag(F.col("channel") == "atm"),
+        "is_night": flag(F.col("hour_local") <= 5),
+        "is_weekend": flag(F.col("dow_local") >= 5),
+        "category_code": category_code(F.col("category")),
+        "dist_from_home_km": haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon")),
+        "is_foreign": F.when(F.col("home_country").isNotNull(),
+                             (~F.col("country").eqNullSafe(F.col("home_country"))).cast("double")),
+        "amount_to_merch_mean": safe_div(amount, F.col("merch_prior_mean")),
+        "merch_age_days": at_least((ts - F.col("onboarded_epoch")) / DAY, 0.0),
+        "merch_is_online": F.col("m_online").cast("double"),
+        "account_age_days": at_least((ts - F.col("opened_epoch")) / DAY, 0.0),
+        "is_credit": F.when(F.col("account_type").isNotNull(),
+                            (F.col("account_type") == "credit_card").cast("double"))})
+
+
 # ------------------------------------------------------------------------------------------ customer side
-def customer_history(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
+def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None) -> DataFrame:
     rows = attach_slab(rows.withColumns({"hour_band": F.floor(F.col("hour_local") / 4),
                                          "device_key": F.coalesce(F.col("device_id"), F.lit(""))}), hot)
     keys = partition_keys("customer_id", hot)
     rows = with_pair_carry(rows, hot, PAIR_DIMS).repartition(*keys)
+    rows = row_features(enrich_customer(rows, star))
     # Last time the same customer used the same merchant; same-second repeats are recognised by the id order.
     visits = Window.partitionBy(*keys, "merchant_id").orderBy("ts_epoch", "txn_id")
     rows = rows.withColumns({
@@ -150,13 +185,12 @@ def _with_expiry_rows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
 
 def _customer_windows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
     real = F.col("_n") == 1
-    amount, log_amount = F.col("amount"), F.log1p("amount")
+    amount, log_amount = F.col("amount"), F.col("log_amount")
 
     def on(condition):
         return flag(real & condition).cast("bigint")
 
     rows = rows.withColumns({
-        "is_night": flag(F.col("hour_local") <= 5),
         "_amt": F.when(real, amount).otherwise(0.0),
         "_log": F.when(real, log_amount).otherwise(0.0),
         "_log2": F.when(real, log_amount * log_amount).otherwise(0.0),
@@ -215,19 +249,11 @@ def _derive(d: DataFrame) -> DataFrame:
         return safe_div(F.col(f"_seen_{dim}"), prior_n)
 
     columns = {
-        "log_amount": F.log1p(amount),
-        "is_online": flag(F.col("channel") == "online"),
-        "is_atm": flag(F.col("channel") == "atm"),
-        "is_weekend": flag(F.col("dow_local") >= 5),
-        "category_code": category_code(F.col("category")),
         "amount_to_mean": safe_div(amount, mean),
         "amount_to_max": safe_div(amount, F.col("cust_prior_max")),
-        "amount_logz": F.when(prior_n >= 5, (F.log1p(amount) - F.col("_mean_log")) / F.col("_sd")),
+        "amount_logz": F.when(prior_n >= 5, (F.col("log_amount") - F.col("_mean_log")) / F.col("_sd")),
         "amount_gt_prior_max": F.when(prior_n >= 5, flag_or_null(amount > F.col("cust_prior_max"))),
         "implied_speed_kmh": F.col("dist_from_last_km") / at_least(F.col("hours_since_last"), 1.0 / 60.0),
-        "dist_from_home_km": haversine_km(F.col("home_lat"), F.col("home_lon"), F.col("lat"), F.col("lon")),
-        "is_foreign": F.when(F.col("home_country").isNotNull(),
-                             (~F.col("country").eqNullSafe(F.col("home_country"))).cast("double")),
         "new_country": unseen("country"),
         "new_merchant_for_cust": unseen("merchant_id"),
         "new_category_for_cust": unseen("category"),
@@ -238,12 +264,6 @@ def _derive(d: DataFrame) -> DataFrame:
         "device_prior_cnt": F.when(has_device, F.col("_seen_device_key").cast("double")),
         "new_device": F.when(has_device & has_history, (F.col("_seen_device_key") == 0).cast("double")),
         "cnt_24h_vs_daily_rate": safe_div(F.col("cnt_24h"), F.col("_daily")),
-        "amount_to_merch_mean": safe_div(amount, F.col("merch_prior_mean")),
-        "merch_age_days": at_least((ts - F.col("onboarded_epoch")) / DAY, 0.0),
-        "merch_is_online": F.col("m_online").cast("double"),
-        "account_age_days": at_least((ts - F.col("opened_epoch")) / DAY, 0.0),
-        "is_credit": F.when(F.col("account_type").isNotNull(),
-                            (F.col("account_type") == "credit_card").cast("double")),
     }
     return d.withColumns(columns)
 

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ledgerlens.session import materialize
 
 
-def _range_partitioned(df: DataFrame, columns: Sequence) -> DataFrame:
+def range_partitioned(df: DataFrame, columns: Sequence) -> DataFrame:
+    """``df`` cut into ranges of ``columns``, stored, with the range number in ``_part``."""
     return materialize(df.repartitionByRange(*columns).withColumn("_part", F.spark_partition_id()), "ranged")
 
 
@@ -39,7 +40,7 @@ def running_totals(table: DataFrame, order: str, totals: Mapping[str, str], by:
 
     ``table`` holds one row per (by, order): pre-aggregate first, so that a frequent value is one row, not a hot range.
     """
-    ranged = _range_partitioned(table, [*by, order])
+    ranged = range_partitioned(table, [*by, order])
     joined = _with_offsets(ranged, by, totals, descending)
     direction = F.col(order).desc() if descending else F.col(order).asc()
     inside = Window.partitionBy(*by, "_part").orderBy(direction).rowsBetween(Window.unboundedPreceding, 0)
@@ -50,7 +51,7 @@ def running_totals(table: DataFrame, order: str, totals: Mapping[str, str], by:
 def global_row_number(df: DataFrame, order: Sequence, by: Sequence[str] = (), out: str = "rn") -> DataFrame:
     """Row number along ``order`` (columns or sort expressions, ending in a unique id) within ``by``."""
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    ranged = _range_partitioned(df.withColumn("_one", F.lit(1).cast("bigint")), [*[F.col(b) for b in by], *order])
+    ranged = range_partitioned(df.withColumn("_one", F.lit(1).cast("bigint")), [*[F.col(b) for b in by], *order])
     joined = _with_offsets(ranged, by, {"n": "_one"}, descending=False)
     inside = Window.partitionBy(*by, "_part").orderBy(*order)
     return joined.select(*df.columns, (F.row_number().over(inside) + F.col("_off_n")).alias(out))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DAY, Skew
+from ledgerlens.operators.ordering import range_partitioned
 from ledgerlens.schema import BANNED_COLUMNS, CHANNELS, FEATURES
 from ledgerlens.sources.views import Star
 
@@ -87,20 +88,18 @@ def validate_rows(rows: DataFrame, star: Star) -> DataFrame:
 
 
 def order_report(transactions: DataFrame) -> DataFrame:
-    """Rows that break the rule "ids ascend with time", and non-positive amounts.
+    """Rows whose time is before that of the row with the next smaller id, and non-positive amounts.
 
-    Compared day by day: inside a day with the previous row, across days with the largest id of all earlier days.
-    Days are cut further into hours, so one task holds one hour.
+    Ids are range partitioned; each range compares its first row with the last row of the range before it.
     """
-    hour = F.floor(F.col("ts_epoch") / 3600)
-    t = transactions.select("txn_id", "ts_epoch", "amount", hour.alias("h"))
-    prev = F.lag("ts_epoch").over(Window.partitionBy("h").orderBy("txn_id"))
-    inside = t.withColumn("_p", prev).agg(F.count(F.when(F.col("_p") > F.col("ts_epoch"), 1)).alias("unordered_inside"),
-                                          F.count(F.when(~(F.col("amount") > 0), 1)).alias("bad_amounts"))
-    per = t.groupBy("h").agg(F.min("txn_id").alias("lo"), F.max("txn_id").alias("hi"))
-    earlier = F.max("hi").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1))  # one row per hour
-    across = per.withColumn("_hi", earlier).agg(F.count(F.when(F.col("_hi") > F.col("lo"), 1)).alias("unordered_hours"))
-    return inside.crossJoin(F.broadcast(across))
+    ranged = range_partitioned(transactions.select("txn_id", "ts_epoch", "amount"), ["txn_id"])
+    inside = ranged.withColumn("_p", F.lag("ts_epoch").over(Window.partitionBy("_part").orderBy("txn_id"))).agg(
+        F.count(F.when(F.col("_p") > F.col("ts_epoch"), 1)).alias("_inside"),
+        F.count(F.when(~(F.col("amount") > 0), 1)).alias("bad_amounts"))
+    ends = ranged.groupBy("_part").agg(F.min_by("ts_epoch", "txn_id").alias("_first"), F.max_by("ts_epoch", "txn_id").alias("_last"))
+    across = ends.withColumn("_p", F.lag("_last").over(Window.orderBy("_part"))).agg(  # one row per range
+        F.count(F.when(F.col("_p") > F.col("_first"), 1)).alias("_across"))
+    return inside.crossJoin(F.broadcast(across)).select((F.col("_inside") + F.col("_across")).alias("unordered"), "bad_amounts")
 
 
 def banned_columns(df: DataFrame) -> list[str]:

@@ -14,7 +14,7 @@ from ledgerlens.operators import anomaly, breakdown, dataset, drift, evaluation,
 from ledgerlens.operators.skew import before, find_hot_keys, with_history, attach_slab, partition_keys
 from ledgerlens.plans import analytics, oracle
 from ledgerlens.schema import FEATURES
-from ledgerlens.session import materialize, workspace
+from ledgerlens.session import materialize, tune, workspace
 from ledgerlens.sources import readers, views, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ REVIEW, BLOCK = oracle.REVIEW, oracle.BLOCK
 
 def query(name: str, sql: str | None = None):
     def register(fn: Query) -> Query:
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(tune(spark), sf_dir)
         if sql:
             ORACLES[name] = sql
         return fn
@@ -1058,14 +1058,19 @@ def _(spark, sf):
     return quality.validate_rows(odd, s).select("txn_id", F.concat_ws("|", "reject_reasons").alias("reject_reasons"))
 
 
-@query("dq6_time_order", oracle.tables("""SELECT count(CASE WHEN h = ph AND p > ts_epoch THEN 1 END) AS unordered_inside, count(CASE WHEN NOT amount > 0 THEN 1 END) AS bad_amounts,
- (SELECT count(CASE WHEN ph2 > lo THEN 1 END) FROM (SELECT lo, max(hi) OVER (ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ph2 FROM
-  (SELECT ts_epoch//3600 AS h, min(txn_id) AS lo, max(txn_id) AS hi FROM txn GROUP BY 1))) AS unordered_hours
- FROM (SELECT *, ts_epoch//3600 AS h, lag(ts_epoch) OVER (PARTITION BY ts_epoch//3600 ORDER BY txn_id) AS p, ts_epoch//3600 AS ph FROM txn)"""))
+@query("dq6_time_order", oracle.tables("""SELECT count(CASE WHEN p > ts_epoch THEN 1 END) AS unordered, count(CASE WHEN NOT amount > 0 THEN 1 END) AS bad_amounts
+ FROM (SELECT *, lag(ts_epoch) OVER (ORDER BY txn_id) AS p FROM txn)"""))
 def _(spark, sf):
     return quality.order_report(star(spark, sf).transactions)
 
 
+@query("dq6_time_order_orders", """SELECT count(CASE WHEN p > t THEN 1 END) AS unordered, count(CASE WHEN NOT o_totalprice > 0 THEN 1 END) AS bad_amounts
+ FROM (SELECT *, epoch(o_orderdate) AS t, lag(epoch(o_orderdate)) OVER (ORDER BY o_orderkey) AS p FROM orders)""")
+def _(spark, sf):
+    """Order keys do not follow time, so this one finds violations."""
+    return quality.order_report(views.order_transactions(spark, sf))
+
+
 @query("dq7_banned_columns", "SELECT CAST(0 AS BIGINT) AS banned, count(*) AS n_rows FROM events")
 def _(spark, sf):
     d = feature_table(spark, sf)

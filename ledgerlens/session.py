@@ -8,6 +8,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Generated methods above 8000 bytes of bytecode are never compiled by the JVM; wide feature rows reach that size, and Spark
+# then runs faster with its split, per-operator code. Spark's own limit is far higher.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Applies runtime settings that suit wide feature rows, unless the session sets them itself."""
+    given = dict(spark.sparkContext.getConf().getAll())
+    for key, value in TUNING.items():
+        if key not in given:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g",
                   app: str = "ledgerlens") -> SparkSession:
     """Single-machine session for tests and benchmarks; on a cluster the submitter configures Spark."""
