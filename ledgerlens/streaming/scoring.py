@@ -10,28 +10,32 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.config import Settings
-from ledgerlens.operators.features import build_features
+from ledgerlens.operators.features import FACT_COLUMNS, customer_history, enrich_event, merchant_history
 from ledgerlens.operators.quality import validate_rows
 from ledgerlens.operators.rules import rule_hits, rule_score
+from ledgerlens.operators.skew import find_hot_keys
+from ledgerlens.schema import FEATURES
 from ledgerlens.sources.views import Star
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
+def history_of(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+    """Stored rows earlier than the batch's last row whose ``key`` occurs in the batch."""
+    last = batch.agg(F.max("ts_epoch").alias("_last"))
+    past = stored.crossJoin(F.broadcast(last)).where(F.col("ts_epoch") < F.col("_last"))
+    return past.join(batch.select(key).distinct(), key, "left_semi").select(*stored.columns)
+
+
 def relevant_history(stored: DataFrame, batch: DataFrame) -> DataFrame:
-    """Stored rows earlier than the batch's last row that share a customer or a merchant with it.
+    """Earlier stored rows that share a customer or a merchant with the batch.
 
-    Two semi joins on distinct keys and a union; one OR condition would compare every pair of rows.
+    Two semi joins on distinct keys and a union; one OR condition would compare every pair of rows. Rows already taken
+    through their customer are left out of the merchant half, so no distinct over wide rows is needed.
     """
-    last = batch.agg(F.max("ts_epoch").alias("_last"))
-    past = stored.crossJoin(F.broadcast(last)).where(F.col("ts_epoch") < F.col("_last")).drop("_last")
     customers = batch.select("customer_id").distinct()
-    merchants = batch.select("merchant_id").distinct()
-    by_customer = past.join(customers, "customer_id", "left_semi").select(*stored.columns)
-    # rows already taken through their customer are left out here, so no distinct over wide rows is needed
-    by_merchant = (past.join(merchants, "merchant_id", "left_semi").join(customers, "customer_id", "left_anti")
-                   .select(*stored.columns))
-    return by_customer.unionByName(by_merchant)
+    by_merchant = history_of(stored, batch, "merchant_id").join(customers, "customer_id", "left_anti").select(*stored.columns)
+    return history_of(stored, batch, "customer_id").unionByName(by_merchant)
 
 
 def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[str] | None = None,
@@ -40,14 +44,27 @@ def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[
 
     ``star.transactions`` is the stored history. Arriving rows have no label yet, so theirs is blanked unless
     ``labelled``; a row's own label can never reach its features either way, because labels mature after a delay.
+    The merchant half reads only four columns of the merchants' rows; the customer half only the customers' rows.
     """
-    new = batch.select(*star.transactions.columns).withColumn("is_new", F.lit(True))
+    if settings.split.label_delay_days < 1:
+        raise ValueError("a label delay below one day would let a row see its own label")
+    keep = keep or []
+    limit, delay = settings.skew.rows_per_task, settings.split.label_delay_days
+    columns = [*FACT_COLUMNS, *[c for c in keep if c in batch.columns and c not in FACT_COLUMNS]]
+    stored = star.transactions
+    new = batch.select(*columns).withColumn("is_new", F.lit(True))
     if not labelled:
         new = new.withColumn("is_fraud", F.lit(None).cast("int"))
-    old = relevant_history(star.transactions, batch).withColumn("is_new", F.lit(False))
-    both = Star(old.unionByName(new), star.customers, star.accounts, star.merchants, star.locations)
-    out = build_features(both, settings.split.label_delay_days, settings.skew, keep=[*(keep or []), "is_new"])
-    return out.where("is_new").drop("is_new")
+
+    slim = history_of(stored.select("merchant_id", "ts_epoch", "amount", "is_fraud"), batch, "merchant_id")
+    series = new.unionByName(slim.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
+    new = merchant_history(series, delay, find_hot_keys(series, "merchant_id", limit)).where("is_new")
+
+    old = history_of(stored.select(*columns), batch, "customer_id").withColumn("is_new", F.lit(False))
+    series = new.unionByName(old, allowMissingColumns=True)
+    hot = find_hot_keys(series, "customer_id", limit)
+    out = customer_history(enrich_event(series, star), star, hot).where("is_new")
+    return out.select("txn_id", *[c for c in keep if c not in FEATURES], *FEATURES)
 
 
 def rule_scorer(features: DataFrame) -> DataFrame:
