@@ -1269,7 +1269,8 @@ def _(spark, sf):
     q = (velocity_stream(stream).writeStream.format("parquet").option("path", f"{root}/out")
          .option("checkpointLocation", f"{root}/check").outputMode("append").trigger(availableNow=True).start())
     q.awaitTermination()
-    return rounded(spark.read.parquet(f"{root}/out"), _VEL, 6).select("txn_id", *_VEL)
+    out = t.select("txn_id", "customer_id", "ts_epoch").join(spark.read.parquet(f"{root}/out"), ["customer_id", "ts_epoch"], "left")
+    return rounded(out, _VEL, 6).select("txn_id", *_VEL)
 
 
 @query("st4_stream_quarantine", oracle.with_ctes(_ODD + f", arr AS (SELECT * FROM odd WHERE {_ARRIVED})", """SELECT txn_id, array_to_string(list_filter([

@@ -1,7 +1,8 @@
 """Keyed-state variant of the customer velocity features.
 
-State per customer: one entry per second of the last seven days (counts, amount, merchants), so its size is bounded
-however busy the customer is. Rows of a micro-batch are joined with the state and counted with sorted prefix sums.
+All rows of a customer within one second share their velocity features, so both the state and the output hold one entry
+per (customer, second): memory is bounded by the seconds of seven days, however many rows a busy customer has. Rows look
+their features up by (customer_id, ts_epoch).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from ledgerlens.config import DAY
 
 SPANS = {"cnt_10m": 600, "cnt_1h": 3600, "cnt_6h": 21_600, "cnt_24h": DAY, "cnt_7d": 7 * DAY}
 KEEP = 7 * DAY
-OUTPUT = ("txn_id BIGINT, customer_id BIGINT, ts_epoch BIGINT, cnt_10m BIGINT, cnt_1h BIGINT, cnt_6h BIGINT, cnt_24h BIGINT, "
+OUTPUT = ("customer_id BIGINT, ts_epoch BIGINT, cnt_10m BIGINT, cnt_1h BIGINT, cnt_6h BIGINT, cnt_24h BIGINT, "
           "cnt_7d BIGINT, sum_1h DOUBLE, sum_24h DOUBLE, sum_7d DOUBLE, small_cnt_30m BIGINT, online_cnt_1h BIGINT, "
           "distinct_merchants_24h BIGINT")
 STATE = "sec ARRAY<BIGINT>, n ARRAY<BIGINT>, amount ARRAY<DOUBLE>, small ARRAY<BIGINT>, online ARRAY<BIGINT>, shops ARRAY<STRING>"
@@ -56,32 +57,38 @@ def _features(times: np.ndarray, past: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def _merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
+    """Adds up several per-second tables, sorted by second."""
+    out = pd.concat(parts, ignore_index=True).groupby("sec", as_index=False).agg(
+        n=("n", "sum"), amount=("amount", "sum"), small=("small", "sum"), online=("online", "sum"),
+        shops=("shops", lambda s: "\x1f".join(sorted({m for x in s for m in x.split("\x1f")})))).sort_values("sec")
+    return out.astype({"sec": "int64", "n": "int64", "amount": "float64", "small": "int64", "online": "int64"})
+
+
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:  # seven quiet days: nothing left to count
         state.remove()
         return
-    rows = pd.concat(list(batches), ignore_index=True)  # one customer's share of one micro-batch
+    new = None
+    for rows in batches:  # one Arrow batch at a time; only its seconds are kept
+        seconds = _seconds(rows)
+        new = seconds if new is None else _merged([new, seconds])
     columns = ["sec", "n", "amount", "small", "online", "shops"]
-    old = pd.DataFrame(dict(zip(columns, state.get))) if state.exists else pd.DataFrame({c: [] for c in columns})
-    past = pd.concat([old, _seconds(rows)], ignore_index=True)
-    past = past.groupby("sec", as_index=False).agg(
-        n=("n", "sum"), amount=("amount", "sum"), small=("small", "sum"), online=("online", "sum"),
-        shops=("shops", lambda s: "\x1f".join(sorted({m for x in s for m in x.split("\x1f")})))).sort_values("sec")
-    past = past.astype({"sec": "int64", "n": "int64", "amount": "float64", "small": "int64", "online": "int64"})
-    out = _features(rows.ts_epoch.to_numpy(), past)
-    out.insert(0, "txn_id", rows.txn_id)
-    out.insert(1, "customer_id", rows.customer_id)
-    out.insert(2, "ts_epoch", rows.ts_epoch)
-    floor = max(int(past.sec.max()) - KEEP, int(state.getCurrentWatermarkMs() // 1000) - KEEP)
-    kept = past[past.sec >= min(floor, int(past.sec.max()) - KEEP)]
+    past = _merged([pd.DataFrame(dict(zip(columns, state.get))), new] if state.exists else [new])
+    times = np.sort(new.sec.to_numpy(dtype="int64"))
+    out = _features(times, past)
+    out.insert(0, "customer_id", key[0])
+    out.insert(1, "ts_epoch", times)
+    last, watermark = int(past.sec.max()), int(state.getCurrentWatermarkMs() // 1000)
+    kept = past[past.sec >= last - KEEP]
     state.update(tuple(kept[c].tolist() for c in columns))
-    state.setTimeoutTimestamp(max(int(past.sec.max()) + KEEP, int(state.getCurrentWatermarkMs() // 1000) + 1) * 1000)
+    state.setTimeoutTimestamp(max(last + KEEP, watermark + 1) * 1000)
     yield out
 
 
 def velocity_stream(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
-    """Velocity features of every arriving row; rows later than ``lateness`` are dropped by the watermark."""
+    """Velocity features per arriving (customer, second); rows later than ``lateness`` are dropped by the watermark."""
     ts = F.col("ts").cast("timestamp").alias("ts")  # watermarks need a time-zoned type
-    slim = stream.select("txn_id", "customer_id", "merchant_id", ts, "ts_epoch", "amount", "channel")
+    slim = stream.select("customer_id", "merchant_id", ts, "ts_epoch", "amount", "channel")
     return slim.withWatermark("ts", lateness).groupBy("customer_id").applyInPandasWithState(
         _update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
