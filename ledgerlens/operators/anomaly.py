@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ordering import exact_quantiles
+from ledgerlens.session import materialize
 
 # Features of the robust z-score and whether they are log-transformed.
 ROBUST_Z_FEATURES = {"amount_logz": False, "cnt_1h": True, "cnt_24h_vs_daily_rate": True, "dist_from_home_km": True,
@@ -37,6 +38,7 @@ def fit_robust_z(features: DataFrame) -> DataFrame:
     long = (features.select(F.explode(F.array(*pairs)).alias("p")).select("p.feature", "p.x")
             .where(F.col("x").isNotNull()))
     center = exact_quantiles(long, "x", [0.5], ["feature"]).select("feature", F.col("q").alias("center"))
+    center = materialize(center, "medians")  # seven rows, used by every step below
     away = long.join(F.broadcast(center), "feature").withColumn("d", F.abs(F.col("x") - F.col("center")))
     mad = exact_quantiles(away, "d", [0.5], ["feature"]).select("feature", F.col("q").alias("mad"))
     spread = away.groupBy("feature").agg(F.avg("d").alias("mean_dev"), F.stddev_samp("x").alias("sd"))

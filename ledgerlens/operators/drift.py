@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlens.operators.evaluation import LABEL, ranking_metrics
 from ledgerlens.operators.ordering import exact_quantiles
 from ledgerlens.schema import TREND_FEATURES
+from ledgerlens.session import materialize
 
 # Conventional limits.
 PSI_WARN, PSI_ALERT = 0.10, 0.25
@@ -41,24 +42,32 @@ def _binned(df: DataFrame, features: Sequence[str], edges: DataFrame, by: Sequen
     return joined.groupBy(*by, "feature", bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def _profile(binned: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Bin counts of each group as one map (at most bins + 1 entries) with its total."""
+    entries = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    return binned.groupBy(*keys).agg(entries.alias(f"{name}_bins"), F.sum("n").alias(f"{name}_all"))
+
+
 def psi_table(reference: DataFrame, current: DataFrame, features: Sequence[str], by: Sequence[str] = (),
               bins: int = 10) -> DataFrame:
     """PSI per (by, feature); missing when the reference or the current side has no value at all."""
-    edges = bin_edges(reference, features, bins)
-    ref = _binned(reference, features, edges, []).select("feature", "bin", F.col("n").alias("rn"))
-    cur = _binned(current, features, edges, by)
-    groups = cur.select(*by, "feature").distinct()
-    inner = F.coalesce(F.size("edges"), F.lit(0))
-    grid = (groups.join(edges.select("feature", "edges"), "feature", "left")
-            .select(*by, "feature", F.explode(F.sequence(F.lit(-1), F.greatest(inner, F.lit(0)))).alias("bin")))
-    both = (grid.join(cur.withColumnRenamed("n", "cn"), [*by, "feature", "bin"], "left")
-            .join(ref, ["feature", "bin"], "left").fillna(0, ["rn", "cn"]))
-    of_group = Window.partitionBy(*by, "feature")
-    both = both.withColumns({"rt": F.greatest(F.sum("rn").over(of_group), F.lit(1)), "ct": F.sum("cn").over(of_group)})
-    r = F.greatest(F.col("rn") / F.col("rt"), F.lit(PSI_FLOOR))
-    c = F.greatest(F.col("cn") / F.col("ct"), F.lit(PSI_FLOOR))
-    filled = (F.sum(F.when(F.col("bin") >= 0, F.col("cn"))) > 0) & (F.sum(F.when(F.col("bin") >= 0, F.col("rn"))) > 0)
-    return both.groupBy(*by, "feature").agg(F.when(filled, F.sum((c - r) * F.log(c / r))).alias("psi"))
+    edges = materialize(bin_edges(reference, features, bins), "edges")  # one row per feature, used by every step below
+    ref = _profile(_binned(reference, features, edges, []), ["feature"], "ref")
+    cur = _profile(_binned(current, features, edges, by), [*by, "feature"], "cur")
+    both = cur.join(ref, "feature").join(edges, "feature", "left")
+
+    def count(side, b):
+        return F.coalesce(F.try_element_at(F.col(f"{side}_bins"), b), F.lit(0))
+
+    def share(side, b):
+        return F.greatest(count(side, b) / F.col(f"{side}_all"), F.lit(PSI_FLOOR))
+
+    def term(total, b):
+        return total + (share("cur", b) - share("ref", b)) * F.log(share("cur", b) / share("ref", b))
+
+    all_bins = F.sequence(F.lit(-1), F.coalesce(F.size("edges"), F.lit(0)))
+    filled = ((F.col("cur_all") > count("cur", F.lit(-1))) & (F.col("ref_all") > count("ref", F.lit(-1))))
+    return both.select(*by, "feature", F.when(filled, F.aggregate(all_bins, F.lit(0.0), term)).alias("psi"))
 
 
 def feature_drift(reference: DataFrame, current: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from ledgerlens.functions.columns import flag
 from ledgerlens.operators.features import customer_series
 from ledgerlens.operators.ordering import global_row_number
 from ledgerlens.operators.skew import before, running
+from ledgerlens.session import materialize
 from ledgerlens.sources.views import Star
 
 HOUR = 3600
@@ -83,6 +84,7 @@ def customer_segmentation(s: Star) -> DataFrame:
     c = per_customer.crossJoin(F.broadcast(as_of)).select(
         "customer_id", "frequency", F.round("monetary", 4).alias("monetary"),
         ((F.col("_as_of") - F.col("_last")) / DAY).alias("recency_days"), "n_fraud")
+    c = materialize(c, "customers")  # three orders follow; the fact is aggregated once
     c = _quartile(c, ["frequency", "customer_id"], "f_q")
     c = _quartile(c, ["monetary", "customer_id"], "m_q")
     c = _quartile(c, [F.col("recency_days").desc(), F.col("customer_id")], "r_q")
