@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ledgerlens.config import Cost
 from ledgerlens.functions.columns import ratio
-from ledgerlens.operators.ordering import exact_quantiles, global_row_number, running_totals
+from ledgerlens.operators.ordering import global_row_number, quantiles_of_table, running_totals
+from ledgerlens.session import materialize
 
 LABEL = "is_fraud"
 
@@ -159,33 +160,38 @@ def quantile_grid(low: float, high: float, points: int) -> list[float]:
     return [float(p) for p in np.linspace(low, high, points)]
 
 
-def cost_curve(df: DataFrame, score: str, cost: Cost = Cost(), points: int = 400, high: float = 0.9999,
-               low: float = 0.5, label: str = LABEL) -> DataFrame:
-    """Cost and catch of alerting at each distinct quantile of the score.
+def _cost_table(df: DataFrame, score: str, label: str) -> DataFrame:
+    """Threshold table with amounts, stored once: quantiles, costs and precision limits all come from it."""
+    return materialize(threshold_table(score_table(df, score, label=label, amount="amount")), "thresholds")
 
-    The grid thresholds enter the score table as empty rows, so one running total serves all of them.
-    """
-    grid = exact_quantiles(df, score, quantile_grid(low, high, points)).select(F.col("q").alias("score")).distinct()
-    scores = score_table(df, score, label=label, amount="amount")
-    marked = (scores.withColumn("_grid", F.lit(0)).unionByName(grid.withColumn("_grid", F.lit(1)), True)
-              .groupBy("score").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"),
-                                    F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"),
-                                    F.coalesce(F.sum("pos_amount"), F.lit(0.0)).alias("pos_amount"),
-                                    F.max("_grid").alias("_grid")))
-    table = running_totals(marked, "score", {"alerts": "n", "tp": "pos", "tp_amount": "pos_amount"})
-    totals = scores.agg(F.sum("pos").alias("_p"), F.sum("pos_amount").alias("_amount"))
+
+def _quantiles(table: DataFrame, probs: Sequence[float], carry: Sequence[str] = ()) -> DataFrame:
+    total = table.agg(F.sum("n").alias("_all"))
+    ascending = table.crossJoin(F.broadcast(total)).select(
+        F.col("score").alias("_v"), F.col("n").alias("_n"), (F.col("_all") - F.col("alerts") + F.col("n")).alias("_upto"), *carry)
+    return quantiles_of_table(ascending, probs, carry=carry)
+
+
+def _curve(table: DataFrame, cost: Cost, points: int, high: float, low: float) -> DataFrame:
+    found = ["alerts", "tp", "tp_amount"]
+    grid = _quantiles(table, quantile_grid(low, high, points), found)
+    grid = grid.groupBy(F.col("q").alias("threshold")).agg(*[F.max(c).alias(c) for c in found])  # equal quantiles, equal counts
+    totals = table.agg(F.sum("pos").alias("_p"), F.sum("pos_amount").alias("_amount"))
     missed = ((F.col("_amount") - F.col("tp_amount")) * cost.loss_given_missed
               + (F.col("_p") - F.col("tp")) * cost.fraud_fixed_cost)
     total = F.col("alerts") * cost.review_cost + (F.col("alerts") - F.col("tp")) * cost.friction_cost + missed
-    return table.where("_grid = 1").crossJoin(F.broadcast(totals)).select(
-        F.col("score").alias("threshold"), "alerts", "tp", ratio(F.col("tp"), F.col("_p")).alias("recall"),
-        total.alias("total_cost"),
+    return grid.crossJoin(F.broadcast(totals)).select(
+        "threshold", "alerts", "tp", ratio(F.col("tp"), F.col("_p")).alias("recall"), total.alias("total_cost"),
         (F.col("_amount") * cost.loss_given_missed + F.col("_p") * cost.fraud_fixed_cost).alias("no_alert_cost"))
 
 
-def threshold_by_cost(df: DataFrame, score: str, cost: Cost = Cost(), points: int = 400, label: str = LABEL) -> DataFrame:
-    """Cheapest grid threshold (the lowest on ties); infinite when alerting never beats not alerting."""
-    curve = cost_curve(df, score, cost, points, label=label)
+def cost_curve(df: DataFrame, score: str, cost: Cost = Cost(), points: int = 400, high: float = 0.9999,
+               low: float = 0.5, label: str = LABEL) -> DataFrame:
+    """Cost and catch of alerting at each distinct quantile of the score, from one running total."""
+    return _curve(_cost_table(df, score, label), cost, points, high, low)
+
+
+def _cheapest(curve: DataFrame) -> DataFrame:
     best = curve.agg(F.min(F.struct(F.round("total_cost", 6).alias("c"), "threshold")).alias("b"),
                      F.max("no_alert_cost").alias("none"))
     wins = F.col("b.c") < F.round("none", 6)
@@ -193,19 +199,28 @@ def threshold_by_cost(df: DataFrame, score: str, cost: Cost = Cost(), points: in
                        F.when(wins, F.col("b.c")).otherwise(F.col("none")).alias("cost"))
 
 
+def threshold_by_cost(df: DataFrame, score: str, cost: Cost = Cost(), points: int = 400, label: str = LABEL) -> DataFrame:
+    """Cheapest grid threshold (the lowest on ties); infinite when alerting never beats not alerting."""
+    return _cheapest(cost_curve(df, score, cost, points, label=label))
+
+
+def _precise(table: DataFrame, min_precision: float, min_alerts: int) -> DataFrame:
+    good = (F.col("tp") / F.col("alerts") >= min_precision) & (F.col("alerts") >= min_alerts)
+    return table.agg(F.coalesce(F.min(F.when(good, F.col("score"))), F.lit(float("inf"))).alias("threshold"))
+
+
 def threshold_by_precision(df: DataFrame, score: str, min_precision: float = 0.9, min_alerts: int = 20,
                            label: str = LABEL) -> DataFrame:
     """Lowest threshold that keeps the precision with enough alerts; infinite if there is none."""
-    table = threshold_table(score_table(df, score, label=label))
-    good = (F.col("tp") / F.col("alerts") >= min_precision) & (F.col("alerts") >= min_alerts)
-    return table.agg(F.coalesce(F.min(F.when(good, F.col("score"))), F.lit(float("inf"))).alias("threshold"))
+    return _precise(threshold_table(score_table(df, score, label=label)), min_precision, min_alerts)
 
 
 def operating_thresholds(df: DataFrame, score: str, cost: Cost = Cost(), label: str = LABEL) -> DataFrame:
     """Review and block thresholds with their fallbacks: the 99 % quantile, and a block level nothing reaches."""
-    review = threshold_by_cost(df, score, cost, label=label).select(F.col("threshold").alias("_r"), "cost")
-    block = threshold_by_precision(df, score, label=label).select(F.col("threshold").alias("_b"))
-    q99 = exact_quantiles(df, score, [0.99]).select(F.col("q").alias("_q"))
+    table = _cost_table(df, score, label)
+    review = _cheapest(_curve(table, cost, 400, 0.9999, 0.5)).select(F.col("threshold").alias("_r"), "cost")
+    block = _precise(table, 0.9, 20).select(F.col("threshold").alias("_b"))
+    q99 = _quantiles(table, [0.99]).select(F.col("q").alias("_q"))
     one = review.crossJoin(F.broadcast(block)).crossJoin(F.broadcast(q99))
     infinite = F.lit(float("inf"))
     chosen = F.when(F.col("_r") == infinite, F.col("_q")).otherwise(F.col("_r"))

@@ -58,14 +58,20 @@ def global_row_number(df: DataFrame, order: Sequence, by: Sequence[str] = (), ou
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Linearly interpolated quantiles of the non-missing values: columns by, ``i`` (index into probs), ``q``.
+    """Linearly interpolated quantiles of the non-missing values: columns by, ``i`` (index into probs), ``q``."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    return quantiles_of_table(running_totals(counts, "_v", {"_upto": "_n"}, by, descending=False), probs, by)
+
 
-    ``probs`` must be evenly spaced; a row then finds the few quantile positions it covers by arithmetic.
+def quantiles_of_table(table: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
+                       carry: Sequence[str] = ()) -> DataFrame:
+    """Quantiles from distinct values ``_v`` with counts ``_n`` and ascending running counts ``_upto``.
+
+    ``carry`` columns are taken from the smallest value that is not below the quantile. ``probs`` must be evenly spaced; a row
+    then finds the few quantile positions it covers by arithmetic.
     """
     m = len(probs)
     start, step = probs[0], ((probs[-1] - probs[0]) / (m - 1) if m > 1 else 1.0)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    table = running_totals(counts, "_v", {"_upto": "_n"}, by, descending=False)
     totals = table.groupBy(*by).agg(F.sum("_n").alias("_total"))
     table = _attach(table, totals, by)
     span = F.greatest(F.col("_total") - 1, F.lit(1))
@@ -81,11 +87,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         return (position >= F.col("_upto") - F.col("_n")) & (position < F.col("_upto"))
 
     low, high = covers(F.floor("_pos")), covers(F.ceil("_pos"))
-    ends = (hits.where(low | high).groupBy(*by, "i")
-            .agg(F.max(F.when(low, F.col("_v"))).alias("_lo"), F.max(F.when(high, F.col("_v"))).alias("_hi"),
+    found = F.struct("_v", *carry)
+    ends = (hits.where(low | high).groupBy(*by, "i")  # one row each for the lower and the upper neighbour
+            .agg(F.max(F.when(low, found)).alias("_lo"), F.max(F.when(high, found)).alias("_hi"),
                  F.max("_pos").alias("_pos")))
-    return ends.select(*by, "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_pos") - F.floor("_pos")))
-                       .alias("q"))
+    lo, hi = F.col("_lo._v"), F.col("_hi._v")
+    ends = ends.withColumn("q", lo + (hi - lo) * (F.col("_pos") - F.floor("_pos")))
+    return ends.select(*by, "i", "q", *[F.when(F.col("q") > lo, F.col(f"_hi.{c}")).otherwise(F.col(f"_lo.{c}")).alias(c)
+                                        for c in carry])
 
 
 def _attach(table: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -622,9 +622,14 @@ def _(spark, sf):
     return scored(spark, sf).select("txn_id", F.round(rules.rule_score(), 6).alias("score_rules"))
 
 
-@query("ru3_rule_reasons")
+_REASON_TEXT = "CASE x " + " ".join("WHEN '{}' THEN '{}'".format(r.code, r.text.replace("'", "''")) for r in rules.RULES) + " END"
+
+
+@query("ru3_rule_reasons", oracle.scored(f"""SELECT txn_id, array_to_string(list_transform(rule_hits, lambda x : x || ' (rule): ' || {_REASON_TEXT}), '; ') AS reasons
+ FROM te WHERE alert"""))
 def _(spark, sf):
-    return test_rows(spark, sf).where(alert()).select("txn_id", F.to_json(rules.rule_reasons(F.col("rule_hits"))).alias("reasons"))
+    text = F.transform(rules.rule_reasons(F.col("rule_hits")), lambda r: F.format_string("%s (%s): %s", r["code"], r["source"], r["detail"]))
+    return test_rows(spark, sf).where(alert()).select("txn_id", F.array_join(text, "; ").alias("reasons"))
 
 
 @query("an1_robust_z_fit", oracle.scored("SELECT feature, round(center, 6) AS center, round(scale, 6) AS scale FROM zp"))
@@ -1131,7 +1136,7 @@ def _(spark, sf):
     return _trained(spark, sf).scored.select("txn_id", F.round("p_model", 6).alias("p_model"), "band")
 
 
-@query("snk6_model_roundtrip")
+@query("snk6_model_roundtrip", oracle.scored("SELECT count(*) AS n, CAST(0 AS BIGINT) AS different FROM te"))
 def _(spark, sf):
     """Saves the model, loads it and counts the test rows on which both disagree (none)."""
     from ledgerlens.plans.training import RiskModel

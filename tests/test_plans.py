@@ -127,3 +127,22 @@ def test_full_run_writes_every_artifact(spark, star):
     assert spark.read.json(f"{out}/run_manifest").first().n_transactions == star.transactions.count()
     loaded = training.RiskModel.load(f"{out}/model")
     assert (loaded.review, loaded.block) == (t.model.review, t.model.block)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scans_read_only_needed_columns_and_push_filters(spark):
+    from ledgerlens.sources.views import merchants, sales_transactions, transactions
+    from tests.conftest import SF
+
+    plan = plan_of(analytics.merchant_risk(sales_transactions(spark, SF), merchants(spark, SF)))
+    assert "ReadSchema: struct<l_suppkey:bigint,l_extendedprice:double,l_returnflag:string>" in plan
+    assert "CartesianProduct" not in plan
+    plan = plan_of(transactions(spark, SF).where("amount > 100").select("txn_id"))
+    assert "GreaterThan(value,100.0)" in plan
+
+
+def test_top_lists_do_not_sort_everything(star):
+    assert "TakeOrderedAndProject" in plan_of(analytics.unusual_behaviour(star))
