@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, decontam, langid, quality, sharding, simhash, sql, toxicity, warc
+from ledgerlens.llm import ann, bpe, decontam, langid, pii, quality, sharding, simhash, sql, toxicity, warc
+
+#: Key of the surrogates in the registered queries; a deployment passes its own secret.
+PII_KEY = "registered-query"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +47,11 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace(documents, PII_KEY, count="n_entities")
+
+
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -69,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_language": op5_language,
+    "op6_pii_surrogates": op6_pii_surrogates,
     "op7_neighbours": op7_neighbours,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
