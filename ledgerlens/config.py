@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 DAY = 86_400
 
 
+# The defaults of Split, Cost and Training.
 @dataclass(frozen=True)
 class Split:
     """Time split in days since the first transaction day.
@@ -66,9 +67,7 @@ class Training:
     logistic_iterations: int = 800
     forest_trees: int = 200
     forest_sample: int = 256
-    forest_max_rows: int = 150_000
     drift_reference_days: int = 60
-    drift_reference_rows: int = 30_000
 
 
 @dataclass(frozen=True)

@@ -75,12 +75,13 @@ def right_closed_bucket(x: Column, edges: Sequence[float], labels: Sequence[str]
     return out
 
 
+# Edges and labels of the buckets; the last one is open.
 def amount_bucket(amount: Column) -> Column:
-    return right_closed_bucket(amount, [0, 25, 100, 500, 1e12], ["<25", "25-100", "100-500", "500+"])
+    return right_closed_bucket(amount, [0, 25, 100, 500, float("inf")], ["<25", "25-100", "100-500", "500+"])
 
 
 def history_bucket(prior_n: Column) -> Column:
-    return right_closed_bucket(F.coalesce(prior_n, F.lit(0)), [-1, 9, 49, 1e9],
+    return right_closed_bucket(F.coalesce(prior_n, F.lit(0)), [-1, 9, 49, float("inf")],
                                ["new (<10 txns)", "established (10-49)", "mature (50+)"])
 
 

@@ -130,27 +130,29 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
     return nodes
 
 
-def fit_forest(features: DataFrame, seed: int, trees: int = 200, sample: int = 256,
-               max_rows: int = 150_000) -> IsolationForest:
-    """Trees grow in parallel, each on its own hash-chosen sample of about ``sample`` rows.
+def fit_forest(features: DataFrame, seed: int, trees: int = 200, sample: int = 256) -> IsolationForest:
+    """Trees grow in parallel, each on its own hash-chosen sample of ``sample`` of all rows.
 
-    At most ``max_rows`` hash-chosen rows take part, so the fitted forest is small whatever the input size.
+    A row draws as many tickets as it is expected to be chosen, rounded up; a ticket wins by a hash and names a tree by another.
+    In a large table that is one ticket, so the work per row does not depend on the number of trees.
     """
     total = features.count()
-    usable = min(total, max_rows)
     rows = features.select("txn_id", F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(-1.0))
                                                for f in FOREST_FEATURES]).alias("x"))
-    size = min(sample, usable)
+    size = min(sample, total)
 
     def share(*key):
         """Uniform number in [0, 1) from a seeded hash."""
         return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 40)) / float(1 << 40))
 
-    if total > max_rows:
-        rows = rows.where(share(F.col("txn_id")) < max_rows / total)
-    keep = min(1.0, 1.3 * size / usable + 8.0 / usable)
-    chosen = rows.withColumn("tree", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: share(F.col("txn_id"), t) < keep)))
+    keep = min(1.0, (1.3 * size + 8.0) / max(total, 1))  # share of the rows that a tree draws from
+    if keep < 0.1:
+        tickets = max(1, int(np.ceil(trees * keep)))
+        won = F.filter(F.sequence(F.lit(0), F.lit(tickets - 1)), lambda k: share(F.col("txn_id"), k) < trees * keep / tickets)
+        own = F.array_distinct(F.transform(won, lambda k: F.pmod(F.xxhash64(F.lit(seed + 1), "txn_id", k), F.lit(trees)).cast("int")))
+    else:  # a table of a few samples: nearly every row belongs to many trees
+        own = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: share(F.col("txn_id"), t) < keep)
+    chosen = rows.withColumn("tree", F.explode(own))
     chosen = chosen.withColumn("pick", share(F.col("txn_id"), F.col("tree")))
     limit = int(np.ceil(np.log2(max(size, 2))))
 

@@ -11,18 +11,22 @@ from ledgerlens.functions.columns import amount_bucket, flag, history_bucket, ra
 from ledgerlens.operators.evaluation import LABEL
 
 
+MISSING = "missing"
+
+
 def default_dimensions() -> dict[str, Column]:
     return {"segment": F.col("segment"), "channel": F.col("channel"), "category": F.col("category"),
             "amount_bucket": amount_bucket(F.col("amount")), "history": history_bucket(F.col("cust_prior_n"))}
 
 
-def by_dimension(df: DataFrame, dims: Mapping[str, Column], aggs: Sequence[Column], keep: Sequence[str]) -> DataFrame:
+def by_dimension(df: DataFrame, dims: Mapping[str, Column], aggs: Sequence[Column], keep: Sequence[str],
+                 missing: str | None = None) -> DataFrame:
     """Grouping sets ((d1), (d2), ..): one scan and one shuffle of partial sums; columns dim, value, aggs.
 
-    Rows without a value for a dimension are left out of it.
+    Rows without a value for a dimension count under ``missing``, or are left out of it.
     """
     names = list(dims)
-    base = df.select(*keep, *[dims[d].cast("string").alias(f"_d_{d}") for d in names])
+    base = df.select(*keep, *[F.coalesce(dims[d].cast("string"), F.lit(missing)).alias(f"_d_{d}") for d in names])
     cols = [F.col(f"_d_{d}") for d in names]
     out = base.groupingSets([[c] for c in cols], *cols).agg(*aggs, F.grouping_id().alias("_gid"))
     n = len(names)
@@ -70,7 +74,7 @@ def slice_report(df: DataFrame, alert: Column, dims: Mapping[str, Column] | None
                  min_legit: int = 500, recall_ratio: float = 0.7, fpr_ratio: float = 1.5) -> DataFrame:
     """Volume, recall, false-positive and alert rate per slice; flags slices far worse than overall.
 
-    Slices with little support are reported but never flagged.
+    Rows outside all buckets of a dimension, or without its value, are a slice of their own. Slices with little support are reported but never flagged.
     """
     y, a = F.col(LABEL) == 1, F.coalesce(alert, F.lit(False))
     d = df.withColumns({"_y": flag(y), "_a": flag(a), "_tp": flag(y & a)})
@@ -79,7 +83,7 @@ def slice_report(df: DataFrame, alert: Column, dims: Mapping[str, Column] | None
                     F.sum("_tp").alias("_otp")).select(
         (F.col("_otp") / F.greatest(F.col("_oy"), F.lit(1))).alias("_recall"),
         ((F.col("_oa") - F.col("_otp")) / F.greatest(F.col("_on") - F.col("_oy"), F.lit(1))).alias("_fpr"))
-    out = by_dimension(d, dims or default_dimensions(), aggs, ["_y", "_a", "_tp"]).crossJoin(F.broadcast(overall))
+    out = by_dimension(d, dims or default_dimensions(), aggs, ["_y", "_a", "_tp"], MISSING).crossJoin(F.broadcast(overall))
     legit = F.col("n") - F.col("n_fraud")
     recall = F.when(F.col("n_fraud") > 0, F.col("_tp") / F.col("n_fraud"))
     fpr = F.when(legit > 0, (F.col("n_alerts") - F.col("_tp")) / legit)

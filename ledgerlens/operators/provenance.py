@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import json
+import platform
 from collections.abc import Sequence
 from dataclasses import asdict
-from importlib.metadata import PackageNotFoundError, version
 
+import numpy
+import pandas
+import pyarrow
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,12 +32,10 @@ def fingerprint(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
 def manifest(transactions: DataFrame, settings: Settings, headline: dict) -> DataFrame:
     """One row that says which data, settings and versions produced a set of outputs."""
     config = json.dumps(asdict(settings), sort_keys=True)
-    versions = {}
-    for package in ("pyspark", "numpy", "pandas", "pyarrow"):
-        try:
-            versions[package] = version(package)
-        except PackageNotFoundError:
-            versions[package] = None
+    spark = transactions.sparkSession
+    of_jvm = spark.sparkContext._jvm.System.getProperty
+    versions = {"spark": spark.version, "java": of_jvm("java.version"), "python": platform.python_version(), "numpy": numpy.__version__,
+                "pandas": pandas.__version__, "pyarrow": pyarrow.__version__}
     return fingerprint(transactions).select(
         F.lit(__version__).alias("project_version"), F.col("n_rows").alias("n_transactions"),
         F.col("fingerprint").alias("data_fingerprint"), F.lit(hashlib.sha256(config.encode()).hexdigest()).alias("config_sha256"),

@@ -178,10 +178,8 @@ def daily_anomalies(transactions: DataFrame, p: AnalyticsParams = AnalyticsParam
     """Days whose volume is far from the mean of the preceding days."""
     daily = transactions.groupBy("txn_date").agg(F.count("*").alias("n_txn"), F.sum("is_fraud").alias("n_fraud"))
     base = Window.orderBy("txn_date").rowsBetween(-p.baseline_days, -1)  # one row per day
-    d = daily.withColumns({"_m": F.count("*").over(base), "_mu": F.avg("n_txn").over(base),
-                           "_mu2": F.avg(F.col("n_txn") * F.col("n_txn")).over(base)})
-    variance = F.col("_mu2") - F.col("_mu") * F.col("_mu")
-    z = F.when(variance > 0, (F.col("n_txn") - F.col("_mu")) / F.sqrt(variance))
+    d = daily.withColumns({"_m": F.count("*").over(base), "_mu": F.avg("n_txn").over(base), "_sd": F.stddev_pop("n_txn").over(base)})
+    z = F.when(F.col("_sd") > 0, (F.col("n_txn") - F.col("_mu")) / F.col("_sd"))
     return (d.withColumn("_z", z).where((F.col("_m") >= p.baseline_min_days) & (F.abs("_z") > p.z_limit))
             .orderBy(F.desc(F.abs("_z")), "txn_date")
             .select("txn_date", "n_txn", "n_fraud", F.round("_mu", 1).alias("baseline_mean"),
@@ -234,7 +232,7 @@ def register_views(s: Star) -> None:
 
 def run_sql(spark: SparkSession, text: str, params: dict | None = None) -> DataFrame:
     """Runs SQL text with ``:name`` parameters; only the parameters the text mentions (outside comments) are bound."""
-    code = re.sub(r"--[^\n]*", "", text)
+    code = re.sub(r"('(?:[^']|'')*')|--[^\n]*", lambda m: m[1] or "", text)  # a literal may hold two dashes
     used = {k: v for k, v in (params or {}).items() if re.search(rf":{k}\b", code)}
     return spark.sql(code, args=used)
 

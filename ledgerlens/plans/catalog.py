@@ -335,17 +335,13 @@ def _(spark, sf):
         {"limit": 5, "k": 200, "min_txn": 50, "spare": 1})
 
 
-@query("sqlr2_run_library", oracle.tables("""
-, per AS (SELECT merchant_id, count(*) AS n FROM txn GROUP BY 1)
-SELECT '02_daily_volume' AS query_name, count(DISTINCT txn_date) AS n_rows FROM txn
-UNION ALL SELECT '03_spending_patterns', count(DISTINCT (category, channel)) FROM txn t JOIN merch m ON t.merchant_id = m.merchant_id
-UNION ALL SELECT '07_merchant_risk', least(25, count(*)) FROM per JOIN merch USING (merchant_id) WHERE n >= 50
-UNION ALL SELECT '09_hourly_lift', count(DISTINCT hour_local) FROM txn"""))
+@query("sqlr2_run_library", " UNION ALL ".join(
+    f"SELECT '{n}' AS query_name, count(*) AS n_rows FROM ({ORACLES['q' + n]})" for n in sorted(analytics.LIBRARY)))
 def _(spark, sf):
+    """Rows of each of the eleven results."""
     results = analytics.run_library(star(spark, sf), _P)
-    shown = ["02_daily_volume", "03_spending_patterns", "07_merchant_risk", "09_hourly_lift"]
-    return reduce(DataFrame.unionByName, [results[n].agg(F.count("*").alias("n_rows"))
-                                          .select(F.lit(n).alias("query_name"), "n_rows") for n in shown])
+    return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("query_name"), "n_rows")
+                                          for n, df in results.items()])
 
 
 # ============================================================================ projections and filters
@@ -645,7 +641,7 @@ def _(spark, sf):
 @query("an3_isolation_forest")
 def _(spark, sf):
     t = SETTINGS.training
-    forest = anomaly.fit_forest(train_rows(spark, sf), t.seed, 100, t.forest_sample, t.forest_max_rows)
+    forest = anomaly.fit_forest(train_rows(spark, sf), t.seed, t.forest_trees, t.forest_sample)
     rows = test_rows(spark, sf)
     return rows.select("txn_id", F.round(anomaly.forest_score(forest, rows), 6).alias("score_iforest"))
 
@@ -845,7 +841,7 @@ def _(spark, sf):
     rows = test_rows(spark, sf)
     days = rows.agg(F.countDistinct("day").alias("_days"))
     curve = evaluation.cost_curve(rows, "score_z", points=120, high=0.9995).crossJoin(F.broadcast(days))
-    load = evaluation.workload(F.col("alerts"), F.col("_days"))["analysts_needed"]
+    load = evaluation.daily_review(F.col("alerts"), F.col("_days"))["analysts_needed"]
     return rounded(rounded(curve.withColumn("analysts", load), ["threshold", "analysts", "recall"], 6), ["total_cost"], 4).select(
         "threshold", "total_cost", "analysts", "recall")
 
@@ -887,7 +883,7 @@ def _(spark, sf):
   CASE WHEN n - n_fraud >= 100 AND o_fpr > 0 AND fpr > 1.5*o_fpr THEN 'high_false_positive_rate' END], lambda x : x IS NOT NULL), '|') AS flags FROM
  (SELECT dim, value, count(*) AS n, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, count(CASE WHEN alert THEN 1 END) AS alerts,
   count(CASE WHEN alert AND is_fraud=1 THEN 1 END) / nullif(sum(is_fraud), 0) AS recall, count(CASE WHEN alert AND is_fraud=0 THEN 1 END) / nullif(count(*) - sum(is_fraud), 0) AS fpr
-  FROM ({" UNION ALL ".join(f"SELECT '{d}' AS dim, {c} AS value, alert, is_fraud FROM te" for d, c in _DIMS.items())}) WHERE value IS NOT NULL GROUP BY dim, value),
+  FROM ({" UNION ALL ".join(f"SELECT '{d}' AS dim, coalesce({c}, 'missing') AS value, alert, is_fraud FROM te" for d, c in _DIMS.items())}) GROUP BY dim, value),
  (SELECT count(CASE WHEN alert AND is_fraud=1 THEN 1 END) / greatest(sum(is_fraud), 1) AS o_recall, count(CASE WHEN alert AND is_fraud=0 THEN 1 END) / greatest(count(*) - sum(is_fraud), 1) AS o_fpr FROM te)"""))
 def _(spark, sf):
     out = breakdown.slice_report(test_rows(spark, sf), alert(), min_fraud=10, min_legit=100)

@@ -157,8 +157,8 @@ def _bucket(x: str, edges: list[float], labels: list[str]) -> str:
     return f"CASE {' '.join(parts)} END"
 
 
-AMOUNT_BUCKET = _bucket("amount", [0, 25, 100, 500, 1e12], ["<25", "25-100", "100-500", "500+"])
-HISTORY_BUCKET = _bucket("coalesce(cust_prior_n, 0)", [-1, 9, 49, 1e9],
+AMOUNT_BUCKET = _bucket("amount", [0, 25, 100, 500, "CAST('inf' AS DOUBLE)"], ["<25", "25-100", "100-500", "500+"])
+HISTORY_BUCKET = _bucket("coalesce(cust_prior_n, 0)", [-1, 9, 49, "CAST('inf' AS DOUBLE)"],
                          ["new (<10 txns)", "established (10-49)", "mature (50+)"])
 DATASET_CTES = f"""
 d AS (SELECT f.*, CAST((ts_epoch - (SELECT min(ts_epoch)//86400*86400 FROM txn))//86400 AS INT) AS day FROM f),

@@ -42,10 +42,10 @@ def baseline_table(train: DataFrame, features: Sequence[str] = FEATURES) -> Data
 
 
 def drift_reference(train: DataFrame, t: Training = Training()) -> DataFrame:
-    """Hash-ordered sample of the last training days: reproducible, and small by definition."""
+    """All rows of the last training days; drift only needs their bin counts."""
     last = train.agg(F.max("day").alias("_last"))
     recent = train.crossJoin(F.broadcast(last)).where(F.col("day") >= F.col("_last") - t.drift_reference_days)
-    return recent.orderBy(F.xxhash64(F.lit(t.seed), "txn_id"), "txn_id").limit(t.drift_reference_rows).drop("_last")
+    return recent.drop("_last")
 
 
 def medians_of(train: DataFrame, features: Sequence[str], accuracy: int = 10_000) -> dict[str, float]:
@@ -193,7 +193,7 @@ def train_all(data: DataFrame, settings: Settings = Settings(), features: Sequen
     ev = ev.withColumns({"rule_hits": rule_hits(), "score_rules": rule_score(), "score_robust_z": anomaly.robust_z_score(z)})
     grown = None
     if forest:
-        grown = anomaly.fit_forest(train, t.seed, t.forest_trees, t.forest_sample, t.forest_max_rows)
+        grown = anomaly.fit_forest(train, t.seed, t.forest_trees, t.forest_sample)
         ev = ev.withColumn("score_iforest", anomaly.forest_score(grown, ev))
 
     candidates = {"logistic_regression": fit_candidate("logistic_regression", train, features, t, n_rows, rate),
@@ -210,6 +210,7 @@ def train_all(data: DataFrame, settings: Settings = Settings(), features: Sequen
     limits = operating_thresholds(ev.where(F.col("split") == "valid"), "p_model", settings.cost).first()
     review, block = float(limits["review"]), float(limits["block"])
     baseline = {r["feature"]: r["baseline"] for r in baseline_table(train, features).collect()}  # one row per feature
+    # fixed values: the names of the metadata entries
     meta = {"model_version": __version__, "algorithm": best, "selected_by": "validation PR-AUC",
             "candidate_valid_pr_auc": ap, "seed": t.seed, "split": asdict(settings.split), "cost": asdict(settings.cost),
             "valid_cost_at_review": float(limits["valid_cost"]),

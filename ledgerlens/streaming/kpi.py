@@ -11,7 +11,7 @@ def volume_stream(scored: DataFrame, alert: Column, window_days: int, first_day:
     the grid to the data's first day. A block is emitted once the watermark passes its end."""
     offset = f"{first_day % window_days} days"
     w = F.window("ts", f"{window_days} days", startTime=offset)
-    timed = scored.withColumn("ts", F.col("ts").cast("timestamp"))  # watermarks need a time-zoned type
+    timed = scored.withColumn("ts", F.timestamp_seconds("ts_epoch"))  # UTC, whatever the session's zone
     return (timed.withWatermark("ts", lateness).groupBy(w.alias("w"))
             .agg(F.count("*").alias("n_txn"), F.sum(F.when(alert, 1).otherwise(0)).alias("n_alerts"))
             .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_txn", "n_alerts",

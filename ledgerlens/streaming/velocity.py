@@ -88,7 +88,7 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
 
 def velocity_stream(stream: DataFrame, lateness: str = "1 hour") -> DataFrame:
     """Velocity features per arriving (customer, second); rows later than ``lateness`` are dropped by the watermark."""
-    ts = F.col("ts").cast("timestamp").alias("ts")  # watermarks need a time-zoned type
+    ts = F.timestamp_seconds("ts_epoch").alias("ts")  # UTC, whatever the session's zone
     slim = stream.select("customer_id", "merchant_id", ts, "ts_epoch", "amount", "channel")
     return slim.withWatermark("ts", lateness).groupBy("customer_id").applyInPandasWithState(
         _update, OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
