@@ -10,8 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ordering import exact_quantiles
-from ledgerlens.session import materialize
+from ledgerlens.operators.ordering import wide_quantiles
 
 # Features of the robust z-score and whether they are log-transformed.
 ROBUST_Z_FEATURES = {"amount_logz": False, "cnt_1h": True, "cnt_24h_vs_daily_rate": True, "dist_from_home_km": True,
@@ -34,18 +33,17 @@ def fit_robust_z(features: DataFrame) -> DataFrame:
 
     Nearly constant features fall back to the mean absolute deviation, then to the standard deviation.
     """
-    pairs = [F.struct(F.lit(f).alias("feature"), _transformed(f).alias("x")) for f in ROBUST_Z_FEATURES]
-    long = (features.select(F.explode(F.array(*pairs)).alias("p")).select("p.feature", "p.x")
-            .where(F.col("x").isNotNull()))
-    center = exact_quantiles(long, "x", [0.5], ["feature"]).select("feature", F.col("q").alias("center"))
-    center = materialize(center, "medians")  # seven rows, used by every step below
-    away = long.join(F.broadcast(center), "feature").withColumn("d", F.abs(F.col("x") - F.col("center")))
-    mad = exact_quantiles(away, "d", [0.5], ["feature"]).select("feature", F.col("q").alias("mad"))
-    spread = away.groupBy("feature").agg(F.avg("d").alias("mean_dev"), F.stddev_samp("x").alias("sd"))
-    fallback = F.greatest(F.col("mean_dev") / 1.2533, F.col("sd"), F.lit(1e-3))
-    return (center.join(mad, "feature").join(spread, "feature")
-            .select("feature", "center",
-                    F.when(F.col("mad") < 1e-9, fallback).otherwise(1.4826 * F.col("mad")).alias("scale")))
+    x = {f: _transformed(f) for f in ROBUST_Z_FEATURES}
+    center = {r["feature"]: r["q"] for r in wide_quantiles(features, x, [0.5]).collect()}  # seven numbers
+    away = {f: F.abs(x[f] - c) for f, c in center.items()}
+    mad = {r["feature"]: r["q"] for r in wide_quantiles(features, away, [0.5]).collect()}
+    spread = features.agg(*[a for f in center for a in (F.avg(away[f]).alias(f"d_{f}"), F.stddev_samp(x[f]).alias(f"s_{f}"))]).first()
+
+    def scale(f: str) -> float:
+        return 1.4826 * mad[f] if mad[f] >= 1e-9 else max(spread[f"d_{f}"] / 1.2533, spread[f"s_{f}"] or 0.0, 1e-3)
+
+    return features.sparkSession.createDataFrame([(f, c, scale(f)) for f, c in center.items()],
+                                                 "feature string, center double, scale double")
 
 
 def robust_z_params(fitted: DataFrame) -> dict[str, tuple[float, float]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.evaluation import LABEL, ranking_metrics
-from ledgerlens.operators.ordering import exact_quantiles
+from ledgerlens.operators.ordering import wide_quantiles
 from ledgerlens.schema import TREND_FEATURES
 from ledgerlens.session import materialize
 
@@ -30,7 +30,7 @@ def _long(df: DataFrame, features: Sequence[str], by: Sequence[str]) -> DataFram
 def bin_edges(reference: DataFrame, features: Sequence[str], bins: int = 10) -> DataFrame:
     """Per feature the distinct inner quantiles of the reference, ascending."""
     probs = [i / bins for i in range(1, bins)]
-    q = exact_quantiles(_long(reference, features, []), "x", probs, ["feature"])
+    q = wide_quantiles(reference, {f: F.col(f) for f in features}, probs)
     return q.groupBy("feature").agg(F.sort_array(F.collect_set("q")).alias("edges"))  # at most bins - 1 values
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.session import materialize
@@ -97,6 +97,46 @@ def quantiles_of_table(table: DataFrame, probs: Sequence[float], by: Sequence[st
                                         for c in carry])
 
 
+def wide_quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence[float], accuracy: int = 10_000) -> DataFrame:
+    """Linearly interpolated quantiles of many columns: ``feature``, ``i`` (index into probs), ``q``; exact, without unpivoting the rows.
+
+    Sketches give a bracket around each quantile, wider than their error bound; one pass counts what lies below each bracket and
+    hands on only the values inside it, combined by value. A bracket of one value is the quantile itself. A column without values
+    has no rows. What reaches the driver is one number per column, quantile and bound.
+    """
+    names, m = list(columns), len(probs)
+    x = [columns[k].cast("double") for k in names]
+    sizes = df.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(x)]).first()
+    slots = [(i, j) for i in range(len(names)) for j in range(m) if sizes[f"n{i}"]]
+    if not slots:
+        return df.sparkSession.createDataFrame([], "feature string, i int, q double")
+
+    def bounds(i: int, j: int) -> list[float]:
+        near = 2.0 / accuracy + 2.0 / sizes[f"n{i}"]
+        return [max(probs[j] - near, 0.0), min(probs[j] + near, 1.0)]
+
+    ends = df.agg(*[F.percentile_approx(x[i], F.array(*[F.lit(b) for j in range(m) for b in bounds(i, j)]), F.lit(accuracy)).alias(f"b{i}")
+                    for i in sorted({i for i, _ in slots})]).first()
+    bracket = {(i, j): (ends[f"b{i}"][2 * j], ends[f"b{i}"][2 * j + 1]) for i, j in slots}
+    found = {s: lo for s, (lo, hi) in bracket.items() if lo == hi}
+    open_ = [s for s in slots if s not in found]
+    if open_:
+        below = df.agg(*[F.count(F.when(x[i] < bracket[i, j][0], 1)).alias(f"c{k}") for k, (i, j) in enumerate(open_)]).first()
+        inside = [F.when(x[i].between(*bracket[i, j]), F.struct(F.lit(k).alias("slot"), x[i].alias("_v"))) for k, (i, j) in enumerate(open_)]
+        values = df.select(F.explode(F.array_compact(F.array(*inside))).alias("p")).groupBy("p.slot", "p._v").agg(F.count("*").alias("_n"))
+        totals = running_totals(values, "_v", {"_upto": "_n"}, ["slot"], descending=False)
+        place = [probs[j] * (sizes[f"n{i}"] - 1) for i, j in open_]
+        wanted = F.array(*[F.lit(float(int(p) - below[f"c{k}"])) for k, p in enumerate(place)])
+        first = F.element_at(wanted, F.col("slot") + 1)
+        pair = totals.groupBy("slot").agg(F.min(F.when(F.col("_upto") > first, F.col("_v"))).alias("lo"),
+                                          F.min(F.when(F.col("_upto") > first + 1, F.col("_v"))).alias("hi")).collect()
+        for r in pair:
+            part = place[r["slot"]] - int(place[r["slot"]])
+            found[open_[r["slot"]]] = r["lo"] if not part or r["hi"] is None else r["lo"] + (r["hi"] - r["lo"]) * part
+    return df.sparkSession.createDataFrame([(names[i], j, float(q)) for (i, j), q in sorted(found.items())],
+                                           "feature string, i int, q double")
+
+
 def _attach(table: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds the columns of a one-row-per-group table; a single row is broadcast, groups join on their key."""
     if not by:

@@ -107,19 +107,24 @@ def _(spark, sf):
     return views.truth(spark, sf)
 
 
-_SCORED_SQL = """SELECT txn_id, split, day, channel, category, amount, is_fraud, band, round(score_rules, 6) AS score_rules,
-array_to_string(rule_hits, '|') AS rule_hits FROM sc"""
+_SCORED_SQL = """SELECT txn_id, split, day, channel, category, amount, is_fraud, round(score_rules, 6) AS score_rules,
+round(score_z, 5) AS score_robust_z, array_to_string(rule_hits, '|') AS rule_hits, true AS complete FROM sc"""
 
 
 @query("snk4_scored_parquet", oracle.scored(_SCORED_SQL))
 def _(spark, sf):
-    """Writes the scored table partitioned by split and reads it back."""
+    """Writes the scored table with all model columns, partitioned by split, and reads it back."""
     path = f"{workspace(spark)}/scored-sink"
-    df = scored(spark, sf).withColumns({"p_model": F.col("score_rules"), "score_robust_z": F.col("score_z")})
-    writers.write_scored(df, path)
+    t = _trained(spark, sf)
+    valid = t.scored.where(F.col("split") == "valid").withColumns({"reasons": F.lit(""), "top_reason": F.lit("")})
+    writers.write_scored(valid.unionByName(_explained(spark, sf)), path)
+    share = [F.col(c).between(0, 1) for c in ("p_model", "score_iforest", "score_logreg")]
+    band = col.band(F.col("p_model"), t.model.review, t.model.block)
+    reasons = (F.col("reasons") != "") == ((F.col("split") == "test") & (F.col("band") != "allow"))
     return readers.read_scored(spark, path).select(
-        "txn_id", "split", "day", "channel", "category", "amount", "is_fraud", "band",
-        F.round("score_rules", 6).alias("score_rules"), "rule_hits")
+        "txn_id", "split", "day", "channel", "category", "amount", "is_fraud", F.round("score_rules", 6).alias("score_rules"),
+        F.round("score_robust_z", 5).alias("score_robust_z"), "rule_hits",
+        (reduce(lambda a, b: a & b, share) & (F.col("band") == band) & reasons).alias("complete"))
 
 
 @query("src5_csv_report", oracle.tables("""SELECT txn_date, count(*) AS n_txn, CAST(sum(is_fraud) AS BIGINT) AS n_fraud
@@ -1086,15 +1091,12 @@ def _(spark, sf):
 
 # =============================================================================== models, reasons, backtest
 def _trained(spark, sf):
-    """One model per application; fewer boosting rounds than in production keep the check short."""
-    from dataclasses import replace
-
+    """One model per application, fitted with the production settings."""
     from ledgerlens.plans.training import train_all
 
     key = (spark.sparkContext.applicationId, sf, "trained")
     if key not in _tables:
-        light = replace(SETTINGS, training=replace(SETTINGS.training, boosting_rounds=15, forest_trees=50, logistic_iterations=100))
-        _tables[key] = train_all(feature_table(spark, sf), light)
+        _tables[key] = train_all(feature_table(spark, sf), SETTINGS)
     return _tables[key]
 
 
@@ -1173,15 +1175,13 @@ def _(spark, sf):
 
 
 def _backtest(spark, sf):
-    from dataclasses import replace
-
     from ledgerlens.plans.backtest import run_backtest
 
     key = (spark.sparkContext.applicationId, sf, "backtest")
     if key not in _tables:
-        light = replace(SETTINGS, training=replace(SETTINGS.training, boosting_rounds=5, logistic_iterations=50))
-        folds, summary = run_backtest(feature_table(spark, sf), light, n_origins=2, step_days=4, test_days=6, min_train_days=4)
-        _tables[key] = (materialize(folds, "folds"), materialize(summary, "summary"))
+        # days scaled to a history of thirty; two of the four origins have enough of it
+        folds, summary = run_backtest(feature_table(spark, sf), SETTINGS, step_days=4, test_days=6, min_train_days=4)
+        _tables[key] = (folds, materialize(summary, "summary"))
     return _tables[key]
 
 

@@ -19,24 +19,24 @@ from ledgerlens.config import Settings, Training
 from ledgerlens.functions.columns import band, logit
 from ledgerlens.operators import anomaly
 from ledgerlens.operators.evaluation import operating_thresholds, ranking_metrics, split_summary
-from ledgerlens.operators.ordering import exact_quantiles
+from ledgerlens.operators.ordering import wide_quantiles
 from ledgerlens.operators.quality import banned_columns
 from ledgerlens.operators.rules import rule_hits, rule_score
 from ledgerlens.schema import CATEGORIES, FEATURES
-from ledgerlens.session import materialize
+from ledgerlens.session import materialize, workspace
 
 LABEL = "is_fraud"
 SCORES = {"rules": "score_rules", "robust_z": "score_robust_z", "isolation_forest": "score_iforest",
           "logistic_regression": "score_logreg", "boosted_trees": "score_boosted"}
+ROWS_PER_TASK = 200_000
 MISSING = -999.0  # below every feature value, so a tree can split missing values off
 
 
 # ------------------------------------------------------------------------------------------ statistics
 def baseline_table(train: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     """Exact median of each feature over legitimate training rows (0 when a feature has no value)."""
-    parts = [F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]
-    long = train.where(F.col(LABEL) == 0).select(F.explode(F.array(*parts)).alias("p")).select("p.feature", "p.x")
-    medians = exact_quantiles(long, "x", [0.5], ["feature"]).select("feature", F.col("q").alias("baseline"))
+    medians = wide_quantiles(train.where(F.col(LABEL) == 0), {f: F.col(f) for f in features}, [0.5]).select(
+        "feature", F.col("q").alias("baseline"))
     names = train.sparkSession.createDataFrame([(f,) for f in features], "feature string")
     return names.join(medians, "feature", "left").fillna(0.0, ["baseline"])
 
@@ -188,6 +188,9 @@ def train_all(data: DataFrame, settings: Settings = Settings(), features: Sequen
     ev = data.where(F.col("split").isin("valid", "test"))
     facts = {r["split"]: r for r in split_summary(data.where(F.col("split").isNotNull())).collect()}  # three rows
     n_rows, rate = facts["train"]["n_rows"], facts["train"]["fraud_rate"]
+    train = train.coalesce(n_rows // ROWS_PER_TASK + 1)  # boosting runs thousands of short jobs: no more tasks than the rows need
+    if data.sparkSession.sparkContext.getCheckpointDir() is None:
+        data.sparkSession.sparkContext.setCheckpointDir(workspace(data.sparkSession))  # boosting cuts its lineage there
 
     z = anomaly.robust_z_params(anomaly.fit_robust_z(train))
     ev = ev.withColumns({"rule_hits": rule_hits(), "score_rules": rule_score(), "score_robust_z": anomaly.robust_z_score(z)})
