@@ -6,15 +6,16 @@ exact and frequent scores cost nothing. Running totals over it give every thresh
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import Cost
 from ledgerlens.functions.columns import ratio
-from ledgerlens.operators.ordering import global_row_number, quantiles_of_table, running_totals
+from ledgerlens.operators.ordering import global_row_number, join_null_safe, quantiles_of_table, range_partitioned, running_totals
 from ledgerlens.session import materialize
 
 LABEL = "is_fraud"
@@ -80,15 +81,28 @@ def unpivot_scores(df: DataFrame, scores: dict[str, str], keep: Sequence[str]) -
 
 def at_budget(df: DataFrame, score: str, k: Column | int, by: Sequence[str] = (), label: str = LABEL,
               row_id: str = "txn_id") -> DataFrame:
-    """Precision and recall when only the k best-scored rows are reviewed; ties are taken in id order."""
+    """Precision and recall when only the k best-scored rows are reviewed; ties are taken in id order.
+
+    The threshold table names the score at which the budget ends; only the rows tied there are put in id order. ``k`` is a number
+    or a column that is constant within ``by``.
+    """
     k = F.lit(k) if isinstance(k, int) else k
-    slim = df.select(*by, row_id, score, label, k.alias("_k"))
-    ranked = global_row_number(slim, [F.col(score).desc(), F.col(row_id)], by)
-    inside = F.col("rn") <= F.greatest(F.col("_k"), F.lit(1))
-    return ranked.groupBy(*by).agg(
-        _count(inside).alias("k"),
-        (_count(inside & (F.col(label) == 1)) / _count(inside)).alias("precision"),
-        (_count(inside & (F.col(label) == 1)) / F.greatest(F.sum(label), F.lit(1))).alias("recall"))
+    slim = df.select(*by, F.col(row_id).alias("_id"), F.col(score).alias("score"), F.col(label).alias("_y"), k.alias("_k"))
+    table = threshold_table(score_table(slim, "score", by, "_y"), by)
+    budget = slim.groupBy(*by).agg(F.greatest(F.max("_k"), F.lit(1)).alias("_k"), F.count("*").alias("_all"), F.sum("_y").alias("_pos"))
+    budget = budget.withColumn("_k", F.least("_k", "_all").cast("bigint"))
+    reached = F.when(F.col("alerts") >= F.col("_k"), F.struct("alerts", "score", "n", "pos", "tp"))
+    cut = join_null_safe(table, budget, by).groupBy(*by, "_k", "_pos").agg(F.min(reached).alias("c")).select(
+        *by, "_k", "_pos", F.col("c.score").alias("_cut"), (F.col("c.tp") - F.col("c.pos")).alias("_sure"),
+        (F.col("_k") - F.col("c.alerts") + F.col("c.n")).alias("_more"))
+    cut = materialize(cut, "cuts")  # one row per group
+    tied = join_null_safe(slim, cut, by).where(F.col("score").eqNullSafe(F.col("_cut")))
+    ranked = global_row_number(tied.select(*by, "_id", "_y", "_more"), ["_id"], by)
+    chosen = ranked.groupBy(*by).agg(F.sum(F.when(F.col("rn") <= F.col("_more"), F.col("_y")).otherwise(0)).alias("_tied"))
+    caught = F.col("_sure") + F.col("_tied")
+    return join_null_safe(cut, chosen, by).select(
+        *by, F.col("_k").alias("k"), (caught / F.col("_k")).alias("precision"),
+        (caught / F.greatest(F.col("_pos"), F.lit(1))).alias("recall"))
 
 
 def method_comparison(df: DataFrame, scores: dict[str, str], budget: int | None = None, by: Sequence[str] = (),
@@ -250,23 +264,47 @@ def bootstrap_ranking(df: DataFrame, score: str, boots: int = 150, seed: int = 0
                       label: str = LABEL) -> DataFrame:
     """Average precision of each day-block resample.
 
-    A resample is a multiplicity per day drawn from a seeded hash, so no row is copied: the (day, score) counts are
-    weighted by it.
+    A resample is a multiplicity per day, so no row is copied: the (score, day) counts are sorted once, and the running totals of all
+    resamples are arrays that go along.
     """
-    days = df.select(day).distinct()
-    numbered = days.select(day, (F.row_number().over(Window.orderBy(day)) - 1).alias("_i"))  # one row per day
-    size = days.agg(F.count("*").alias("_d"))
-    draws = size.select("_d", F.explode(F.sequence(F.lit(0), F.lit(boots - 1))).alias("boot"))
-    draws = draws.select("boot", "_d", F.explode(F.sequence(F.lit(1), F.col("_d"))).alias("_draw"))
-    draws = draws.select("boot", F.pmod(F.xxhash64(F.lit(seed), "boot", "_draw"), F.col("_d")).cast("int").alias("_i"))
-    times = draws.groupBy("boot", "_i").agg(F.count("*").alias("_times")).join(numbered, "_i").select("boot", day, "_times")
-    counts = df.groupBy(day, score).agg(F.count("*").alias("_n"), F.sum(label).alias("_y"))
-    weighted = counts.join(times, day).groupBy("boot", F.col(score).alias("score")).agg(
-        F.sum(F.col("_n") * F.col("_times")).cast("bigint").alias("n"),
-        F.sum(F.col("_y") * F.col("_times")).cast("bigint").alias("pos"))
-    table = threshold_table(weighted, ["boot"])
-    ap = F.sum(F.col("pos").cast("double") * F.col("tp") / F.col("alerts")) / F.max("tp")
-    return table.groupBy("boot").agg(F.max("tp").alias("_p"), F.when(F.max("tp") > 0, ap).alias("pr_auc")).where("_p > 0").drop("_p")
+    days = sorted(r[0] for r in df.select(day).distinct().collect())  # one number per day
+    draws = np.random.default_rng(seed).integers(0, len(days), (boots, len(days))) if days else np.zeros((boots, 0), int)
+    times = {d: row for d, row in zip(days, np.array([np.bincount(x, minlength=len(days)) for x in draws]).T)}
+    shared = df.sparkSession.sparkContext.broadcast(times)
+    counts = df.groupBy(F.col(score).cast("double").alias("s"), F.col(day).cast("long").alias("d")).agg(
+        F.count("*").alias("n"), F.sum(label).cast("bigint").alias("pos"))
+    ranged = range_partitioned(counts, [F.col("s").desc()])  # sorted ranges, best scores first; a score's rows are in one range
+
+    def weighted(pdf: pd.DataFrame, scores: int = 10_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows and positives of each score, best first, in every resample; ``scores`` of them at a time."""
+        pdf = pdf.sort_values("s", ascending=False, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(pdf["s"].to_numpy()) != 0])
+        for k in range(0, len(first), scores):
+            a, b = first[k], first[k + scores] if k + scores < len(first) else len(pdf)
+            w = np.stack([shared.value[d] for d in pdf["d"].iloc[a:b]]).astype(float)
+            at = first[k:k + scores] - a
+            yield tuple(np.add.reduceat(w * pdf[c].to_numpy()[a:b, None], at) for c in ("n", "pos"))
+
+    def total(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, pos = (sum(x) for x in zip(*[(n.sum(0), pos.sum(0)) for n, pos in weighted(pdf)]))
+        return pd.DataFrame({"part": [int(pdf["_part"].iloc[0])], "n": [n], "pos": [pos]})
+
+    sums = ranged.groupBy("_part").applyInPandas(total, "part int, n array<double>, pos array<double>").toPandas().sort_values("part")
+    n, pos = (np.array(sums[c].tolist()).reshape(len(sums), boots) for c in ("n", "pos"))  # ranges x resamples
+    start = {p: (x, y) for p, x, y in zip(sums["part"], np.cumsum(n, 0) - n, np.cumsum(pos, 0) - pos)}
+    before = df.sparkSession.sparkContext.broadcast(start)
+
+    def gains(pdf: pd.DataFrame) -> pd.DataFrame:
+        alerts, tp = (x.copy() for x in before.value[int(pdf["_part"].iloc[0])])
+        gain, caught = np.zeros(len(tp)), np.zeros(len(tp))
+        for n, pos in weighted(pdf):
+            upto = tp + np.cumsum(pos, 0)
+            gain += (pos * upto / np.maximum(alerts + np.cumsum(n, 0), 1)).sum(0)
+            alerts, tp, caught = alerts + n.sum(0), upto[-1], caught + pos.sum(0)
+        return pd.DataFrame({"boot": np.arange(len(tp)), "gain": gain, "caught": caught})
+
+    parts = ranged.groupBy("_part").applyInPandas(gains, "boot int, gain double, caught double")
+    return parts.groupBy("boot").agg((F.sum("gain") / F.sum("caught")).alias("pr_auc"), F.sum("caught").alias("_p")).where("_p > 0").drop("_p")
 
 
 def bootstrap_interval(df: DataFrame, score: str, boots: int = 150, seed: int = 0) -> DataFrame:
@@ -278,23 +316,41 @@ def bootstrap_interval(df: DataFrame, score: str, boots: int = 150, seed: int =
 
 # ----------------------------------------------------------------------------------------- calibration
 def _rank_bins(df: DataFrame, p: str, bins: int, row_id: str) -> DataFrame:
-    """Equal-size bins of the rank; ties in id order."""
-    ranked = global_row_number(df.select(row_id, p, LABEL), [p, row_id])
+    """Equal-size bins of the rank, ties in id order: ``bin``, ``p``, ``n`` rows and ``pos`` positives per value and bin.
+
+    A value whose rows all fall into one bin is counted as a whole; only the rows of values that reach over a limit are ranked.
+    """
+    slim = df.select(F.col(row_id).alias("_id"), F.col(p).alias("score"), F.col(LABEL).alias("_y"))
     total = df.agg(F.count("*").alias("_total"))
-    cut = F.ceil((F.col("rn") - 1) * F.lit(bins) / F.greatest(F.col("_total") - 1, F.lit(1))) - 1
-    return ranked.crossJoin(F.broadcast(total)).withColumn("bin", F.greatest(cut, F.lit(0)).cast("int"))
+
+    def bin_of(rank: Column) -> Column:
+        cut = F.ceil((rank - 1) * F.lit(bins) / F.greatest(F.col("_total") - 1, F.lit(1))) - 1
+        return F.greatest(cut, F.lit(0)).cast("int")
+
+    table = running_totals(score_table(slim, "score", label="_y"), "score", {"_upto": "n"}, descending=False)
+    table = table.crossJoin(F.broadcast(total))
+    table = table.withColumns({"bin": bin_of(F.col("_upto") - F.col("n") + 1), "_last": bin_of(F.col("_upto"))})
+    whole = table.where("bin = _last").select("bin", F.col("score").alias("p"), "n", "pos")
+    over = materialize(table.where("bin < _last").select(F.col("score").alias("_s"), (F.col("_upto") - F.col("n")).alias("_before"), "_total"),
+                       "split-values")  # at most one value per limit
+    rows = slim.join(F.broadcast(over), F.col("score").eqNullSafe(F.col("_s"))).select("_id", "score", "_y", "_before", "_total")
+    ranked = global_row_number(rows, ["_id"], ["score"]).withColumn("bin", bin_of(F.col("_before") + F.col("rn")))
+    parts = ranked.groupBy("bin", F.col("score").alias("p")).agg(F.count("*").alias("n"), F.sum("_y").cast("bigint").alias("pos"))
+    return whole.unionByName(parts)
 
 
 def calibration_table(df: DataFrame, p: str, bins: int = 8, row_id: str = "txn_id") -> DataFrame:
     return _rank_bins(df, p, bins, row_id).groupBy("bin").agg(
-        F.avg(p).alias("mean_pred"), F.avg(LABEL).alias("observed"), F.count("*").alias("n"))
+        (F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("mean_pred"), (F.sum("pos") / F.sum("n")).alias("observed"),
+        F.sum("n").alias("n"))
 
 
 def calibration_summary(df: DataFrame, p: str, bins: int = 10, row_id: str = "txn_id") -> DataFrame:
     """Brier score, that of the constant base rate, expected calibration error, mean prediction and observed rate."""
-    y = F.col(LABEL).cast("double")
+    value, ones = F.col("p"), F.col("pos")
     per_bin = _rank_bins(df, p, bins, row_id).groupBy("bin").agg(
-        F.sum(F.pow(F.col(p) - y, 2)).alias("sq"), F.sum(p).alias("sp"), F.sum(y).alias("sy"), F.count("*").alias("n"))
+        F.sum(F.pow(value - 1, 2) * ones + F.pow(value, 2) * (F.col("n") - ones)).alias("sq"),
+        F.sum(value * F.col("n")).alias("sp"), F.sum(ones).cast("double").alias("sy"), F.sum("n").alias("n"))
     n, rate = F.sum("n"), F.sum("sy") / F.sum("n")
     return per_bin.agg((F.sum("sq") / n).alias("brier"), (rate * (1 - rate)).alias("brier_baseline_constant"),
                        (F.sum(F.abs(F.col("sy") - F.col("sp"))) / n).alias("ece"),

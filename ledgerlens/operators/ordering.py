@@ -137,6 +137,17 @@ def wide_quantiles(df: DataFrame, columns: Mapping[str, Column], probs: Sequence
                                            "feature string, i int, q double")
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Inner join on equal or both missing ``by``; without ``by`` the single row of ``right`` goes to every row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+    rest = [F.col(f"r.{c}") for c in right.columns if c not in by]
+    return left.alias("l").join(right.alias("r"), same).select("l.*", *rest)
+
+
 def _attach(table: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
     """Adds the columns of a one-row-per-group table; a single row is broadcast, groups join on their key."""
     if not by:

@@ -173,3 +173,46 @@ def test_rolling_rate_needs_seven_days(spark):
     df = frame(spark, day=list(range(9)), is_fraud=[1] * 9)
     rates = {r.day: r.fraud_rate_7d for r in breakdown.daily_trend(df, F.lit(False)).collect()}
     assert rates[5] is None and rates[6] == 1.0
+
+
+def test_counts_beyond_the_range_of_a_product(spark):
+    """Four billion rows of one score: products of counts leave the range of a long."""
+    n = 4_000_000_000
+    table = spark.createDataFrame([(0.9, n, n), (0.1, n, 0)], "score double, n long, pos long")
+    r = evaluation.ranking_from_thresholds(evaluation.threshold_table(table)).first()
+    assert r.pr_auc == pytest.approx(1.0) and r.roc_auc == pytest.approx(1.0)
+
+
+def test_bootstrap_of_one_day_is_the_plain_metric(spark):
+    rng = np.random.default_rng(1)
+    rows = [(0, float(s), int(y)) for s, y in zip(rng.integers(0, 9, 300) / 9, rng.integers(0, 2, 300))]
+    df = spark.createDataFrame(rows, "day int, s double, is_fraud int")
+    plain = evaluation.ranking_metrics(df, "s").first().pr_auc
+    got = evaluation.bootstrap_ranking(df, "s", boots=5).collect()
+    assert len(got) == 5 and all(r.pr_auc == pytest.approx(plain) for r in got)
+
+
+def test_bootstrap_against_copied_rows(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(d), float(s), int(y)) for d, s, y in zip(rng.integers(0, 6, 500), rng.integers(0, 50, 500) / 50, rng.random(500) < 0.3)]
+    df = spark.createDataFrame(rows, "day int, s double, is_fraud int")
+    got = {r.boot: r.pr_auc for r in evaluation.bootstrap_ranking(df, "s", boots=4, seed=7).collect()}
+    for boot, draw in enumerate(np.random.default_rng(7).integers(0, 6, (4, 6))):
+        copied = [r for d in draw for r in rows if r[0] == d]
+        wanted = evaluation.ranking_metrics(spark.createDataFrame(copied, df.schema), "s").first().pr_auc
+        assert got[boot] == pytest.approx(wanted)
+
+
+def test_wide_quantiles(spark):
+    from ledgerlens.operators.ordering import wide_quantiles
+
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=5000), rng.integers(0, 3, 5000).astype(float)
+    rows = [(float(x), None if i % 7 == 0 else float(y), None) for i, (x, y) in enumerate(zip(a, b))]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    probs = [0.0, 0.1, 0.333, 0.5, 0.99, 1.0]
+    got = {(r.feature, r.i): r.q for r in wide_quantiles(df, {c: F.col(c) for c in df.columns}, probs, accuracy=100).collect()}
+    kept = b[np.arange(5000) % 7 != 0]
+    assert got.keys() == {(c, i) for c in "ab" for i in range(6)}
+    for i, p in enumerate(probs):
+        assert got["a", i] == pytest.approx(np.quantile(a, p)) and got["b", i] == pytest.approx(np.quantile(kept, p))
