@@ -10,7 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.columns import epoch_seconds, flag, local_hour, local_weekday
+from ledgerlens.functions.columns import epoch_seconds, flag
+from ledgerlens.operators.arrivals import with_local_time
 from ledgerlens.schema import CATEGORIES
 
 EPOCH_2023 = 1_672_531_200
@@ -83,22 +84,15 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     events = _table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", k.alias("k"))
     home = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    offsets = locations(spark, sf_dir).select(F.col("location_id").alias("offset_location"), "utc_offset")
     t = (events.join(home, F.col("user_id") == F.col("c_custkey"), "left")
          .withColumn("location_id", F.when(F.col("event_id") % 5 == 0, F.col("k") % 25)
                      .otherwise(F.col("c_nationkey")).cast("int"))
-         .join(offsets, F.col("location_id") == F.col("offset_location"), "left")
-         .withColumn("ts_epoch", epoch_seconds("ts"))
          .withColumn("channel", F.when(F.col("event_type").isin("click", "view"), "online")
                      .when(F.col("event_type") == "error", "atm").otherwise("card_present")))
-    offset = F.col("utc_offset")
-    return t.select(
+    return with_local_time(t, locations(spark, sf_dir)).select(
         F.col("event_id").alias("txn_id"), F.col("user_id").alias("account_id"),
         F.col("user_id").alias("customer_id"), F.col("k").cast("bigint").alias("merchant_id"), "location_id", "ts",
-        F.date_format("ts", "yyyy-MM-dd").alias("txn_date"),
-        local_hour(F.col("ts_epoch"), offset).alias("hour_local"),
-        local_weekday(F.col("ts_epoch"), offset).alias("dow_local"),
-        "ts_epoch", F.col("value").alias("amount"), "channel",
+        "txn_date", "hour_local", "dow_local", "ts_epoch", F.col("value").alias("amount"), "channel",
         F.when(F.col("channel") == "online", F.concat(F.lit("D"), (F.col("k") % 7).cast("string"))).alias("device_id"),
         flag(((F.col("event_type") == "error") & (F.col("value") >= 60)) | (F.col("event_id") % 97 == 0))
         .alias("is_fraud"))

@@ -10,10 +10,13 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.config import Settings
+from ledgerlens.operators.arrivals import first_seen, with_local_time
+from ledgerlens.operators.explain import with_reasons
 from ledgerlens.operators.features import FACT_COLUMNS, customer_history, enrich_event, merchant_history
 from ledgerlens.operators.quality import validate_rows
 from ledgerlens.operators.rules import rule_hits, rule_score
 from ledgerlens.operators.skew import find_hot_keys
+from ledgerlens.plans.training import RiskModel
 from ledgerlens.schema import FEATURES
 from ledgerlens.sources.views import Star
 
@@ -21,9 +24,9 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 
 def history_of(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Stored rows earlier than the batch's last row whose ``key`` occurs in the batch."""
-    last = batch.agg(F.max("ts_epoch").alias("_last"))
-    past = stored.crossJoin(F.broadcast(last)).where(F.col("ts_epoch") < F.col("_last"))
+    """Stored rows earlier than the batch's last row whose ``key`` occurs in the batch; the bound is a number and reaches the scan."""
+    last = batch.agg(F.max("ts_epoch")).first()[0]
+    past = stored.where(F.col("ts_epoch") < F.lit(last).cast("bigint"))
     return past.join(batch.select(key).distinct(), key, "left_semi").select(*stored.columns)
 
 
@@ -68,9 +71,19 @@ def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[
 
 
 def rule_scorer(features: DataFrame) -> DataFrame:
+    """Rule hits and rule score."""
     return features.withColumns({"rule_hits": rule_hits(), "score_rules": rule_score()})
 
 
+def model_scorer(model: RiskModel) -> Scorer:
+    """Rule hits and score, calibrated probability, decision band, and the merged reasons of alerts."""
+    def score(features: DataFrame) -> DataFrame:
+        predicted = model.predict(rule_scorer(features))
+        return with_reasons(model, predicted, F.col("p_model") >= model.review)
+
+    return score
+
+
 def replay(star: Star, ids: DataFrame, settings: Settings, scorer: Scorer = rule_scorer,
            keep: list[str] | None = None) -> DataFrame:
     """Re-scores stored transactions (``ids``: txn_id) from their own past only."""
@@ -85,12 +98,15 @@ def start_scoring(stream: DataFrame, history_path: str, dims: Star, settings: Se
                   quarantine_path: str, checkpoint: str, scorer: Scorer = rule_scorer, available_now: bool = False) -> StreamingQuery:
     """Validates, scores and stores every micro-batch.
 
-    Rejected rows go to the quarantine table with their reasons; good rows are scored and appended to the history.
+    Times local to the transaction's place are added to rows that come without them. Rejected rows go to the quarantine table
+    with their reasons; good rows that are not stored yet are scored and appended to the history.
     Each output is keyed by the batch id and overwritten when a batch is retried, so a restart repeats nothing.
     """
     spark = stream.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
+        if "hour_local" not in batch.columns:
+            batch = with_local_time(batch, dims.locations)
         columns = batch.columns
         checked = validate_rows(batch, dims).persist()
         try:
@@ -98,10 +114,12 @@ def start_scoring(stream: DataFrame, history_path: str, dims: Star, settings: Se
             bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
             good = checked.where(F.size("reject_reasons") == 0).select(*columns)
             stored = _history(spark, history_path, batch_id, good)
+            good = first_seen(good, stored).persist()
             star = Star(stored, dims.customers, dims.accounts, dims.merchants, dims.locations)
             scored = scorer(batch_features(star, good, settings, ["customer_id", "merchant_id", "ts_epoch"]))
             scored.write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
             good.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
+            good.unpersist()
         finally:
             checked.unpersist()
 

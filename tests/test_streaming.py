@@ -90,3 +90,41 @@ def test_velocity_state_over_several_batches(spark, star, root):
     rows = t.select("txn_id", "customer_id", "ts_epoch").join(out, ["customer_id", "ts_epoch"])
     got, want = frame(rows, columns), frame(build_features(star, 2), columns)
     assert len(got) == len(want) and close(got, want)
+
+
+def test_redelivered_events_change_nothing(spark, star, root):
+    """The same events in a later batch, and twice in one batch, are scored and stored once; local time is added on arrival."""
+    from dataclasses import replace
+
+    rows = known(star)
+    cut = rows.agg(F.max("ts_epoch")).first()[0] - DAY
+    rows.where(F.col("ts_epoch") < cut).write.parquet(f"{root}/history/batch=-1")
+    late = rows.where(F.col("ts_epoch") >= cut)
+    arriving = late.drop("ts_epoch", "txn_date", "hour_local", "dow_local")
+    want = sorted(map(tuple, late.select("txn_id", "txn_date", "hour_local", "dow_local", "ts_epoch").collect()))
+    for part in (arriving, arriving.unionByName(arriving)):
+        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(arriving.schema).parquet(f"{root}/in")
+        q = scoring.start_scoring(stream, f"{root}/history", replace(star, transactions=rows), THIRTY_DAYS, f"{root}/scored", f"{root}/bad",
+                                  f"{root}/check", available_now=True)
+        q.awaitTermination()
+        assert spark.read.parquet(f"{root}/scored").count() == late.count()
+        stored = spark.read.parquet(f"{root}/history").where("batch >= 0")
+        assert sorted(map(tuple, stored.select("txn_id", "txn_date", "hour_local", "dow_local", "ts_epoch").collect())) == want
+
+
+def test_model_scores_and_reasons_of_a_batch(spark, star, data):
+    from dataclasses import replace
+
+    from ledgerlens.plans import training
+
+    light = replace(THIRTY_DAYS, training=replace(THIRTY_DAYS.training, boosting_rounds=3, logistic_iterations=20, min_leaf_rows=5))
+    model = replace(training.train_all(data, light, forest=False).model, review=0.01)
+    ids = star.transactions.where("txn_id % 40 = 0").select("txn_id")
+    got = scoring.replay(star, ids, THIRTY_DAYS, scoring.model_scorer(model), ["amount"])
+    rows = got.select("p_model", "band", "reasons", "top_reason", "score_rules").collect()
+    assert len(rows) == ids.count() and all(0 <= r.p_model <= 1 for r in rows)
+    assert all((r.reasons != "") == (r.p_model >= 0.01) for r in rows) and any(r.reasons != "" for r in rows)
+    direct = {r.txn_id: r.p_model for r in model.predict(data.join(ids, "txn_id")).select("txn_id", "p_model").collect()}
+    again = {r.txn_id: r.p_model for r in got.select("txn_id", "p_model").collect()}
+    assert all(again[t] == pytest.approx(p, abs=1e-6) for t, p in direct.items())
