@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -65,7 +65,7 @@ def foreign_accounts(star: Star) -> DataFrame:
 
 
 def validate_rows(rows: DataFrame, star: Star) -> DataFrame:
-    """Adds ``reject_reasons`` (empty = acceptable): id shape, amount, channel and unknown ids."""
+    """Adds ``reject_reasons`` (empty = acceptable): missing id or time, id shape, amount, channel and unknown ids."""
     def bad_id(name: str, length: int) -> Column:
         text = F.col(name).cast("string")
         return ~(text.rlike(ID_PATTERN) & (F.length(text) <= length))
@@ -75,7 +75,8 @@ def validate_rows(rows: DataFrame, star: Star) -> DataFrame:
               "merchant_id": bad_id("merchant_id", ID_LENGTH),
               "device_id": F.col("device_id").isNotNull() & bad_id("device_id", DEVICE_LENGTH),
               "amount": ~((amount > 0) & (amount < MAX_AMOUNT) & ~F.isnan(amount)),
-              "channel": ~F.col("channel").isin(*CHANNELS)}
+              "channel": ~F.col("channel").isin(*CHANNELS),
+              "txn_id": F.col("txn_id").isNull(), "ts_epoch": F.col("ts_epoch").isNull()}
     out = rows
     unknown = []
     for fk, table, pk in FOREIGN_KEYS:
@@ -107,14 +108,18 @@ def banned_columns(df: DataFrame) -> list[str]:
     return sorted(set(df.columns) & set(BANNED_COLUMNS))
 
 
-def leakage_audit(star: Star, label_delay_days: int, cut_epoch: int, skew: Skew = Skew()) -> DataFrame:
-    """Rows up to the cut whose features change when everything after the cut is dropped (should be none)."""
+def leakage_audit(star: Star, label_delay_days: int, cut_epoch: int, skew: Skew = Skew(), build: Callable | None = None) -> DataFrame:
+    """Rows up to the cut whose features change when everything after the cut is dropped (should be none).
+
+    ``build`` makes the features, by default ``build_features``.
+    """
     from ledgerlens.operators.features import build_features
 
+    build = build or build_features
     past = Star(star.transactions.where(F.col("ts_epoch") <= cut_epoch), star.customers, star.accounts, star.merchants,
                 star.locations)
-    full = build_features(star, label_delay_days, skew, keep=["ts_epoch"]).where(F.col("ts_epoch") <= cut_epoch)
-    part = build_features(past, label_delay_days, skew)
+    full = build(star, label_delay_days, skew, keep=["ts_epoch"]).where(F.col("ts_epoch") <= cut_epoch)
+    part = build(past, label_delay_days, skew)
     different = F.lit(False)
     for f in FEATURES:
         a, b = F.col(f"a.{f}").cast("double"), F.col(f"b.{f}").cast("double")

@@ -994,14 +994,31 @@ def _(spark, sf):
     return rounded(out, ["fraud_rate", "pr_auc", "precision", "recall"], 6)
 
 
-@query("mn6_summary")
-def _(spark, sf):
+@query("mn6_summary", f"""WITH d AS (SELECT * FROM ({ORACLES['mn4_windowed_drift']}) ORDER BY "window" DESC LIMIT 1),
+p AS (SELECT * FROM ({ORACLES['mn5_delayed_performance']}) WHERE labels_mature AND pr_auc IS NOT NULL ORDER BY "window" DESC LIMIT 1),
+b AS ({oracle.scored("SELECT pr_auc AS b_auc, (SELECT count(CASE WHEN alert AND is_fraud = 1 THEN 1 END) / greatest(sum(is_fraud), 1) FROM va) AS b_recall FROM rk", oracle.ranking("va", "score_rules"))}),
+w AS (SELECT d.*, p.pr_auc AS a, p.recall AS r, b_auc, b_recall, p.pr_auc IS NOT NULL AS seen,
+  greatest(coalesce(1 - p.pr_auc / nullif(b_auc, 0), 0), coalesce(1 - p.recall / nullif(b_recall, 0), 0)) AS worst FROM d CROSS JOIN b LEFT JOIN p ON true),
+l AS (SELECT *, CASE WHEN n_features_alert > 0 THEN 2 WHEN n_features_warn > 0 THEN 1 ELSE 0 END AS lf, CASE score_status WHEN 'alert' THEN 2 WHEN 'warn' THEN 1 ELSE 0 END AS ls,
+  CASE WHEN seen AND worst >= 0.30 THEN 2 WHEN seen AND worst >= 0.15 THEN 1 ELSE 0 END AS lp FROM w)
+SELECT ['ok', 'warn', 'alert'][greatest(lf, ls, lp) + 1] AS status, "window" AS latest_window,
+  CAST((lf > 0)::INT + (ls > 0)::INT + (lp > 0)::INT AS INT) AS n_findings, lf > 0 AS features_moved, ls > 0 AS scores_moved, lp > 0 AS performance_fell FROM l""")
+def _(spark, sf):
+    """Status of the latest block; the findings are reduced to which of them there are."""
     ref = _reference(spark, sf).withColumn("score_rules", rules.rule_score())
     s, days = scored(spark, sf), SETTINGS.monitor_window_days
     base = evaluation.ranking_metrics(valid_rows(spark, sf), "score_rules").first()
     conf = evaluation.confusion(valid_rows(spark, sf), alert()).first()
-    return drift.summarize(drift.windowed_drift(s, ref, FEATURES, "score_rules", days, REVIEW),
-                           drift.delayed_performance(s, "score_rules", days, REVIEW, DELAY), base["pr_auc"], conf["recall"])
+    out = drift.summarize(drift.windowed_drift(s, ref, FEATURES, "score_rules", days, REVIEW),
+                          drift.delayed_performance(s, "score_rules", days, REVIEW, DELAY), base["pr_auc"], conf["recall"])
+
+    def says(part: str):
+        return F.exists("findings", lambda x: F.contains(x, F.lit(part)))
+
+    none = says("no material drift")
+    return out.select("status", "latest_window", F.when(none, 0).otherwise(F.size("findings")).alias("n_findings"),
+                      says("feature(s) with PSI").alias("features_moved"), says("distribution shifted").alias("scores_moved"),
+                      says("performance").__and__(~none).alias("performance_fell"))
 
 
 @query("mn7_latest_feature_psi", oracle.scored(f"SELECT feature, round(psi, 6) AS psi, {oracle.STATUS} AS status FROM ps",
@@ -1077,16 +1094,32 @@ def _(spark, sf):
     return quality.order_report(views.order_transactions(spark, sf))
 
 
-@query("dq7_banned_columns", "SELECT CAST(0 AS BIGINT) AS banned, count(*) AS n_rows FROM events")
+@query("dq7_banned_columns", """SELECT 'features' AS input, '' AS banned, count(*) AS n_rows FROM events
+UNION ALL SELECT 'with ground truth', 'is_fraud_true|true_pattern', count(*) FROM events""")
 def _(spark, sf):
+    """The feature table has none; joined with the ground truth it has two."""
     d = feature_table(spark, sf)
-    return d.agg(F.lit(len(quality.banned_columns(d))).cast("bigint").alias("banned"), F.count("*").alias("n_rows"))
+    both = {"features": d, "with ground truth": d.join(views.truth(spark, sf), "txn_id")}
+    return reduce(DataFrame.unionByName, [x.agg(F.count("*").alias("n_rows")).select(
+        F.lit(n).alias("input"), F.lit("|".join(quality.banned_columns(x))).alias("banned"), "n_rows") for n, x in both.items()])
 
 
-@query("dq8_leakage_audit", "SELECT event_id AS txn_id FROM events WHERE false")
+@query("dq8_leakage_audit", oracle.tables(""", cut AS (SELECT CAST(floor(min(ts_epoch) + (max(ts_epoch) - min(ts_epoch)) * 2.0 / 3.0) AS BIGINT) // 86400 * 86400 AS c FROM txn)
+SELECT 'planted' AS features, txn_id FROM txn t, cut WHERE ts_epoch <= c AND EXISTS (SELECT 1 FROM txn u WHERE u.customer_id = t.customer_id AND u.ts_epoch > c)"""))
 def _(spark, sf):
+    """The features pass; with a count of the customer's later rows planted among them, exactly the rows it touches are found."""
+    from pyspark.sql import Window
+
     s = star(spark, sf)
-    return quality.leakage_audit(s, DELAY, quality.last_cut(s.transactions), SETTINGS.skew)
+    cut = quality.last_cut(s.transactions)
+
+    def planted(part, *options, **more):
+        future = Window.partitionBy("customer_id")
+        counted = part.transactions.select("txn_id", F.count("*").over(future).alias("_all"))
+        return features.build_features(part, *options, **more).drop("cnt_24h").join(counted, "txn_id").withColumnRenamed("_all", "cnt_24h")
+
+    clean = quality.leakage_audit(s, DELAY, cut, SETTINGS.skew).select(F.lit("clean").alias("features"), "txn_id")
+    return clean.unionByName(quality.leakage_audit(s, DELAY, cut, SETTINGS.skew, planted).select(F.lit("planted").alias("features"), "txn_id"))
 
 
 # =============================================================================== models, reasons, backtest
