@@ -74,9 +74,11 @@ _ENDINGS = {("latin", "f"): "lia", ("latin", "m"): "rus", ("latin", "u"): "ner",
 def _entities(text: Column) -> Column:
     """All entities of a text in order, each with the words before it and whether the next one follows after a blank."""
     found = F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))
-    rest = F.split(text, EVERY, -1)
-    return F.transform(found, lambda e, i: F.struct(
-        e.alias("e"), F.substring(F.get(rest, i), -14, 14).alias("before"), (F.get(rest, i + 1) == " ").alias("joined")))
+    rest = F.split(text, EVERY, -1)  # one piece more than entities
+    # both arrays are worked out once and zipped: inside a lambda they would be worked out for every entity
+    zipped = F.slice(F.arrays_zip(found, rest, F.slice(rest, 2, F.greatest(F.size(found), F.lit(1)))), F.lit(1), F.size(found))
+    return F.transform(zipped, lambda x: F.struct(
+        x["0"].alias("e"), F.substring(x["1"], -14, 14).alias("before"), (x["2"] == " ").alias("joined")))
 
 
 def _kind(e: Column, before: Column, joined: Column) -> Column:
@@ -243,7 +245,7 @@ def replace(documents: DataFrame, key: str, text: str = "text", count: str | Non
     new = found.join(mapping, ["kind", "value"]).select("_key", "_at", _render(F.col("e"), F.col("kind"), F.col("surrogate")).alias("s"))
     by_text = materialize(new.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "s"))).alias("_new")), "by_text")
     rest = F.split(body, EVERY, -1)
-    woven = F.array_join(F.transform(rest, lambda r, i: F.concat(r, F.coalesce(F.get(F.col("_new.s"), i), F.lit("")))), "")
+    woven = F.array_join(F.zip_with(rest, F.col("_new.s"), lambda r, s: F.concat(r, F.coalesce(s, F.lit("")))), "")
     changed = documents.where(has).withColumn("_key", digest).join(by_text, "_key")
     number = [] if count is None else [F.size("_new").cast("long").alias(count)]
     none = [] if count is None else [F.lit(0).cast("long").alias(count)]
