@@ -1030,6 +1030,16 @@ def _(spark, sf):
     return rounded(drift.feature_drift(_reference(spark, sf), latest, drift.drift_features(FEATURES)), ["psi"], 6)
 
 
+@query("snk3_monitoring_csv", ORACLES["mn4_windowed_drift"])
+def _(spark, sf):
+    """Writes the drift table of the monitoring run as CSV and reads it with its declared schema."""
+    path = f"{workspace(spark)}/drift-csv"
+    writers.write_csv(QUERIES["mn4_windowed_drift"](spark, sf), path)
+    return readers.read_csv(spark, path, "window INT, start_day INT, end_day INT, n_txn BIGINT, score_psi DOUBLE, score_status STRING, "
+                            "max_feature_psi DOUBLE, n_features_warn BIGINT, n_features_alert BIGINT, top_drifting_features STRING, "
+                            "alert_rate DOUBLE, mean_score DOUBLE")
+
+
 # =========================================================================================== data quality
 @query("dq1_key_uniqueness", oracle.tables(" UNION ALL ".join(
     f"SELECT '{n}' AS table_name, count(*) AS n_rows, count(*) - count(DISTINCT {k}) AS duplicate_keys FROM {t}"

@@ -22,12 +22,14 @@ def run(star: Star, settings: Settings, out: str, truth: DataFrame | None = None
     trained = train_all(data, settings)
     model = trained.model
     model.save(f"{out}/model")
-    scored = trained.scored if truth is None else trained.scored.join(truth, "txn_id", "left")  # diagnostics only
-    test, valid = scored.where(F.col("split") == "test"), scored.where(F.col("split") == "valid")
+    scored = trained.scored
+    test, valid = trained.scored.where(F.col("split") == "test"), trained.scored.where(F.col("split") == "valid")
     alert = F.col("p_model") >= model.review
 
-    explained = materialize(with_reasons(model, test, alert), "explained")
-    write_scored(valid.withColumns({"reasons": F.lit(""), "top_reason": F.lit("")}).unionByName(explained), f"{out}/scored")
+    explained = with_reasons(model, test, alert)
+    sink = valid.withColumns({"reasons": F.lit(""), "top_reason": F.lit("")}).unionByName(explained)
+    # the truth is joined for the sink and the diagnostics alone
+    write_scored(sink if truth is None else sink.join(truth, "txn_id", "left"), f"{out}/scored")
 
     budget = evaluation.workload_report(test, alert).first()["n_alerts"]
     methods = {**{n: c for n, c in SCORES.items() if c in scored.columns}, "selected_calibrated": "p_model"}
@@ -52,7 +54,9 @@ def run(star: Star, settings: Settings, out: str, truth: DataFrame | None = None
     }
     if truth is not None:
         metrics["recall_by_pattern"] = evaluation.recall_by_pattern(
-            test.drop("true_pattern", "is_fraud_true"), truth, "p_model", model.review)
+            test, truth, "p_model", model.review)
+        metrics["undiscovered_share"] = evaluation.undiscovered_share(
+            test, truth, "p_model", model.review)
     for name, df in metrics.items():
         write_json(df, f"{out}/metrics/{name}")
 
@@ -65,7 +69,9 @@ def run(star: Star, settings: Settings, out: str, truth: DataFrame | None = None
     recall = evaluation.confusion(valid, alert).first()["recall"]
     write_csv(moves, f"{out}/monitoring/drift_windows")
     write_csv(perf, f"{out}/monitoring/performance_windows")
-    write_json(drift.summarize(moves, perf, base, recall), f"{out}/monitoring/summary")
+    summary = drift.summarize(moves, perf, base, recall).withColumns({
+        "baseline_valid_pr_auc": F.lit(base), "baseline_valid_recall": F.lit(recall)})
+    write_json(summary, f"{out}/monitoring/summary")
     blocks = drift.with_windows(scored, days)
     last = blocks.agg(F.max("window").alias("window"))
     latest = blocks.join(F.broadcast(last), "window", "left_semi")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,4 +63,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(schema).parquet(path)
+
+
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes what ``materialize`` stored inside the block when the block ends; write or collect its results before that."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        files = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in map(files.Path, _scopes.pop()):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

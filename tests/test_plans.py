@@ -146,3 +146,17 @@ def test_scans_read_only_needed_columns_and_push_filters(spark):
 
 def test_top_lists_do_not_sort_everything(star):
     assert "TakeOrderedAndProject" in plan_of(analytics.unusual_behaviour(star))
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from ledgerlens.session import scratch
+
+    before = materialize(spark.range(3), "kept")
+    with scratch(spark):
+        inside = materialize(spark.range(5), "gone")
+        assert inside.count() == 5
+        path = Path(inside.inputFiles()[0].removeprefix("file://").removeprefix("file:"))
+        assert path.exists()
+    assert not path.parent.exists() and before.count() == 3
