@@ -160,6 +160,7 @@ def summarize(drift: DataFrame, performance: DataFrame, baseline_pr_auc: float,
     perf = F.coalesce(F.when(worst >= DROP_ALERT, 2).when(worst >= DROP_WARN, 1).otherwise(0), F.lit(0))
     level = F.greatest(features, scores, perf)
 
+    # fixed values: the wording of the findings
     def drifted(count, limit):
         return F.format_string(f"%d feature(s) with PSI >= {limit} in latest window: %s", F.col(count).cast("int"),
                                F.col("d.top_drifting_features"))

@@ -24,6 +24,7 @@ from ledgerlens.sources.views import Star
 MERCHANT_PRIOR_RATE = 0.01
 MERCHANT_PRIOR_WEIGHT = 200.0
 
+# Spans of the velocity counts in seconds.
 VELOCITY = {"10m": 600, "1h": 3600, "6h": 21_600, "24h": DAY, "7d": 7 * DAY}
 FACT_COLUMNS = ["txn_id", "customer_id", "account_id", "merchant_id", "location_id", "ts_epoch", "amount", "channel",
                 "device_id", "hour_local", "dow_local", "is_fraud"]

@@ -30,7 +30,7 @@ TREND_FEATURES = ["cust_prior_n", "merch_prior_n", "account_age_days", "merch_ag
 BANNED_COLUMNS = ["true_pattern", "pattern", "is_fraud_true", "is_compromised"]
 
 
-# Column types as DDL text, accepted by ``spark.read.schema``.
+# Tables and column types as DDL text, accepted by ``spark.read.schema``.
 TABLES = {
     "locations": ("location_id INT, city STRING, country STRING, lat DOUBLE, lon DOUBLE, "
                   "utc_offset DOUBLE, is_domestic INT"),
@@ -46,6 +46,7 @@ TABLES = {
     "synthetic_truth": ("txn_id STRING, true_pattern STRING, is_fraud_true INT"),
     "synthetic_truth_merchants": ("merchant_id STRING, is_compromised BOOLEAN"),
 }
+# Names of the dimensions and their keys.
 DIMENSIONS = ["customers", "accounts", "merchants", "locations"]
 PRIMARY_KEYS = {"locations": "location_id", "customers": "customer_id", "accounts": "account_id",
                 "merchants": "merchant_id", "transactions": "txn_id", "synthetic_truth": "txn_id",
