@@ -85,7 +85,7 @@ class RankQueue:
 class Encoder:
     """Merges and decodes with one vocabulary; keeps the ids of recent pre-tokens."""
 
-    def __init__(self, tokens: list[bytes], pattern: str, kept: int = 400_000, long: int = 512):
+    def __init__(self, tokens: list[bytes], pattern: str, kept: int = 250_000, long: int = 512):
         self.tokens, self.kept, self.long = tokens, kept, long
         self.pattern = regex.compile(pattern)
         rank = {t: i for i, t in enumerate(tokens)}
@@ -267,6 +267,7 @@ def encode(documents: DataFrame, path: str, pattern: str, text: str = "text", id
             offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in lists])]).astype(np.int32)
             values = pa.array(np.frombuffer(b"".join(lists), "<u4").astype(np.int32))
             yield add_columns(batch, {ids: pa.ListArray.from_arrays(pa.array(offsets), values)})
+        own.known.clear()
 
     return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))]))
 
@@ -314,6 +315,7 @@ def digests(documents: DataFrame, path: str, pattern: str, text: str = "text") -
             yield add_columns(batch.select([f.name for f in own_fields]), {
                 "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(coded, pa.string()),
                 "decoded_sha256": pa.array(plain, pa.string())})
+        own.known.clear()  # the worker lives on; its memory is for the next task
 
     kept = documents.select(*[f"`{f.name}`" for f in own_fields], text)
     return kept.mapInArrow(run, T.StructType([*own_fields, *DIGESTS]))
