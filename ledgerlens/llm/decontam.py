@@ -11,7 +11,7 @@ parts mean more searches of the same shards.
 
 Words are lower-cased in A-Z and are runs of digits, letters and characters outside ASCII. A null text has no words. An item without words
 is never found; an item of fewer words than the window counts as one window. Repeated documents each get their own result, repeated
-items each their own entry. An empty benchmark or document table gives zero hits or no rows. Words are compared by 64-bit
+items each their own entry; an item with a null id is listed as -1. An empty benchmark or document table gives zero hits or no rows. Words are compared by 64-bit
 hashes with their length; only benchmark words are looked up, so a false match has a chance below 1e-6 even for a
 billion different words.
 """
