@@ -249,6 +249,11 @@ def _rest(cuts: list[tuple[int, int]], choice: tuple[int, ...], pieces: int) ->
 
 def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, blocks: int = 6) -> DataFrame:
     """One row per document: ``doc_id``, ``fingerprint`` (signed long) and ``component_id``, the smallest id of its group."""
+    return _rooted(documents, doc_id, text, radius, blocks).select("doc_id", "fingerprint", "component_id")
+
+
+def _rooted(documents: DataFrame, doc_id: str, text: str, radius: int, blocks: int = 6) -> DataFrame:
+    """``groups`` and ``root``, which tells groups apart that have the same smallest id."""
     own = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(fingerprints(own).select("doc_id", "fingerprint"), "prints")
     smallest = materialize(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "distinct")
@@ -256,19 +261,29 @@ def groups(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rad
     rooted = smallest.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     heads = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "heads")
-    by_print = materialize(rooted.join(heads, "root").select(F.col("fp").alias("fingerprint"), "component_id"), "classes")
-    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    by_print = materialize(rooted.join(heads, "root").select(F.col("fp").alias("fingerprint"), "component_id", "root"), "classes")
+    return prints.join(by_print, "fingerprint").select("doc_id", "fingerprint", "component_id", "root")
 
 
 def deduplicated(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """The documents whose id is the smallest of their group. Of rows that repeat this id one stays; rows with a null id stay."""
-    grouped = groups(documents, doc_id, text, radius).select(F.col("doc_id").alias("_id"), "component_id")
-    gone = materialize(grouped.where("_id != component_id").select("_id").distinct(), "gone")
+    """One document of each group, the one with the smallest id. Of rows that share this id one stays, that of the smallest fingerprint and then the
+    smallest row; rows with a null id stay. Rows that repeat an id with another text belong to the group of their own text."""
+    # an id and a fingerprint together belong to one group, an id alone need not
+    grouped = _rooted(documents, doc_id, text, radius).where("doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_own"), "root")
+    grouped = materialize(grouped.groupBy("_id", "_own", "root").count(), "grouped")
+    first = grouped.groupBy("root").agg(F.min(F.struct("_id", "_own", "count")).alias("_first"))
+    stay = materialize(first.select("_first._id", "_first._own", "_first.count"), "stay")
+    columns = [F.col(f"`{c}`") for c in documents.columns]
     key = F.col(f"`{doc_id}`")
-    again = materialize(grouped.where("_id = component_id").groupBy("_id").count().where("count > 1").select("_id"), "again")
-    kept = documents.join(gone, key == F.col("_id"), "left_anti")
+    tagged = fingerprints(documents, text, "_print")
+    none = documents.where(key.isNull())
+
+    def of(some: DataFrame) -> DataFrame:
+        return tagged.join(some, (key == F.col("_id")) & (F.col("_print") == F.col("_own")), "left_semi")
+
+    again = stay.where("count > 1")
+    kept = none.unionByName(of(stay.where("count = 1")).select(*columns))
     if again.isEmpty():
         return kept
-    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    one = kept.join(again, key == F.col("_id"), "left_semi").groupBy(key.alias("_k")).agg(F.min(row).alias("_row"))
-    return kept.join(again, key == F.col("_id"), "left_anti").unionByName(one.select("_row.*"))
+    one = of(again).groupBy(key.alias("_k"), "_print").agg(F.min(F.struct(*columns)).alias("_row"))
+    return kept.unionByName(one.select("_row.*"))

@@ -104,3 +104,9 @@ def test_pieces_of_a_long_text():
     whole = np.concatenate(list(simhash._shingle_hashes(text, 4)))
     cut = np.concatenate(list(simhash._shingle_hashes(text, 4, piece=100)))
     assert (whole == cut).all() and len(whole) == 4997
+
+
+def test_repeated_ids_with_different_texts(spark):
+    a, b, c = ("one two three four five six seven", "alpha beta gamma delta epsilon zeta", "uno dos tres cuatro cinco seis")
+    docs = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (5, c), (5, c)], "doc_id long, text string")
+    assert sorted(map(tuple, simhash.deduplicated(docs).collect())) == sorted([(1, a), (5, b), (5, c)])
