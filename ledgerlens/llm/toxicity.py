@@ -129,8 +129,7 @@ class Lexicons:
         votes = np.zeros((len(many), VOTERS), bool)
         votes[owner[self.voter[at] >= 0], self.voter[at][self.voter[at] >= 0]] = True
         for k, pattern in enumerate(PATTERNS):
-            votes[:, LEXICONS + k] = [bool(pattern.search(t)) for t in many] if k < 2 else [
-                "*" in t and bool(pattern.search(t)) for t in many]
+            votes[:, LEXICONS + k] = [bool(pattern.search(t)) for t in many]
         return votes @ (1 << np.arange(VOTERS)), owner, at
 
 

@@ -88,3 +88,10 @@ def test_patterns():
     shut, stars = toxicity.PATTERNS[1], toxicity.PATTERNS[2]
     assert shut.search("oh Shut up now") and not re.search(shut, "shutter up")
     assert stars.search("what the f**k") and not stars.search("2 * 3")
+
+
+def test_masked_words_without_a_star():
+    none = np.zeros(0)
+    lexicons = toxicity.Lexicons(none.astype(np.uint64), none, none, 0.1, 10)
+    votes, _, _ = lexicons.bits(["such an a$$hole", "f#@k off", "oh sh!!t", "f**k", "nothing here", "c# and a@b"])
+    assert [int(v) >> (toxicity.VOTERS - 1) & 1 for v in votes] == [1, 1, 1, 1, 0, 0]
