@@ -44,8 +44,8 @@ _NAME = r"\p{Lu}[\p{L}'’\-]*[\p{L}]"
 KINDS = {
     "email": rf"(?<![{_RUN}])[{_RUN}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)*\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "token": r"(?<![A-Za-z0-9])(?:ghp_|gho_|xoxb-|xoxp-|sk-)[A-Za-z0-9\-]{16,80}(?![A-Za-z0-9])",
-    "hex": r"(?<![A-Za-z0-9])(?=[0-9a-f]{0,63}[0-9])(?=[0-9a-f]{0,63}[a-f])[0-9a-f]{32,64}(?![A-Za-z0-9])",
+    "token": r"(?<![A-Za-z0-9])(?:ghp_|gho_|xoxb-|xoxp-|sk-)[A-Za-z0-9_\-]{16,}",
+    "hex": r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ipv6": r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])",
     "ip": rf"(?<![\d.A-Za-z]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -61,7 +61,7 @@ KINDS = {
 }
 EVERY = "|".join(KINDS.values())
 #: What a text with an entity must have; cheap to look for.
-MAYBE = rf"[0-9@]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})[. ]"
+MAYBE = rf"[0-9@]|AKIA|ASIA|ghp_|gho_|xoxb-|xoxp-|sk-|[A-Fa-f]:[A-Fa-f]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})[. ]"
 _SYLLABLES = {
     "latin": ("ba", "be", "bo", "da", "do", "fa", "fe", "ga", "go", "ha", "jo", "ka", "ke", "la", "le", "li", "lo", "ma", "me", "mi", "mo", "na", "ne",
               "ni", "no", "ra", "re", "ri", "ro", "sa", "se", "so"),
@@ -217,13 +217,13 @@ def _render(e: Column, kind: Column, surrogate: Column) -> Column:
 
     def put(x: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(e, F.lit(1), x["i"] + 1), r"[^\p{L}\p{N}]", ""))
-        new = F.when(kind.isin("email", "ip", "ipv6", "token"), F.substring(surrogate, x["i"] + 1, F.lit(1))).otherwise(
+        new = F.when(kind.isin("email", "ipv6"), F.substring(surrogate, x["i"] + 1, F.lit(1))).otherwise(
             F.substring(surrogate, before, F.lit(1)))
         new = F.when(x["c"].rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)
         return F.when(x["c"].rlike(r"^[\p{L}\p{N}]$"), new).otherwise(x["c"])
 
     name = F.when((F.length(e) > 1) & (e == F.upper(e)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
-    return (F.when(kind.startswith("given") | (kind == "surname"), name).when(kind == "ip", surrogate)
+    return (F.when(kind.startswith("given") | (kind == "surname"), name).when(kind.isin("ip", "key", "token", "hex"), surrogate)
             .otherwise(F.array_join(F.transform(index, put), "")))
 
 
