@@ -7,7 +7,8 @@ check digit, an address's top domain (equal domains get equal surrogates), a num
 (from the name or the title before it), script and case.
 
 Collisions: the surrogates of all different entities of the corpus are compared with one another and with all originals; of those that share one the
-smallest keeps it, and no surrogate may equal an original. The others are drawn again until none collide, so different entities stay different.
+smallest keeps it, and no surrogate may equal an original. The others are drawn again; after a few rounds the rest is ranked within its format and gets the free surrogates of that format by rank,
+and if there are too few, those of a format with one place more. So different entities stay different however full a format is.
 
 Plan: entities are taken from different texts once, so a text that a third of the rows share is looked at once after its digest has been
 combined; entities, mapping and occurrences are narrow tables and joined with stored tables on both sides, where Spark splits hot keys. Only texts with
@@ -22,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.llm.common import ranked
 from ledgerlens.session import materialize
 
 _RUN = r"\p{L}\p{N}._%+\-"
@@ -186,13 +188,92 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     return step.select("kind", "value", "attempt", surrogate.alias("surrogate"))
 
 
-def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
-    """Mapping ``kind``, ``value``, ``surrogate`` without collisions for different (``kind``, ``value``)."""
-    group = F.when(F.col("kind").startswith("given") | (F.col("kind") == "surname"), "name").otherwise(F.col("kind"))
+#: What a place of a surrogate may hold: digit, small and capital letter, hexadecimal digit; an octet stands for the numbers 1 to 254.
+_CLASSES = {"0": "0123456789", "a": "abcdefghijklmnopqrstuvwxyz", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "h": "0123456789abcdef"}
+_OCTETS = 254
+_SHAPE = ["kind", "head", "template", "tail", "valid"]
+
+
+def _shaped(rows: DataFrame) -> DataFrame:
+    """Adds to ``kind`` and ``surrogate`` what all surrogates of one format share: fixed beginning and end, and the class of every place between."""
+    kind, s = F.col("kind"), F.col("surrogate")
+    at = (F.when(kind.isin("phone", "card"), 1).when(kind == "key", 4).when(kind == "iban", 2)
+          .when(kind == "token", F.length(F.regexp_extract(s, "^(ghp_|gho_|xoxb-|xoxp-|sk-)", 1))).otherwise(0))
+    free = (F.when(kind == "email", F.substring_index(s, "@", 1)).when(kind == "card", F.substring(s, F.lit(2), F.length(s) - 2))
+            .otherwise(F.substring(s, at + 1, F.length(s))))
+    letters = F.regexp_replace(F.regexp_replace(free, r"\p{Lu}", "A"), r"(?!A)\p{L}", "a")
+    template = (F.when(kind.isin("hex", "ipv6"), F.regexp_replace(free, r"[0-9\p{L}]", "h")).when(kind == "ip", F.regexp_replace(free, r"\d+", "o"))
+                .otherwise(F.regexp_replace(letters, r"\d", "0")))
+    tail = F.when(kind == "email", F.concat(F.lit("@"), F.substring_index(s, "@", -1))).otherwise("")
+    return rows.withColumns({"head": F.substring(s, F.lit(1), at), "template": template, "tail": tail})
+
+
+def _base(c: Column) -> Column:
+    return F.when(c == "0", 10).when(c.isin("a", "A"), 26).when(c == "h", 16).when(c == "o", _OCTETS).otherwise(1).cast("long")
+
+
+def _numbered(number: Column) -> Column:
+    """Surrogate ``number`` (from 0) of a format."""
+    def put(done: Column, c: Column) -> Column:
+        at = done["rest"] % _base(c)
+        symbol = F.when(c == "o", (at + 1).cast("string"))
+        for name, alphabet in _CLASSES.items():
+            symbol = symbol.when(c == name, F.substring(F.lit(alphabet), at.cast("int") + 1, F.lit(1)))
+        return F.struct(F.floor(done["rest"] / _base(c)).cast("long").alias("rest"), F.concat(done["out"], symbol.otherwise(c)).alias("out"))
+
+    start = F.struct(number.cast("long").alias("rest"), F.lit("").alias("out"))
+    body = F.concat("head", F.aggregate(F.split("template", ""), start, put)["out"], "tail")
+    check = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
+    return F.when(F.col("kind") == "card", F.concat(body, F.when(F.col("valid"), check).otherwise((check + 1) % 10).cast("string"))).otherwise(body)
+
+
+def _placed(open_: DataFrame, kept: DataFrame, originals: DataFrame, key: str) -> DataFrame:
+    """``kind``, ``value``, ``surrogate`` for entities that blind draws did not place: the free surrogates of their format by rank.
+
+    Of a format as many surrogates are listed as it has entities to place and surrogates or originals that may be taken, so there are enough free ones
+    unless the format has no more; what is left then gets a format with one place more.
+    """
+    valid = F.when(F.col("kind") == "card", _luhn(F.col("value")) == 0).otherwise(False)
+    rest = materialize(_shaped(open_).withColumn("valid", valid).select(*_SHAPE, "value"), "unplaced")
+    done = None
+    while True:
+        used = kept if done is None else kept.unionByName(done)
+        used = materialize(originals.where("g != 'name'").select(F.col("g").alias("kind"), "surrogate").union(used.select("kind", "surrogate")).distinct(), "used")
+        taken = _shaped(used).groupBy("kind", "head", "template", "tail").agg(F.count("*").alias("taken"))
+        space = F.aggregate(F.split("template", ""), F.lit(1.0), lambda p, c: p * _base(c))
+        formats = rest.groupBy(*_SHAPE).agg(F.count("*").alias("k")).join(taken, ["kind", "head", "template", "tail"], "left")
+        formats = formats.select(*_SHAPE, F.least(space, F.lit(1e15), F.col("k") + F.coalesce("taken", F.lit(0))).cast("long").alias("m"))
+        piece = formats.withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(4096).cast("long")))).repartition("_from", *_SHAPE)
+        listed = piece.withColumn("_i", F.explode(F.sequence("_from", F.least(F.col("_from") + 4095, F.col("m") - 1)))).withColumn("surrogate", _numbered(F.col("_i")))
+        free = materialize(listed.join(used, ["kind", "surrogate"], "left_anti").select(*_SHAPE, "surrogate"), "free")
+        ranks = []
+        for table, name in ((rest, "value"), (free, "surrogate")):
+            order = F.sha2(F.concat_ws("\x1f", F.lit(key), F.lit(name), name).cast("binary"), 256)
+            at = materialize(ranked(table, [*[F.col(c) for c in _SHAPE], order], "_at"), "at")
+            first = at.groupBy(*_SHAPE).agg(F.min("_at").alias("_first"))
+            ranks.append(at.join(first, _SHAPE).withColumn("_r", F.col("_at") - F.col("_first")).drop("_at", "_first"))
+        both = materialize(ranks[0].join(ranks[1], [*_SHAPE, "_r"], "left"), "ranks")
+        now = both.where("surrogate IS NOT NULL").select("kind", "value", "surrogate")
+        done = materialize(now if done is None else done.unionByName(now), "placed")
+        more = (F.when(F.col("kind").isin("hex", "ipv6"), "h").when(F.col("kind") == "ip", ".o").when(F.col("kind") == "key", "A")
+                .when(F.col("kind").isin("email", "token"), "a").otherwise("0"))
+        rest = materialize(both.where("surrogate IS NULL").withColumn("template", F.concat("template", more)).select(*_SHAPE, "value"), "unplaced")
+        if rest.isEmpty():
+            return done
+
+
+def surrogates(entities: DataFrame, key: str, rounds: int = 6) -> DataFrame:
+    """Mapping ``kind``, ``value``, ``surrogate`` without collisions for different (``kind``, ``value``).
+
+    After ``rounds`` blind draws what is left is placed by rank; names go on, as theirs grow.
+    """
+    is_name = F.col("kind").startswith("given") | (F.col("kind") == "surname")
+    group = F.when(is_name, "name").otherwise(F.col("kind"))
     kept = None
     originals = materialize(entities.select(group.alias("g"), F.col("value").alias("surrogate")).distinct(), "originals")
     open_ = materialize(entities.select("kind", "value", F.lit(0).alias("attempt")), "open")
-    for _ in range(rounds):
+    done = 0
+    while True:
         drawn = _draw(open_, key).withColumn("g", group)
         fresh = drawn.join(originals.withColumn("_old", F.lit(True)), ["g", "surrogate"], "left")
         if kept is not None:
@@ -204,17 +285,24 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 60) -> DataFrame:
         first = materialize(free.groupBy("g", "surrogate").agg(F.min(F.struct("kind", "value")).alias("_first")).select(
             "_first.kind", "_first.value", "surrogate"), "first")
         kept = first if kept is None else materialize(kept.unionByName(first), "kept")
-        left = fresh.join(first.select("kind", "value"), ["kind", "value"], "left_anti")
-        open_ = materialize(left.select("kind", "value", (F.col("attempt") + 1).alias("attempt")), "open")
+        left = materialize(fresh.join(first.select("kind", "value"), ["kind", "value"], "left_anti"), "left")
+        done += 1
+        if done == rounds:
+            rest = left.where(~is_name).select("kind", "value", "surrogate")
+            if not rest.isEmpty():
+                kept = materialize(kept.unionByName(_placed(rest, kept, originals, key)), "kept")
+        open_ = (left.where(is_name) if done >= rounds else left).select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if open_.isEmpty():
             return kept
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
 def _render(e: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the punctuation and case of the entity."""
     index = F.transform(F.split(e, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
 
+    # a surrogate of a wider format has more characters than the entity; they follow at the end
+    plain = F.length(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
+
     def put(x: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(e, F.lit(1), x["i"] + 1), r"[^\p{L}\p{N}]", ""))
         new = F.when(kind.isin("email", "ipv6"), F.substring(surrogate, x["i"] + 1, F.lit(1))).otherwise(
@@ -224,7 +312,9 @@ def _render(e: Column, kind: Column, surrogate: Column) -> Column:
 
     name = F.when((F.length(e) > 1) & (e == F.upper(e)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (F.when(kind.startswith("given") | (kind == "surname"), name).when(kind.isin("ip", "key", "token", "hex"), surrogate)
-            .otherwise(F.array_join(F.transform(index, put), "")))
+            .when(kind.isin("email", "ipv6") & (F.length(surrogate) != F.length(e)), F.when(e == F.upper(e), F.upper(surrogate)).otherwise(surrogate))
+            .otherwise(F.concat(F.array_join(F.transform(index, put), ""),
+                                F.when(kind.isin("email", "ipv6"), "").otherwise(F.substring(surrogate, plain + 1, F.length(surrogate))))))
 
 
 def replace(documents: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:

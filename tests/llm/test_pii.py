@@ -115,3 +115,23 @@ def test_secrets_of_any_length_and_without_digits(spark):
         new = text.removeprefix("it is ").removesuffix(" there")
         assert new != old and len(new) == len(old) and " " not in new and shape(new)[:3] == shape(old)[:3] or old[0] in "0ab"
         assert old not in text and not any(old[i:i + 12] in text for i in range(8, len(old) - 12)), old
+
+
+def test_full_formats(spark):
+    """All local parts of one and two letters, and more cards' and numbers' worth of originals than a format has free surrogates."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    values = [("email", f"{a}@x.de") for a in letters] + [("email", f"{a}{b}@x.de") for a in letters for b in letters]
+    values += [("phone", f"1{i:02d}") for i in range(100)] + [("phone", f"2{i:02d}") for i in range(60)]
+    df = spark.createDataFrame(values, "kind string, value string")
+    out = {(r["kind"], r["value"]): r["surrogate"] for r in pii.surrogates(df, "k", 2).collect()}
+    assert out.keys() == set(values)
+    assert len(set(out.values())) == len(out) and not set(out.values()) & {v for _, v in values}
+    assert len({s.split("@")[1] for (k, _), s in out.items() if k == "email"}) == 1
+    assert all(len(out["email", v]) == len(v) for k, v in values if k == "email")
+    assert all(out["phone", v][0] == v[0] and len(out["phone", v]) in (3, 4) for k, v in values if k == "phone")
+
+
+def test_longer_surrogates_are_written_whole(spark):
+    df = spark.createDataFrame([("+1 (383) 55", "phone", "138355512"), ("AB@X.DE", "email", "qrs@y.de"), ("ab@x.de", "email", "qr@y.de")], "e string, k string, s string")
+    assert [r[0] for r in df.select(pii._render(F.col("e"), F.col("k"), F.col("s"))).collect()] == [
+        "+1 (383) 55512", "QRS@Y.DE", "qr@y.de"]
