@@ -9,8 +9,8 @@ side by side with array operations. A text of any length is parsed whole; a phra
 languages alike.
 
 Symbols are the lower-cased UTF-8 bytes of letters; any run of other ASCII characters is one separator. The model is fitted on at most
-``sample_docs`` texts (expected number, drawn by hash) of at most ``sample_chars`` characters and ``sample_symbols`` symbols per language; its size,
-which is broadcast, is bounded by languages x 2 x sample_symbols x symbols x 4 bytes.
+``sample_docs`` different texts per language (expected number, drawn by hash from all), of long ones windows of ``sample_chars`` characters together, and on equal
+shares of these, ``sample_symbols`` symbols per language; its size, which is broadcast, is bounded by languages x 2 x sample_symbols x symbols x 4 bytes.
 
 Null texts and texts without a letter are ``und`` with score 0, as are all texts if nothing is labelled; rows with a null language teach
 nothing. Ties go to the language that comes first in the alphabet. Repeated rows get equal results.
@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 from ledgerlens.llm.common import add_columns, bounded_batches, held_out, pieces, texts, utf8
 
 STRETCH = 256
+WINDOWS = 20  # of a long text
+PIECE = 500  # symbols of a text on end, if its share has more than one piece
 SEPARATOR = 0x20
 _LETTER = re.compile(r"[^\W\d_]")
 _BEGINS = np.int32(1 << 30)
@@ -149,20 +151,38 @@ class Model:
 def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = 200,
         sample_chars: int = 20_000, sample_symbols: int = 20_000) -> Model:
     """Model of the languages of ``labelled``."""
-    usable = labelled.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
-        F.col("l").isNotNull() & F.length("t").between(1, sample_chars))
-    counts = {r["l"]: r["count"] for r in usable.groupBy("l").count().collect()}
+    usable = labelled.select(F.sha2(F.col(text).cast("binary"), 256).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).where(
+        F.col("l").isNotNull() & (F.length("t") > 0))
+    counts = {r["l"]: r["count"] for r in usable.select("l", "k").distinct().groupBy("l").count().collect()}
     if not counts:
         return Model({})
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, sample_docs / n))]), F.col("l"))
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "i"), 11) / float(1 << 53)
-    samples: dict[str, bytearray] = {}
-    for r in sorted(usable.where(draw < rate).select("l", "t", draw.alias("d")).collect(), key=lambda r: (r["d"], r["t"])):
-        own = samples.setdefault(r["l"], bytearray())
-        if len(own) < sample_symbols:
-            folded, _ = symbols(*utf8(pa.array([f"{r['t'].lower()}\n"])))
-            own += folded.tobytes()
-    return Model({k: bytes(v[:sample_symbols]) for k, v in samples.items()})
+    draw = F.shiftrightunsigned(F.xxhash64(F.lit("langid"), "k"), 11) / float(1 << 53)
+    # a long text is cut to windows spread over it; the draw depends on the text alone, so copies are drawn together and one is taken
+    size = sample_chars // WINDOWS
+    windows = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS - 1)), lambda i: F.substring(
+        F.col("t"), (F.floor(i * (F.length("t") - size) / (WINDOWS - 1)) + 1).cast("int"), F.lit(size)))
+    cut = F.when(F.length("t") <= sample_chars, F.col("t")).otherwise(F.array_join(windows, "\n"))
+    drawn = usable.where(draw < rate).select("l", "k", cut.alias("t"), draw.alias("d")).groupBy("l", "k").agg(F.first("t").alias("t"), F.first("d").alias("d"))
+    texts_of: dict[str, list[bytes]] = {}
+    for r in sorted(drawn.collect(), key=lambda r: (r["d"], r["k"])):
+        folded, _ = symbols(*utf8(pa.array([f"{r['t'].lower()}\n"])))
+        texts_of.setdefault(r["l"], []).append(folded.tobytes())
+    return Model({k: _shared(v, sample_symbols) for k, v in texts_of.items()})
+
+
+def _shared(many: list[bytes], most: int) -> bytes:
+    """At most ``most`` symbols, equal shares of all texts; what short ones leave goes to the longer."""
+    taken = {}
+    for done, i in enumerate(sorted(range(len(many)), key=lambda i: len(many[i]))):
+        share = (most - sum(map(len, taken.values()))) // (len(many) - done)
+        own = many[i]
+        if len(own) > share:
+            pieces_ = max(1, share // PIECE)
+            size = share // pieces_
+            own = b"".join(own[at:at + size] for at in ((len(own) - size) * (2 * j + 1) // (2 * pieces_) for j in range(pieces_)))
+        taken[i] = own
+    return b"".join(taken[i] for i in range(len(many)))
 
 
 def predict(documents: DataFrame, model: Model, text: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:

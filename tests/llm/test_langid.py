@@ -73,3 +73,14 @@ def test_odd_rows(spark):
     nothing = langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 0)).where("lang is null")).collect()
     assert {r["lang_pred"] for r in nothing} == {"und"}
     assert langid.identify(docs.limit(0)).count() == 0
+
+
+def test_long_texts_and_copies_teach(spark):
+    """A language that occurs in long texts only, and one of whose texts most are copies."""
+    rows = [("the cat sat on the mat and slept there " * 900, "en")] + [("zzz yyy xxx " * 40, "fr")] * 60
+    rows += [(f"le chat numéro {i} est sur la table et il dort " * 30, "fr") for i in range(10)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample_docs=1000, sample_symbols=9000)
+    assert model.languages == ["en", "fr"]
+    names, _ = model.predict(["the cat slept on the mat", "le chat est sur la table et il dort"])
+    assert names == ["en", "fr"]
