@@ -61,6 +61,46 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class Bits:
+    """A set of 64-bit keys as a bit table of fixed size: it knows all its members and takes a few other keys for members."""
+
+    def __init__(self, table: np.ndarray, bits: int):
+        self.table, self.bits = table, bits
+
+    @staticmethod
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
+        """Two places in the table for each key, one row per key."""
+        h = keys.astype(np.uint64, copy=False)
+        with np.errstate(over="ignore"):
+            return np.stack([((h ^ (h >> np.uint64(31))) * m) >> np.uint64(64 - bits) for m in _MIX], 1).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, self.bits)
+        return ((self.table[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)).all(1)
+
+
+def bit_set(keys: DataFrame, bits: int = 25) -> Bits:
+    """The bit table of the first column (longs) of ``keys``; ``2 ** bits`` bits whatever their number, put together on the executors word by word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (bits - 6), np.uint64)
+        for batch in batches:
+            at = Bits.places(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), bits).reshape(-1)
+            np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        word = np.flatnonzero(own)
+        for a in range(0, len(word), 1 << 16):
+            some = word[a:a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(own[some].view(np.int64))], ["word", "ones"])
+
+    found = keys.mapInArrow(run, "word long, ones long").groupBy("word").agg(F.bit_or("ones").alias("ones")).toPandas()
+    table = np.zeros(1 << (bits - 6), np.uint64)
+    table[found["word"].to_numpy(np.int64)] = found["ones"].to_numpy(np.int64).view(np.uint64)
+    return Bits(table, bits)
+
+
 def ranked(df: DataFrame, order: Sequence[Column], out: str) -> DataFrame:
     """Adds ``out``, the row's position from 0 in the order of ``order``, and stores the table.
 

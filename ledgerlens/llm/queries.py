@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import ann, bpe, decontam, langid, pii, quality, sharding, simhash, sql, toxicity, warc
+from ledgerlens.llm import ann, bpe, collocations, decontam, langid, lexical, pii, quality, sharding, simhash, sql, toxicity, warc, wordbpe
 
 #: Key of the surrogates in the registered queries; a deployment passes its own secret.
 PII_KEY = "registered-query"
@@ -71,6 +71,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordbpe.digests(documents, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -82,6 +97,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_word_bpe": op11_word_bpe,
+    "op12_collocations": op12_collocations,
+    "op13_search": op13_search,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": sql.WARC, "op2_decontamination": sql.DECONTAMINATION}
+ORACLES: dict[str, str] = {
+    "op1_warc": sql.WARC, "op2_decontamination": sql.DECONTAMINATION, "op12_collocations": sql.COLLOCATIONS, "op13_search": sql.SEARCH}
