@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,21 +64,46 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
-    return spark.read.schema(schema).parquet(path)
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+    stored = spark.read.schema(schema).parquet(path)
+    stored.stored_at = path
+    return stored
 
 
-_scopes: list[list[str]] = []
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    files = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in map(files.Path, paths):
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what ``materialize`` stored for these tables; nothing that is still to be read may depend on them."""
+    for table in tables:
+        _delete(table.sparkSession, [table.stored_at])
+
+
+#: Open scopes of this thread (or task); each holds the paths that were stored inside it.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Deletes what ``materialize`` stored inside the block when the block ends; write or collect its results before that."""
-    _scopes.append([])
+    """Deletes what ``materialize`` stored inside the block in this thread when the block ends; write or collect its results before that."""
+    own: list[str] = []
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        _delete(spark, own)
+
+
+@contextmanager
+def outside() -> Iterator[None]:
+    """What is stored inside the block outlives the scopes around it."""
+    token = _scopes.set(())
     try:
         yield
     finally:
-        files = spark.sparkContext._jvm.org.apache.hadoop.fs
-        for path in map(files.Path, _scopes.pop()):
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _scopes.reset(token)
