@@ -6,6 +6,7 @@ exact and frequent scores cost nothing. Running totals over it give every thresh
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -268,7 +269,8 @@ def bootstrap_ranking(df: DataFrame, score: str, boots: int = 150, seed: int = 0
     resamples are arrays that go along.
     """
     days = sorted(r[0] for r in df.select(day).distinct().collect())  # one number per day
-    draws = np.random.default_rng(seed).integers(0, len(days), (boots, len(days))) if days else np.zeros((boots, 0), int)
+    # the draws come from a hash, so that any engine can repeat them
+    draws = np.array([[int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:8], 16) % len(days) for j in range(len(days))] for b in range(boots)]).reshape(boots, len(days))
     times = {d: row for d, row in zip(days, np.array([np.bincount(x, minlength=len(days)) for x in draws]).T)}
     shared = df.sparkSession.sparkContext.broadcast(times)
     counts = df.groupBy(F.col(score).cast("double").alias("s"), F.col(day).cast("long").alias("d")).agg(

@@ -39,6 +39,26 @@ class HotSpots:
     merchants: HotKeys | None = None
 
 
+@dataclass(frozen=True)
+class Older:
+    """Totals of all rows before ``cut`` that are not among the rows at hand: per customer, per (customer, ``dim``, ``value``) and per merchant.
+
+    ``cut`` is at least the longest window before the rows whose features are wanted.
+    """
+
+    customers: DataFrame
+    pairs: DataFrame
+    merchants: DataFrame
+    cut: int
+
+
+def _at_each_slab(totals: DataFrame, rows: DataFrame, key: str, hot: HotKeys | None) -> DataFrame:
+    """Totals of a key for each slab that its rows are cut into."""
+    if hot is None:
+        return totals
+    return totals.join(rows.select(key, "_slab_s", "_slab").distinct(), key)
+
+
 def find_hot_spots(transactions: DataFrame, skew: Skew = Skew()) -> HotSpots:
     return HotSpots(find_hot_keys(transactions, "customer_id", skew.rows_per_task),
                     find_hot_keys(transactions, "merchant_id", skew.rows_per_task))
@@ -63,7 +83,7 @@ def build_features(star: Star, label_delay_days: int, skew: Skew = Skew(), hot:
 
 
 # ------------------------------------------------------------------------------------------ merchant side
-def merchant_history(rows: DataFrame, label_delay_days: int, hot: HotKeys | None) -> DataFrame:
+def merchant_history(rows: DataFrame, label_delay_days: int, hot: HotKeys | None, older: Older | None = None) -> DataFrame:
     """Prior count and mean, short-term counts and the fraud rate over labels already mature at the row's time."""
     delay = label_delay_days * DAY
     rows = attach_slab(rows, hot).withColumns({
@@ -71,6 +91,9 @@ def merchant_history(rows: DataFrame, label_delay_days: int, hot: HotKeys | None
         "_labelled": flag(F.col("is_fraud").isNotNull()).cast("bigint"),
         "_fraud": F.coalesce(F.col("is_fraud"), F.lit(0)).cast("bigint")})
     series = with_history(rows, hot, max(DAY, delay), ["_n", "amount", "_labelled", "_fraud"])
+    if older is not None:
+        totals = older.merchants.withColumns({"ts_epoch": F.lit(older.cut - 1).cast("bigint"), "_own": F.lit(False)})
+        series = series.unionByName(_at_each_slab(totals, rows, "merchant_id", hot), allowMissingColumns=True)
     keys = partition_keys("merchant_id", hot)
     mature = before(keys, delay)
     series = series.withColumns({
@@ -144,11 +167,22 @@ def row_features(d: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------------------------------ customer side
-def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None) -> DataFrame:
-    rows = attach_slab(rows.withColumns({"hour_band": F.floor(F.col("hour_local") / 4),
-                                         "device_key": F.coalesce(F.col("device_id"), F.lit(""))}), hot)
+def with_pair_values(rows: DataFrame) -> DataFrame:
+    """Enriched rows with every column of ``PAIR_DIMS``."""
+    return rows.withColumns({"hour_band": F.floor(F.col("hour_local") / 4), "device_key": F.coalesce(F.col("device_id"), F.lit(""))})
+
+
+def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None, older: Older | None = None) -> DataFrame:
+    rows = attach_slab(with_pair_values(rows), hot)
     keys = partition_keys("customer_id", hot)
-    rows = with_pair_carry(rows, hot, PAIR_DIMS).repartition(*keys)
+    slabs = rows
+    rows = with_pair_carry(rows, hot, PAIR_DIMS)
+    if older is not None:  # a pair's earlier rows stand as one row at the time of the last of them
+        for d in PAIR_DIMS:
+            pairs = older.pairs.where(F.col("dim") == d).select("customer_id", F.col("value").cast(slabs.schema[d].dataType).alias(d), F.col("n").alias(f"_w_{d}"),
+                                                                F.col("last").alias("ts_epoch"), F.lit(False).alias("_own"))
+            rows = rows.unionByName(_at_each_slab(pairs, slabs, "customer_id", hot), allowMissingColumns=True)
+    rows = rows.repartition(*keys)
     rows = row_features(enrich_customer(rows, star))
     # Last time the same customer used the same merchant; same-second repeats are recognised by the id order.
     visits = Window.partitionBy(*keys, "merchant_id").orderBy("ts_epoch", "txn_id")
@@ -157,7 +191,10 @@ def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None) -> DataFr
         "_last_visit": F.last(F.when(F.col("_w_merchant_id") > 0, F.col("ts_epoch")), True)
         .over(visits.rowsBetween(Window.unboundedPreceding, -1))})
     rows = rows.where("_own").drop(*[f"_w_{d}" for d in PAIR_DIMS])
-    return _customer_windows(_with_expiry_rows(rows, hot), hot)
+    totals = None
+    if older is not None:
+        totals = _at_each_slab(older.customers, slabs, "customer_id", hot).withColumns({"ts_epoch": F.lit(older.cut - 1).cast("bigint"), "_own": F.lit(False)})
+    return _customer_windows(_with_expiry_rows(rows, hot), hot, totals)
 
 
 def _with_expiry_rows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
@@ -184,7 +221,7 @@ def _with_expiry_rows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
     return rows if hot is None else rows.withColumn("_slab", slab_of(F.col("ts_epoch")))
 
 
-def _customer_windows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
+def _customer_windows(rows: DataFrame, hot: HotKeys | None, totals: DataFrame | None = None) -> DataFrame:
     real = F.col("_n") == 1
     amount, log_amount = F.col("amount"), F.col("log_amount")
 
@@ -201,6 +238,8 @@ def _customer_windows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
     series = with_history(rows, hot, 7 * DAY,
                           ["_n", "_enter", "_visit", "_amt", "_log", "_log2", "_small", "_online", "_night"],
                           ["_peak", "_prev"], ["_first"])
+    if totals is not None:
+        series = series.unionByName(totals, allowMissingColumns=True)
     keys = partition_keys("customer_id", hot)
     past = before(keys)
     # Growing sums, once per (weight, lag); lag 1 = strictly earlier, lag w + 1 = more than w seconds earlier.

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
+from dataclasses import asdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens import __version__
 from ledgerlens.config import DAY, THIRTY_DAYS, Skew
 from ledgerlens.functions import columns as col
 from ledgerlens.operators import anomaly, breakdown, dataset, drift, evaluation, features, quality, rules
@@ -22,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 SETTINGS = THIRTY_DAYS
+_CONFIG = json.dumps(asdict(SETTINGS), sort_keys=True).replace("'", "''")
 DELAY = SETTINGS.split.label_delay_days
 REVIEW, BLOCK = oracle.REVIEW, oracle.BLOCK
 
@@ -762,7 +766,13 @@ def _(spark, sf):
     return rounded(out, [*_RKC, "precision_at_budget", "recall_at_budget"], 6)
 
 
-@query("ev10_bootstrap_interval")
+@query("ev10_bootstrap_interval", oracle.scored("""SELECT round(quantile_cont(ap, 0.025), 6) AS ci_low, round(quantile_cont(ap, 0.975), 6) AS ci_high, count(*) AS n_boot FROM
+ (SELECT boot, sum(pos * tp / a) / sum(pos) AS ap FROM (SELECT *, sum(n) OVER w AS a, sum(pos) OVER w AS tp FROM
+  (SELECT boot, score_rules AS s, CAST(sum(m) AS DOUBLE) AS n, CAST(sum(m * is_fraud) AS DOUBLE) AS pos FROM te JOIN mult USING (day) GROUP BY boot, score_rules)
+  WINDOW w AS (PARTITION BY boot ORDER BY s DESC)) GROUP BY boot HAVING sum(pos) > 0)""",
+                                                "dd AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS k, count(*) OVER () AS nd FROM (SELECT DISTINCT day FROM te)),"
+                                                "mult AS (SELECT boot, day, count(*) AS m FROM (SELECT b.boot, CAST('0x' || substr(md5('0|' || b.boot || '|' || j.k), 1, 8) AS BIGINT) % j.nd AS k"
+                                                " FROM (SELECT unnest(range(150)) AS boot) b, dd j) JOIN dd USING (k) GROUP BY boot, day)"))
 def _(spark, sf):
     return rounded(evaluation.bootstrap_interval(test_rows(spark, sf), "score_rules", 150), ["ci_low", "ci_high"], 6)
 
@@ -1157,7 +1167,31 @@ def _(spark, sf):
     return _model_scores(spark, sf, "score_boosted")
 
 
-@query("md3_platt_calibration")
+def _newton_sql(steps: int) -> str:
+    """CTEs: counts per score value of the validation rows, then one row of parameters per Newton step."""
+    out = ["""pz AS MATERIALIZED (SELECT ln(p / (1 - p)) AS z, count(*) AS n, sum(is_fraud) AS pos FROM
+ (SELECT greatest(1e-6, least(score_rules, 1 - 1e-6)) AS p, is_fraud FROM va) GROUP BY p),
+n0 AS MATERIALIZED (SELECT CAST(0 AS DOUBLE) AS a, ln(sum(pos) / (sum(n) - sum(pos))) AS b FROM pz)"""]
+    for i in range(steps):
+        out.append(f"""s{i} AS MATERIALIZED (SELECT any_value(a) AS a, any_value(b) AS b, sum((n*p - pos)*z) + 1e-9*sum(n)*any_value(a) AS ga, sum(n*p - pos) AS gb,
+ sum(n*p*(1-p)*z*z) + 1e-9*sum(n) AS haa, sum(n*p*(1-p)*z) AS hab, sum(n*p*(1-p)) AS hbb
+ FROM (SELECT z, n, pos, a, b, 1/(1+exp(-(a*z+b))) AS p FROM pz, n{i})),
+n{i + 1} AS MATERIALIZED (SELECT a - (hbb*ga - hab*gb)/(haa*hbb - hab*hab) AS a, b - (haa*gb - hab*ga)/(haa*hbb - hab*hab) AS b FROM s{i})""")
+    return ",".join(out)
+
+
+@query("md3_platt_calibration", oracle.scored("""SELECT txn_id, split, round(1/(1+exp(-(a*ln(p/(1-p)) + b))), 6) AS p_rules FROM
+ (SELECT *, greatest(1e-6, least(score_rules, 1 - 1e-6)) AS p FROM sc), n12""", _newton_sql(12)))
+def _(spark, sf):
+    """The rule score calibrated on the validation rows."""
+    from ledgerlens.plans.training import fit_platt
+
+    rows = scored(spark, sf)
+    platt = fit_platt(rows.where(F.col("split") == "valid"), "score_rules")
+    return rows.select("txn_id", "split", F.round(platt.predict(F.col("score_rules")), 6).alias("p_rules"))
+
+
+@query("md3_calibrated_model")
 def _(spark, sf):
     return _model_scores(spark, sf, "p_model")
 
@@ -1190,31 +1224,76 @@ def _(spark, sf):
     return both.agg(F.count("*").alias("n"), F.count(F.when(F.abs(F.col("p2") - F.col("p_model")) > 1e-9, 1)).alias("different"))
 
 
-def _explained(spark, sf):
-    from ledgerlens.operators.explain import with_reasons
+#: Coefficients of a fixed linear model, whose contributions any engine can work out.
+_LINEAR = {f: (i * 7 % 11 - 5) / 100 for i, f in enumerate(FEATURES)}
 
-    t = _trained(spark, sf)
-    rows = t.scored.where(F.col("split") == "test")
-    return with_reasons(t.model, rows, F.col("p_model") >= t.model.review)
+
+def _linear_sql() -> str:
+    """CTEs: baseline medians and, for each alert of the test rows, the contribution of every group and the codes of the strongest."""
+    from ledgerlens.operators.explain import FEATURE_GROUPS, drop_column
+
+    def log(x: str) -> str:
+        return f"sign({x}) * ln(1 + abs({x}))"
+
+    medians = ", ".join(f"coalesce(median(CAST({f} AS DOUBLE)), 0) AS b_{f}" for f in FEATURES)
+    drops = ", ".join(f"{' + '.join(f'({_LINEAR[f]}) * (' + log(f'coalesce(CAST({f} AS DOUBLE), 0.0)') + ' - ' + log(f'b_{f}') + ')' for f in fs if f in _LINEAR)} AS {drop_column(g)}"
+                      for g, fs in FEATURE_GROUPS.items())
+    found = ", ".join(f"{{'w': {drop_column(g)}, 'i': {-i}, 'code': '{g}'}}" for i, g in enumerate(FEATURE_GROUPS))
+    return f"""bm AS (SELECT {medians} FROM tr WHERE is_fraud = 0),
+gc AS (SELECT te.txn_id, rule_hits, {drops} FROM te, bm WHERE alert),
+ex AS (SELECT *, list_transform(list_sort(list_filter([{found}], lambda x : x.w >= 0.15), 'DESC')[1:3], lambda x : x.code) AS codes FROM gc)"""
+
+
+def _linear(spark, sf):
+    """The fixed model and the alerts of the test rows."""
+    from ledgerlens.operators.explain import LinearModel
+    from ledgerlens.plans.training import baseline_table
+
+    baseline = {r["feature"]: r["baseline"] for r in baseline_table(train_rows(spark, sf)).collect()}  # one row per feature
+    return LinearModel(_LINEAR, baseline), test_rows(spark, sf)
+
+
+_GROUP_DROPS = ["drop_velocity", "drop_amount_deviation", "drop_geo_anomaly", "drop_new_device", "drop_merchant_risk", "drop_unfamiliar_merchant",
+                "drop_time_pattern", "drop_customer_profile"]
 
 
-@query("ex1_group_contributions")
+@query("ex1_group_contributions", oracle.scored(f"SELECT txn_id, {oracle.rounded(_GROUP_DROPS, 5)} FROM gc", _linear_sql()))
 def _(spark, sf):
-    from ledgerlens.operators.explain import FEATURE_GROUPS, drop_column, group_contributions
+    from ledgerlens.operators.explain import group_contributions
 
-    t = _trained(spark, sf)
-    alerts = t.scored.where((F.col("split") == "test") & (F.col("p_model") >= t.model.review))
-    return rounded(group_contributions(t.model, alerts, t.model.baseline), [drop_column(g) for g in FEATURE_GROUPS], 6)
+    model, rows = _linear(spark, sf)
+    return rounded(group_contributions(model, rows.where(alert()), model.baseline), _GROUP_DROPS, 5)
 
 
-@query("ex2_model_reasons")
+@query("ex2_model_reasons", oracle.scored("SELECT txn_id, array_to_string(codes, '|') AS codes FROM ex", _linear_sql()))
 def _(spark, sf):
-    return _explained(spark, sf).where(F.col("reasons") != "").select("txn_id", "reasons")
+    from ledgerlens.operators.explain import group_contributions, model_reasons
+
+    model, rows = _linear(spark, sf)
+    alerts = rows.where(alert())
+    found = alerts.join(group_contributions(model, alerts, model.baseline), "txn_id").withColumn("r", model_reasons())
+    return found.select("txn_id", F.array_join(F.transform("r", lambda x: x["code"]), "|").alias("codes"))
 
 
-@query("ex3_merged_reasons")
+@query("ex3_merged_reasons", oracle.scored("""SELECT te.txn_id, coalesce(array_to_string(list_concat(ex.rule_hits, codes), '|'), '') AS codes,
+ coalesce(list_concat(ex.rule_hits, codes)[1], '') AS top_reason FROM te LEFT JOIN ex USING (txn_id)""", _linear_sql()))
 def _(spark, sf):
-    return _explained(spark, sf).select("txn_id", "top_reason", F.length("reasons").alias("reasons_length"))
+    from ledgerlens.operators.explain import with_reasons
+
+    model, rows = _linear(spark, sf)
+    merged = with_reasons(model, rows.withColumn("rule_hits", rules.rule_hits()), alert())
+    codes = F.transform(F.from_json("reasons", "array<struct<code string>>"), lambda x: x["code"])
+    return merged.select("txn_id", F.coalesce(F.array_join(codes, "|"), F.lit("")).alias("codes"), "top_reason")
+
+
+@query("ex3_model_alert_reasons")
+def _(spark, sf):
+    """Reasons of the trained model's alerts."""
+    from ledgerlens.operators.explain import with_reasons
+
+    t = _trained(spark, sf)
+    found = with_reasons(t.model, t.scored.where(F.col("split") == "test"), F.col("p_model") >= t.model.review)
+    return found.select("txn_id", "reasons", "top_reason")
 
 
 def _backtest(spark, sf):
@@ -1238,18 +1317,38 @@ def _(spark, sf):
     return _backtest(spark, sf)[1]
 
 
-@query("pv1_fingerprint")
+_TXN_TEXT = " || ".join(f"coalesce(CAST(length({x}) AS VARCHAR) || ':' || {x}, '-')" for x in (
+    "CAST(txn_id AS VARCHAR)", "CAST(account_id AS VARCHAR)", "CAST(customer_id AS VARCHAR)", "CAST(merchant_id AS VARCHAR)", "CAST(location_id AS VARCHAR)",
+    "CAST(ts AS VARCHAR)", "txn_date", "CAST(hour_local AS VARCHAR)", "CAST(dow_local AS VARCHAR)", "CAST(ts_epoch AS VARCHAR)",
+    "replace(printf('%a', CAST(amount AS DOUBLE)), '+', '')", "channel", "device_id", "CAST(is_fraud AS VARCHAR)"))
+_TXN_COLUMNS = ["txn_id", "account_id", "customer_id", "merchant_id", "location_id", "ts", "txn_date", "hour_local", "dow_local", "ts_epoch", "amount", "channel",
+                "device_id", "is_fraud"]
+_PRINT = f"""SELECT n_rows, sha256(n_rows || '|' || {" || '|' || ".join(f"l{i}" for i in range(8))}) AS fingerprint FROM (SELECT count(*) AS n_rows,
+ {", ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS HUGEINT)) % 4294967296 AS BIGINT) AS l{i}" for i in range(8))} FROM (SELECT sha256({_TXN_TEXT}) AS h FROM txn))"""
+
+
+@query("pv1_fingerprint", oracle.tables(_PRINT))
 def _(spark, sf):
     from ledgerlens.operators.provenance import fingerprint
 
-    return fingerprint(star(spark, sf).transactions)
+    return fingerprint(star(spark, sf).transactions, _TXN_COLUMNS)
 
 
 @query("pv2_manifest")
 def _(spark, sf):
     from ledgerlens.operators.provenance import manifest
 
-    return manifest(star(spark, sf).transactions, SETTINGS, {"source": "driver tables"})
+    return manifest(star(spark, sf).transactions.select(*_TXN_COLUMNS), SETTINGS, {"source": "driver tables"})
+
+
+@query("pv2_manifest_data", oracle.tables(f"""SELECT '{__version__}' AS project_version, n_rows AS n_transactions, fingerprint AS data_fingerprint,
+ sha256('{_CONFIG}') AS config_sha256 FROM ({_PRINT})"""))
+def _(spark, sf):
+    """The part of the manifest that does not depend on the machine."""
+    from ledgerlens.operators.provenance import manifest
+
+    made = manifest(star(spark, sf).transactions.select(*_TXN_COLUMNS), SETTINGS, {"source": "driver tables"})
+    return made.select("project_version", "n_transactions", "data_fingerprint", "config_sha256")
 
 
 # ============================================================================================== streaming

@@ -120,11 +120,46 @@ class Platt:
         return 1.0 / (1.0 + F.exp(-(self.slope * logit(raw) + self.intercept)))
 
 
-def fit_platt(scored: DataFrame, raw: str) -> Platt:
-    df = scored.select(F.col(LABEL).cast("double").alias("y"), logit(F.col(raw)).alias("z"))
-    vec = VectorAssembler(inputCols=["z"], outputCol="v").transform(df)
-    model = LogisticRegression(featuresCol="v", labelCol="y", regParam=1e-9, maxIter=500, standardization=False).fit(vec)
-    return Platt(float(model.coefficients[0]), float(model.intercept))
+def fit_platt(scored: DataFrame, raw: str, steps: int = 20, ridge: float = 1e-9) -> Platt:
+    """Two-parameter logistic regression of the label on the score's log-odds, by Newton steps from the base rate.
+
+    Rows are counted once per score value; a step sums five numbers over these counts. ``ridge`` keeps the slope finite if the score separates the labels,
+    and a step that would raise the loss is halved.
+    """
+    value = F.col(raw).cast("double")
+    counts = scored.where(value.isNotNull() & F.col(LABEL).isNotNull()).groupBy(value.alias("s")).agg(
+        F.count("*").cast("double").alias("n"), F.sum(F.col(LABEL).cast("double")).alias("pos"))
+    counts = materialize(counts.select(logit(F.col("s")).alias("z"), "n", "pos"), "platt")
+    n, pos = counts.agg(F.sum("n"), F.sum("pos")).first()
+    if not n or pos in (0.0, n):
+        return Platt(0.0, math.log(max(pos or 0.0, 1e-9) / max((n or 0.0) - (pos or 0.0), 1e-9)))
+
+    def sums(a: float, b: float) -> tuple[float, ...]:
+        m = F.col("z") * a + b
+        p = 1.0 / (1.0 + F.exp(-m))
+        w, gap = F.col("n") * p * (1.0 - p), F.col("n") * p - F.col("pos")
+        loss = F.col("n") * (F.greatest(m, F.lit(0.0)) + F.log1p(F.exp(-F.abs(m)))) - F.col("pos") * m
+        return tuple(counts.agg(*[F.sum(x) for x in (gap * F.col("z"), gap, w * F.col("z") * F.col("z"), w * F.col("z"), w, loss)]).first())
+
+    a, b = 0.0, math.log(pos / (n - pos))
+    now = sums(a, b)
+    for _ in range(steps):
+        ga, gb, haa, hab, hbb, loss = now
+        ga, haa = ga + ridge * n * a, haa + ridge * n
+        det = haa * hbb - hab * hab
+        if det <= 0:
+            break
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        before = loss + ridge * n * a * a / 2
+        for _ in range(20):
+            now = sums(a - da, b - db)
+            if now[5] + ridge * n * (a - da) ** 2 / 2 <= before + 1e-12 * abs(before):
+                break
+            da, db = da / 2, db / 2
+        a, b = a - da, b - db
+        if abs(da) + abs(db) < 1e-12:
+            break
+    return Platt(a, b)
 
 
 # ---------------------------------------------------------------------------------------------- model

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerlens.config import Settings
@@ -19,6 +18,7 @@ from ledgerlens.operators.skew import find_hot_keys
 from ledgerlens.plans.training import RiskModel
 from ledgerlens.schema import FEATURES
 from ledgerlens.sources.views import Star
+from ledgerlens.streaming.state import Past, State
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -42,9 +42,11 @@ def relevant_history(stored: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[str] | None = None,
-                   labelled: bool = False) -> DataFrame:
+                   labelled: bool = False, past: Past | None = None) -> DataFrame:
     """Features of the batch rows from strictly earlier rows: stored history plus earlier rows of the batch.
 
+    With ``past`` the rows of the last days and the totals of everything before stand for the history, which is then not read.
+
     ``star.transactions`` is the stored history. Arriving rows have no label yet, so theirs is blanked unless
     ``labelled``; a row's own label can never reach its features either way, because labels mature after a delay.
     The merchant half reads only four columns of the merchants' rows; the customer half only the customers' rows.
@@ -59,14 +61,15 @@ def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[
     if not labelled:
         new = new.withColumn("is_fraud", F.lit(None).cast("int"))
 
-    slim = history_of(stored.select("merchant_id", "ts_epoch", "amount", "is_fraud"), batch, "merchant_id")
+    slim = past.by_merchant if past else history_of(stored.select("merchant_id", "ts_epoch", "amount", "is_fraud"), batch, "merchant_id")
+    older = past.older if past else None
     series = new.unionByName(slim.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
-    new = merchant_history(series, delay, find_hot_keys(series, "merchant_id", limit)).where("is_new")
+    new = merchant_history(series, delay, find_hot_keys(series, "merchant_id", limit), older).where("is_new")
 
-    old = history_of(stored.select(*columns), batch, "customer_id").withColumn("is_new", F.lit(False))
+    old = (past.by_customer if past else history_of(stored.select(*columns), batch, "customer_id")).withColumn("is_new", F.lit(False))
     series = new.unionByName(old, allowMissingColumns=True)
     hot = find_hot_keys(series, "customer_id", limit)
-    out = customer_history(enrich_event(series, star), star, hot).where("is_new")
+    out = customer_history(enrich_event(series, star), star, hot, older).where("is_new")
     return out.select("txn_id", *[c for c in keep if c not in FEATURES], *FEATURES)
 
 
@@ -95,40 +98,41 @@ def replay(star: Star, ids: DataFrame, settings: Settings, scorer: Scorer = rule
 
 
 def start_scoring(stream: DataFrame, history_path: str, dims: Star, settings: Settings, scored_path: str,
-                  quarantine_path: str, checkpoint: str, scorer: Scorer = rule_scorer, available_now: bool = False) -> StreamingQuery:
+                  quarantine_path: str, checkpoint: str, scorer: Scorer = rule_scorer, available_now: bool = False, buckets: int = 16) -> StreamingQuery:
     """Validates, scores and stores every micro-batch.
 
     Times local to the transaction's place are added to rows that come without them. Rejected rows go to the quarantine table
-    with their reasons; good rows that are not stored yet are scored and appended to the history.
+    with their reasons, rows that come later than a day after the newest ones with the reason ``too_late``; good rows that are not stored yet are scored and
+    appended to the history. What scoring needs of the past is kept beside the history (``<history_path>-state``, see ``state.State``); it is made from the
+    history when the stream first starts, and after that the history is written only.
     Each output is keyed by the batch id and overwritten when a batch is retried, so a restart repeats nothing.
     """
     spark = stream.sparkSession
+    state = State(spark, f"{history_path.rstrip('/')}-state", dims, settings.split.label_delay_days, buckets)
+    if not state.exists():
+        state.start(spark.read.schema(dims.transactions.schema).parquet(history_path))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         if "hour_local" not in batch.columns:
             batch = with_local_time(batch, dims.locations)
         columns = batch.columns
-        checked = validate_rows(batch, dims).persist()
+        late = F.when(F.col("ts_epoch") < state.first_time(batch_id), F.array(F.lit("too_late"))).otherwise(F.array().cast("array<string>"))
+        checked = validate_rows(batch, dims).withColumn("reject_reasons", F.concat("reject_reasons", late)).persist()
+        good = None
         try:
             bad = checked.where(F.size("reject_reasons") > 0)
             bad.write.mode("overwrite").parquet(f"{quarantine_path}/batch={batch_id}")
             good = checked.where(F.size("reject_reasons") == 0).select(*columns)
-            stored = _history(spark, history_path, batch_id, good)
-            good = first_seen(good, stored).persist()
-            star = Star(stored, dims.customers, dims.accounts, dims.merchants, dims.locations)
-            scored = scorer(batch_features(star, good, settings, ["customer_id", "merchant_id", "ts_epoch"]))
+            past = state.past(good, batch_id)
+            good = first_seen(good, past.by_customer).persist()
+            scored = scorer(batch_features(dims, good, settings, ["customer_id", "merchant_id", "ts_epoch"], past=past))
             scored.write.mode("overwrite").parquet(f"{scored_path}/batch={batch_id}")
             good.write.mode("overwrite").parquet(f"{history_path}/batch={batch_id}")
-            good.unpersist()
+            state.add(good, batch_id)
         finally:
             checked.unpersist()
+            if good is not None:
+                good.unpersist()
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
-
-
-def _history(spark: SparkSession, path: str, batch_id: int, like: DataFrame) -> DataFrame:
-    """Stored rows of earlier batches (the initial load is batch -1)."""
-    schema = T.StructType([*like.schema.fields, T.StructField("batch", T.IntegerType())])
-    rows = spark.read.schema(schema).parquet(path)
-    return rows.where(F.col("batch") < batch_id).select(*like.columns)

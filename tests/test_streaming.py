@@ -128,3 +128,51 @@ def test_model_scores_and_reasons_of_a_batch(spark, star, data):
     direct = {r.txn_id: r.p_model for r in model.predict(data.join(ids, "txn_id")).select("txn_id", "p_model").collect()}
     again = {r.txn_id: r.p_model for r in got.select("txn_id", "p_model").collect()}
     assert all(again[t] == pytest.approx(p, abs=1e-6) for t, p in direct.items())
+
+
+def test_state_does_not_grow_with_the_history(spark, star, root):
+    """Whatever the length of the history, a batch reads the rows of the last days and one total per key; many small batches equal one plan over everything."""
+    from dataclasses import replace
+
+    from ledgerlens.streaming.state import State
+
+    rows = known(star)
+    base = replace(star, transactions=rows)
+    last = rows.agg(F.max("ts_epoch")).first()[0]
+    state, day0 = State(spark, f"{root}/state", base, 2, buckets=4), last // DAY - 5
+    state.start(rows.where(F.col("ts_epoch") < day0 * DAY))
+    got, sizes = [], []
+    newest = rows.where(F.col("ts_epoch") < day0 * DAY).agg(F.max("ts_epoch")).first()[0]
+    for i in range(5):
+        batch = rows.where((F.col("ts_epoch") >= (day0 + i) * DAY) & (F.col("ts_epoch") < (day0 + i + 1) * DAY))
+        for _ in range(2 if i == 3 else 1):  # one batch is repeated
+            past = state.past(batch, i)
+            got.append(scoring.batch_features(base, batch, THIRTY_DAYS, past=past).withColumn("b", F.lit(i)).select("b", "txn_id", *FEATURES).collect())
+            state.add(batch, i)
+        sizes.append(past.by_customer.count())
+        newest_now = batch.agg(F.max("ts_epoch")).first()[0]
+        assert past.by_customer.where(F.col("ts_epoch") < past.cut).isEmpty() and past.cut >= newest // DAY * DAY - 8 * DAY
+        newest = newest_now or newest
+        assert past.older.customers.count() <= batch.select("customer_id").distinct().count()
+    again = got.pop(4)
+    assert sorted(map(str, again)) == sorted(map(str, got[3]))
+    seen = {r["txn_id"]: [None if r[f] is None else float(r[f]) for f in FEATURES] for part in got for r in part}
+    wanted = build_features(base, 2).join(rows.where((F.col("ts_epoch") >= day0 * DAY) & (F.col("ts_epoch") < (day0 + 5) * DAY)).select("txn_id"), "txn_id").collect()
+    assert len(seen) == len(wanted) and max(sizes) < rows.count()
+    for r in wanted:
+        for f, x in zip(FEATURES, seen[r["txn_id"]]):
+            assert (x is None) == (r[f] is None) and (x is None or x == pytest.approx(float(r[f]), abs=1e-6)), (r["txn_id"], f)
+
+
+def test_state_reads_only_the_buckets_of_the_batch(spark, star, root):
+    from dataclasses import replace
+
+    from ledgerlens.streaming.state import State
+
+    rows = known(star)
+    state = State(spark, f"{root}/state", replace(star, transactions=rows), 2, buckets=8)
+    state.start(rows)
+    one = rows.where(F.col("txn_id") == rows.agg(F.min("txn_id")).first()[0])
+    plan = state.past(one, 0).older.customers._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "(bucket#" in plan.split("PartitionFilters")[1][:80]
+    assert state.past(one, 0).by_customer.select("customer_id").distinct().count() <= 1
