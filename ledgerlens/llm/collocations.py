@@ -3,8 +3,8 @@
 Texts are lower-cased in A-Z and cut into pieces at ``.,;:!?`` and line ends, pieces into words at blanks and tabs; phrases do not cross pieces. All counts are per
 language (null: ``und``) and cover every occurrence, overlaps included.
 
-Counting takes three passes over the texts: words; pairs whose words are frequent; phrases of three to ``most`` words whose pairs are all frequent. A phrase is no
-more frequent than any part of it, so nothing frequent is lost. What is frequent is told to the tasks by a bit table of fixed size (``bits``), which lets a few others through; the counts
+Counting takes four passes over the texts: words; pairs whose words are frequent; triples whose pairs are; phrases of four to ``most`` words whose triples are all
+frequent. A phrase is no more frequent than any part of it, so nothing frequent is lost. What is frequent is told to the tasks by a bit table of fixed size (``bits``), which lets a few others through; the counts
 themselves are exact. Tasks hand on counts per block of text, which Spark adds up before and after the shuffle, so a text or word that fills a third of the table
 weighs no more than any other.
 
@@ -36,7 +36,7 @@ from ledgerlens.session import materialize
 LEAST = 100
 MOST = 5
 TOP = 2000
-BLOCK = 4 << 20  # bytes of text that are counted at a time
+BLOCK = 1 << 20  # bytes of text that are counted at a time
 BREAK = np.zeros(256, bool)
 BREAK[list(b".,;:!?\n\v\f\r")] = True
 WORD = ~BREAK
@@ -79,7 +79,7 @@ def _language_hash(name: str) -> int:
 
 
 def _key(lang: np.ndarray, *word: np.ndarray) -> np.ndarray:
-    """One 64-bit key of a language and one or two words."""
+    """One 64-bit key of a language and some words."""
     with np.errstate(over="ignore"):
         key = lang ^ word[0] * _LEFT
         for w in word[1:]:
@@ -111,37 +111,32 @@ def count_words(documents: DataFrame) -> DataFrame:
 
 
 def count_phrases(documents: DataFrame, known: Bits, least: int, most: int) -> DataFrame:
-    """``lang``, ``w1`` to ``w<most>`` (null beyond the end), ``f`` of the phrases of ``least`` (2 or 3) to ``most`` words.
-
-    ``known`` holds the frequent words if ``least`` is 2, else the frequent pairs.
-    """
+    """``lang``, ``w1`` to ``w<most>`` (null beyond the end), ``f`` of the phrases of ``least`` to ``most`` words whose parts of ``least - 1`` words are all ``known``."""
     shared = documents.sparkSession.sparkContext.broadcast(known)
-    columns = [f"w{i}" for i in range(1, most + 1)]
+    columns, size = [f"w{i}" for i in range(1, most + 1)], least - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = _names(batch)
             hashed = np.array([_language_hash(x) for x in names], np.uint64)
             for _, w, piece, lang in _blocks(batch):
-                if not len(w.hash):
+                count = len(w.hash) - size + 1
+                if count < 2:
                     continue
-                near = np.zeros(len(w.hash), bool)  # the next word is in the same piece
-                near[:-1] = (piece[1:] == piece[:-1]) & (w.text[1:] == w.text[:-1])
-                if least == 2:
-                    ok = shared.value(_key(hashed[lang], w.hash))
-                    ok[:-1] &= ok[1:]
-                else:
-                    ok = np.zeros(len(near), bool)
-                    ok[:-1] = shared.value(_key(hashed[lang[:-1]], w.hash[:-1], w.hash[1:]))
-                at = np.flatnonzero(ok & near)  # where frequent pairs begin, or pairs of frequent words
-                pair = np.zeros(len(near) + most, bool)
-                pair[at] = True
+                near = np.zeros(len(w.hash) + most, bool)  # the next word is in the same piece
+                near[:len(w.hash) - 1] = (piece[1:] == piece[:-1]) & (w.text[1:] == w.text[:-1])
+                ok = np.zeros(len(near), bool)  # a known part begins here
+                ok[:count] = shared.value(_key(hashed[lang[:count]], *[w.hash[i:count + i] for i in range(size)]))
+                for i in range(size - 1):
+                    ok[:count] &= near[i:count + i]
+                at = np.flatnonzero(ok[:-1] & ok[1:])
+                at = at[near[at + size - 1]]
                 _, word = np.unique(w.hash, return_inverse=True)
                 span = int(word.max()) + 1
                 group = lang[at] * span + word[at]
                 for n in range(2, most + 1):  # numbers of the phrases that begin at each place, word by word
-                    if n > 2:
-                        longer = pair[at + n - 2]
+                    if n > least:
+                        longer = ok[at + n - size] & near[at + n - 2]
                         at, group = at[longer], group[longer]
                     if not len(at):
                         break
@@ -158,7 +153,7 @@ def count_phrases(documents: DataFrame, known: Bits, least: int, most: int) -> D
 
 
 def _known(frequent: DataFrame, n: int, bits: int) -> Bits:
-    """Bit table of frequent words or pairs."""
+    """Bit table of frequent phrases of ``n`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,12 +172,11 @@ def frequent_phrases(documents: DataFrame, least: int, most: int, bits: int) ->
     found = often.select("lang", F.array("w1").alias("p"), "f")
     known, n = _known(often, 1, bits), 2
     while n <= most:
-        upto = 2 if n == 2 else most
-        counted = count_phrases(documents, known, n, upto).where(F.col("f") >= least)
-        counted = materialize(counted, "phrases")
+        upto = min(n, most) if n < 4 else most
+        counted = materialize(count_phrases(documents, known, n, upto).where(F.col("f") >= least), "phrases")
         found = found.unionByName(counted.select("lang", F.array_compact(F.array(*[f"w{i}" for i in range(1, upto + 1)])).alias("p"), "f"))
-        if n == 2:
-            known = _known(counted, 2, bits)
+        if upto < most:
+            known = _known(counted, n, bits)
         n = upto + 1
     return found, often.select("lang", F.col("w1").alias("w"), "word"), total
 
@@ -246,7 +240,7 @@ def collocations(documents: DataFrame, text: str = "text", lang: str = "lang", l
 
     A phrase of count ``a`` is cut in two so that ``floor(1000 * a * n / (l * r))`` is lowest; phrases that always occur inside the same longer one are left out.
     """
-    bounded_batches(documents.sparkSession)
+    bounded_batches(documents.sparkSession, 4 << 20)
     found, vocabulary, total = frequent_phrases(_own(documents, text, lang), least, most, bits)
     none = F.lit(None)
     forwards = materialize(_streamed(found.withColumns({"right": none.cast("long"), "l": none.cast("array<long>")}), False), "prefixes")
