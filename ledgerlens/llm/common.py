@@ -56,6 +56,17 @@ def add_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.Recor
     return pa.RecordBatch.from_arrays([*[batch.column(n) for n in kept], *columns.values()], [*kept, *columns])
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """``names``, lengthened until none of them is one of ``columns`` in any case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the rows whose labels no model may see."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import ranked
+from ledgerlens.llm.common import ranked, unused
 from ledgerlens.session import materialize
 
 _RUN = r"\p{L}\p{N}._%+\-"
@@ -44,7 +44,7 @@ _NAME = r"\p{Lu}[\p{L}'’\-]*[\p{L}]"
 
 #: Kinds in the order in which they are tried.
 KINDS = {
-    "email": rf"(?<![{_RUN}])[{_RUN}]++@[\p{{L}}\p{{N}}\-]++(?:\.[\p{{L}}\p{{N}}\-]++)*\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])",
+    "email": rf"(?<![{_RUN}])[{_RUN}]++@[\p{{L}}\p{{N}}\-][\p{{L}}\p{{N}}.\-]*(?<!\.)\.\p{{L}}{{2,24}}(?![\p{{L}}\p{{N}}])",
     "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "token": r"(?<![A-Za-z0-9])(?:ghp_|gho_|xoxb-|xoxp-|sk-)[A-Za-z0-9_\-]{16,}",
     "hex": r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}+(?![A-Za-z0-9])",
@@ -61,7 +61,11 @@ KINDS = {
             rf"|(?=\p{{Lu}})(?<=(?<!\p{{L}})(?:{_GIVEN}) ){_NAME}"
             rf"|(?=\p{{Lu}})(?<!\p{{L}})(?:{_GIVEN})(?= \p{{Lu}}\p{{L}})",
 }
-EVERY = "|".join(KINDS.values())
+#: All kinds in one pattern. None but a social security number begins right after an ASCII letter, so inside words little is tried. Only single characters
+#: are repeated without a bound, which the matcher does in a loop, so a text of any kind and length needs no deep stack.
+EVERY = rf"(?<![A-Za-z])(?:{'|'.join(v for k, v in KINDS.items() if k != 'ssn')})|(?=\d){KINDS['ssn']}"
+#: Characters that mark the entities of a text while it is taken apart; they stand for nothing in Unicode.
+_OPEN, _CLOSE = "\ufdd0", "\ufdd1"
 #: What a text with an entity must have; cheap to look for.
 MAYBE = rf"[0-9@]|AKIA|ASIA|ghp_|gho_|xoxb-|xoxp-|sk-|[A-Fa-f]:[A-Fa-f]|(?=\p{{Lu}})(?<!\p{{L}})(?:{_TITLE}|{_GIVEN})[. ]"
 _SYLLABLES = {
@@ -73,14 +77,20 @@ _SYLLABLES = {
 _ENDINGS = {("latin", "f"): "lia", ("latin", "m"): "rus", ("latin", "u"): "ner", ("cyrillic", "f"): "ина", ("cyrillic", "m"): "ан", ("cyrillic", "u"): "енко"}
 
 
-def _entities(text: Column) -> Column:
-    """All entities of a text in order, each with the words before it and whether the next one follows after a blank."""
-    found = F.regexp_extract_all(text, F.lit(EVERY), F.lit(0))
-    rest = F.split(text, EVERY, -1)  # one piece more than entities
-    # both arrays are worked out once and zipped: inside a lambda they would be worked out for every entity
-    zipped = F.slice(F.arrays_zip(found, rest, F.slice(rest, 2, F.greatest(F.size(found), F.lit(1)))), F.lit(1), F.size(found))
-    return F.transform(zipped, lambda x: F.struct(
-        x["0"].alias("e"), F.substring(x["1"], -14, 14).alias("before"), (x["2"] == " ").alias("joined")))
+def _pieces(text: Column) -> Column:
+    """The text cut at its entities: what is before the first, the first, what is between it and the second and so on, one search for all."""
+    marked = F.split(F.regexp_replace(text, EVERY, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
+    found, rest = F.regexp_extract_all(text, F.lit(EVERY), F.lit(0)), F.split(text, EVERY, -1)
+    both = F.slice(F.flatten(F.zip_with(rest, found, lambda r, e: F.array(r, F.coalesce(e, F.lit(""))))), F.lit(1), F.size(rest) + F.size(found))
+    return F.when(text.rlike(f"[{_OPEN}{_CLOSE}]"), both).otherwise(marked)  # a text with such characters is searched twice
+
+
+def _entities(pieces: Column) -> Column:
+    """All entities in order, each with the words before it and whether the next one follows after a blank."""
+    # the array is worked out once and zipped with itself: inside a lambda it would be worked out for every entity
+    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(pieces)), F.slice(pieces, F.lit(2), F.size(pieces)), F.slice(pieces, F.lit(3), F.size(pieces)))
+    every = F.transform(zipped, lambda x, i: F.struct(x["1"].alias("e"), F.substring(x["0"], -14, 14).alias("before"), (x["2"] == " ").alias("joined"), i.alias("i")))
+    return F.filter(every, lambda x: (x["i"] % 2 == 0) & x["e"].isNotNull())
 
 
 def _kind(e: Column, before: Column, joined: Column) -> Column:
@@ -112,8 +122,14 @@ def _byte(digest: Column, i: Column) -> Column:
     return F.conv(F.substring(digest, (i % 256) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
 
+#: Letters that stand for those of other scripts: from each first character on so many, in steps.
+_SCRIPTS = {name: "".join(chr(first + i * step) for i in range(count)) for name, (first, count, step) in {
+    "Cyrillic": (0x430, 32, 1), "Greek": (0x3B1, 17, 1), "Hebrew": (0x5D0, 22, 1), "Arabic": (0x628, 19, 1), "Han": (0x4E09, 64, 7), "Hiragana": (0x304B, 23, 2),
+    "Katakana": (0x30AB, 23, 2), "Hangul": (0xAC00, 64, 28), "Devanagari": (0x915, 37, 1), "Thai": (0xE01, 40, 1)}.items()}
+
+
 def _drawn(value: Column, digest: Column, hexadecimal: bool = False) -> Column:
-    """Each character by one of its own class; others stay."""
+    """Each character by one of its own class and script; others stay."""
     letters, digits = ("abcdef" if hexadecimal else "abcdefghijklmnopqrstuvwxyz"), "0123456789"
 
     def one(alphabet: str, i: Column) -> Column:
@@ -124,7 +140,17 @@ def _drawn(value: Column, digest: Column, hexadecimal: bool = False) -> Column:
         return (F.when(c.rlike(r"^\d$"), one(digits + "abcdef", i) if hexadecimal else one(digits, i)).when(c.rlike(r"^\p{Lu}$"), F.upper(small))
                 .when(c.rlike(r"^\p{L}$"), small).otherwise(c))
 
-    return F.array_join(F.transform(F.split(value, ""), swap), "")
+    def swap_any(c: Column, i: Column) -> Column:
+        out = swap(c, i)
+        for script, alphabet in _SCRIPTS.items():
+            other = one(alphabet, i)
+            out = F.when(c.rlike(rf"^\p{{Is{script}}}$"), F.when(c.rlike(r"^\p{Lu}$"), F.upper(other)).otherwise(other)).otherwise(out)
+        return out
+
+    if hexadecimal:
+        return F.array_join(F.transform(F.split(value, ""), swap), "")
+    return F.when(value.rlike(r"[^\x00-\u024f]"), F.array_join(F.transform(F.split(value, ""), swap_any), "")).otherwise(
+        F.array_join(F.transform(F.split(value, ""), swap), ""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -138,10 +164,23 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(digits, ""), lambda c, i: F.struct(c.cast("int").alias("d"), i.alias("i"))), F.lit(0), add) % 10
 
 
+def _mod97(account: Column) -> Column:
+    """Remainder of an account number with its country and check digits moved to the end and letters as 10 to 35; 1 if the check digits are right."""
+    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+
+    def add(total: Column, c: Column) -> Column:
+        return (F.when(c.rlike(r"^\d$"), total * 10 + c.cast("int")).otherwise(total * 100 + F.ascii(c) - 55) % 97).cast("int")
+
+    return F.aggregate(F.split(turned, ""), F.lit(0), add)
+
+
 def _parts(key: str, kind: Column, value: Column, attempt: Column) -> dict[str, Column]:
     """Digest of an entity and what its surrogate is made of, by kind; some refer to columns that ``_draw`` adds."""
     digest = _digest(key, kind, value, attempt.cast("string"))
     drawn = _drawn(value, digest)
+    bank = F.concat(F.substring(value, 1, 2), F.lit("00"), F.expr("substring(_drawn, 5)"))
+    iban = F.when(_mod97(value) == 1, F.concat(F.substring(value, 1, 2), F.lpad((98 - _mod97(bank)).cast("string"), 2, "0"), F.expr("substring(_drawn, 5)"))).otherwise(
+        F.concat(F.substring(value, 1, 2), F.expr("substring(_drawn, 3)")))
     head_kept = F.concat(F.substring(value, 1, 1), F.expr("substring(_drawn, 2)"))
     body = F.expr("substring(_drawn, 2, length(_drawn) - 2)")
     card = F.concat(F.substring(value, 1, 1), body)
@@ -165,10 +204,12 @@ def _parts(key: str, kind: Column, value: Column, attempt: Column) -> dict[str,
             listed = F.when((gender == g) & (attempt == 0), pick).otherwise(listed)
         return F.coalesce(listed, F.concat(F.array_join(parts, ""), end))
 
-    names = F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin"))
+    # a name in a script without syllables here is drawn letter by letter and grows like the others
+    grown = F.concat(drawn, F.substring(F.expr("repeat(_drawn, 8)"), F.lit(1), F.floor(attempt / 3).cast("int")))
+    names = (F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic")).when(value.rlike(r"[\u0370-\u03ff\u0530-\uffef]"), grown).otherwise(name("latin")))
     email = F.concat(_drawn(F.substring_index(value, "@", 1), digest), F.lit("@"), F.col("_host"), F.lit("."), F.col("_top"))
     return {"_digest": digest, "_drawn": drawn, "_domain": domain, "_top": top, "_hostpart": host, "first": head_kept,
-            "card": F.concat(card, check), "email": email, "ip": ip, "name": names}
+            "card": F.concat(card, check), "email": email, "ip": ip, "name": names, "iban": iban}
 
 
 def _draw(entities: DataFrame, key: str) -> DataFrame:
@@ -176,14 +217,14 @@ def _draw(entities: DataFrame, key: str) -> DataFrame:
     kind, value, attempt = F.col("kind"), F.col("value"), F.col("attempt")
     x = _parts(key, kind, value, attempt)
     step = entities.withColumn("_drawn", F.when(kind.isin("hex", "ipv6"), _drawn(value, x["_digest"], True)).when(
-        kind.startswith("given") | kind.isin("surname", "email", "ip"), F.lit("")).otherwise(_drawn(value, x["_digest"])))
+        kind.isin("email", "ip") | ((kind.startswith("given") | (kind == "surname")) & ~value.rlike(r"[\u0370-\u03ff\u0530-\uffef]")), F.lit("")).otherwise(_drawn(value, x["_digest"])))
     step = step.withColumn("_domain", x["_domain"]).withColumn("_top", x["_top"]).withColumn("_hostpart", x["_hostpart"])
     step = step.withColumn("_host", _drawn(F.col("_hostpart"), _digest(key, F.lit("domain"), F.col("_domain"))))
     surrogate = (F.when(kind == "email", x["email"]).when(kind == "ip", x["ip"]).when(kind == "card", x["card"]).when(kind == "phone", x["first"])
                  .when(kind == "key", F.concat(F.substring(value, 1, 4), F.expr("substring(_drawn, 5)")))
                  .when(kind == "token", F.concat(F.regexp_extract(value, "^(ghp_|gho_|xoxb-|xoxp-|sk-)", 1),
                                                  F.expr("substring(_drawn, length(regexp_extract(value, '^(ghp_|gho_|xoxb-|xoxp-|sk-)', 1)) + 1)")))
-                 .when(kind == "iban", F.concat(F.substring(value, 1, 2), F.expr("substring(_drawn, 3)")))
+                 .when(kind == "iban", x["iban"])
                  .when(kind.isin("hex", "ssn", "ipv6"), F.col("_drawn")).otherwise(x["name"]))
     return step.select("kind", "value", "attempt", surrogate.alias("surrogate"))
 
@@ -298,23 +339,22 @@ def surrogates(entities: DataFrame, key: str, rounds: int = 6) -> DataFrame:
 
 def _render(e: Column, kind: Column, surrogate: Column) -> Column:
     """The surrogate in the punctuation and case of the entity."""
+    # numbers and accounts have few characters, so that a place may be counted out anew for each
     index = F.transform(F.split(e, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-
     # a surrogate of a wider format has more characters than the entity; they follow at the end
     plain = F.length(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""))
 
     def put(x: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(e, F.lit(1), x["i"] + 1), r"[^\p{L}\p{N}]", ""))
-        new = F.when(kind.isin("email", "ipv6"), F.substring(surrogate, x["i"] + 1, F.lit(1))).otherwise(
-            F.substring(surrogate, before, F.lit(1)))
-        new = F.when(x["c"].rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)
-        return F.when(x["c"].rlike(r"^[\p{L}\p{N}]$"), new).otherwise(x["c"])
+        new = F.substring(surrogate, before, F.lit(1))
+        return F.when(x["c"].rlike(r"^[\p{L}\p{N}]$"), F.when(x["c"].rlike(r"^\p{Lu}$"), F.upper(new)).otherwise(new)).otherwise(x["c"])
 
-    name = F.when((F.length(e) > 1) & (e == F.upper(e)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
+    # addresses have any length: place by place, both cut up once
+    cased = F.array_join(F.zip_with(F.split(e, ""), F.split(surrogate, ""), lambda c, n: F.when(c.rlike(r"^\p{Lu}$"), F.upper(n)).otherwise(n)), "")
+    name = F.when((F.length(e) > 1) & (e == F.upper(e)) & (e != F.lower(e)), F.upper(surrogate)).otherwise(F.initcap(surrogate))
     return (F.when(kind.startswith("given") | (kind == "surname"), name).when(kind.isin("ip", "key", "token", "hex"), surrogate)
-            .when(kind.isin("email", "ipv6") & (F.length(surrogate) != F.length(e)), F.when(e == F.upper(e), F.upper(surrogate)).otherwise(surrogate))
-            .otherwise(F.concat(F.array_join(F.transform(index, put), ""),
-                                F.when(kind.isin("email", "ipv6"), "").otherwise(F.substring(surrogate, plain + 1, F.length(surrogate))))))
+            .when(kind.isin("email", "ipv6"), F.when(F.length(surrogate) != F.length(e), F.when(e == F.upper(e), F.upper(surrogate)).otherwise(surrogate)).otherwise(cased))
+            .otherwise(F.concat(F.array_join(F.transform(index, put), ""), F.substring(surrogate, plain + 1, F.length(surrogate)))))
 
 
 def replace(documents: DataFrame, key: str, text: str = "text", count: str | None = None) -> DataFrame:
@@ -324,21 +364,25 @@ def replace(documents: DataFrame, key: str, text: str = "text", count: str | Non
         documents = documents.drop(count)
     own = [F.col(f"`{c}`") for c in documents.columns]
     body = F.col(f"`{text}`")
-    has = F.coalesce(body.rlike(MAYBE), F.lit(False)) & F.coalesce(body.rlike(EVERY), F.lit(False))
+    k, cut, new = unused(documents.columns, "key", "cut", "new")
+    maybe = F.coalesce(body.rlike(MAYBE), F.lit(False))
     digest = F.sha2(body.cast("binary"), 256)
-    each = (documents.where(F.coalesce(body.rlike(MAYBE), F.lit(False))).select(digest.alias("_key"), _entities(body).alias("_found"))
-            .where(F.size("_found") > 0).groupBy("_key").agg(F.first("_found").alias("_found")))
-    found = each.select("_key", F.posexplode("_found").alias("_at", "x")).select("_key", "_at", "x.*")
+    taken = documents.where(maybe).select(digest.alias("k"), _pieces(body).alias("p")).where(F.size("p") > 1)
+    each = taken.select("k", _entities(F.col("p")).alias("found")).groupBy("k").agg(F.first("found").alias("found"))
+    found = each.select("k", F.posexplode("found").alias("at", "x")).select("k", "at", "x.*")
     found = found.withColumn("kind", _kind(F.col("e"), F.col("before"), F.col("joined")))
-    found = materialize(found.select("_key", "_at", "e", "kind", _canonical(F.col("kind"), F.col("e")).alias("value")), "occurrences")
+    found = materialize(found.select("k", "at", "e", "kind", _canonical(F.col("kind"), F.col("e")).alias("value")), "occurrences")
     mapping = surrogates(found.select("kind", "value").distinct(), key)
-    new = found.join(mapping, ["kind", "value"]).select("_key", "_at", _render(F.col("e"), F.col("kind"), F.col("surrogate")).alias("s"))
-    by_text = materialize(new.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_at", "s"))).alias("_new")), "by_text")
-    rest = F.split(body, EVERY, -1)
-    woven = F.array_join(F.zip_with(rest, F.col("_new.s"), lambda r, s: F.concat(r, F.coalesce(s, F.lit("")))), "")
-    changed = documents.where(has).withColumn("_key", digest).join(by_text, "_key")
-    number = [] if count is None else [F.size("_new").cast("long").alias(count)]
+    drawn = found.join(mapping, ["kind", "value"]).select("k", "at", _render(F.col("e"), F.col("kind"), F.col("surrogate")).alias("s"))
+    by_text = materialize(drawn.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("n")), "by_text").toDF(k, new)
+    # the texts without entities stay where they are
+    parts = F.when(maybe, _pieces(body))
+    changed = documents.withColumn(cut, parts).where(F.size(cut) > 1).withColumn(k, digest).join(by_text, k)
+    kept = F.filter(F.col(cut), lambda x, i: i % 2 == 0)
+    woven = F.array_join(F.zip_with(kept, F.col(f"{new}.s"), lambda r, s: F.concat(r, F.coalesce(s, F.lit("")))), "")
+    number = [] if count is None else [F.size(new).cast("long").alias(count)]
     none = [] if count is None else [F.lit(0).cast("long").alias(count)]
     changed = changed.select(*[woven.alias(c) if c == text else F.col(f"`{c}`") for c in documents.columns], *number)
+    has = maybe & F.coalesce(body.rlike(EVERY), F.lit(False))
     out = documents.where(~has).select(*own, *none).unionByName(changed)
     return out if count is not None else out.select(*[F.col(f"`{c}`") for c in columns])

@@ -94,7 +94,7 @@ def test_collisions(spark):
 def test_odd_rows(spark):
     same = "mail a.b@ex.com " * 3
     rows = [(1, same, "x")] * 50 + [(1, "other 10.1.2.3", None), (None, same, "y"), (3, None, "z"), (4, "w " * 300_000 + "10.1.2.3", "z")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    df = spark.createDataFrame([(*r, "n", "c", "k") for r in rows], "doc_id long, text string, key string, new string, cut string, KEY_ string")
     out = pii.replace(df, "k")
     assert out.columns == df.columns
     got = out.collect()
@@ -135,3 +135,35 @@ def test_longer_surrogates_are_written_whole(spark):
     df = spark.createDataFrame([("+1 (383) 55", "phone", "138355512"), ("AB@X.DE", "email", "qrs@y.de"), ("ab@x.de", "email", "qr@y.de")], "e string, k string, s string")
     assert [r[0] for r in df.select(pii._render(F.col("e"), F.col("k"), F.col("s"))).collect()] == [
         "+1 (383) 55512", "QRS@Y.DE", "qr@y.de"]
+
+
+def test_long_runs(spark):
+    """A megabyte of one thing over and over: nothing may need a deep stack or time that grows with the square."""
+    n = 1 << 20
+    runs = [("a." * n)[:n], ("1-" * n)[:n], ("Mr " * n)[:n // 16], (":" * n)[:n], ("a:" * n)[:n], ("a@" * n)[:n], ("1." * n)[:n], ("A" * n), ("Mr A'" * n)[:n // 16], "deadbeef" * (n // 8)]
+    out = replaced(spark, runs)
+    assert [out[i] for i in (0, 1, 3, 5, 7)] == [runs[i] for i in (0, 1, 3, 5, 7)]
+    long = "x@" + "a." * (n // 64) + "com"
+    (new,) = replaced(spark, [f"to {long} now"])
+    assert len(new) == len(long) + 7 and "a.a.a.a" not in new and new.startswith("to ") and new.endswith(".com now")
+
+
+def test_marks_in_a_text(spark):
+    out = replaced(spark, ["\ufdd0 to a.b@ex.com \ufdd1 or 10.1.2.3", "to a.b@ex.com or 10.1.2.3"])
+    assert regex.sub("[\ufdd0\ufdd1] ", "", out[0]) == out[1] and "a.b@ex" not in out[0]
+
+
+def test_scripts(spark):
+    many = ["Γιώργος@παράδειγμα.com", "петр@пример.рф", "דוד@example.com", "محمد@example.com", "田中@example.com", "Mr Γιώργος"]
+    for old, new in zip(many, replaced(spark, many)):
+        assert old != new and len(old) <= len(new)
+        for a, b in zip(old.split("@")[0].removeprefix("Mr "), new.split("@")[0].removeprefix("Mr ")):
+            script = next(s for s in ("Greek", "Cyrillic", "Hebrew", "Arabic", "Han", "Latin") if regex.match(rf"\p{{{s}}}", a))
+            assert regex.match(rf"\p{{{script}}}", b) and a.isupper() == b.isupper()
+
+
+def test_account_check_digits(spark):
+    for text in ("DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"):
+        (new,) = replaced(spark, [text])
+        number = new.replace(" ", "")
+        assert new != text and new[:2] == text[:2] and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
