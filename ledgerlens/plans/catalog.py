@@ -1470,3 +1470,25 @@ def _(spark, sf):
     as_of = s.transactions.agg(F.max("ts_epoch").alias("_as_of"))
     rows = scored(spark, sf).drop("is_fraud").crossJoin(F.broadcast(as_of))
     return matured_kpi(rows, s.transactions, alert(), F.col("_as_of"), DELAY * DAY, F.col("day"))
+
+
+@query("st5_label_stream", oracle.scored(f"""SELECT day, count(*) AS n, count(CASE WHEN score_rules >= 0.35 THEN 1 END) AS alerts, CAST(sum(is_fraud) AS BIGINT) AS fraud,
+ count(CASE WHEN score_rules >= 0.35 AND is_fraud = 1 THEN 1 END) AS caught, CAST(0 AS BIGINT) AS expired
+ FROM sc WHERE ts_epoch + 172800 <= (SELECT max(ts_epoch) FROM txn) GROUP BY day"""))
+def _(spark, sf):
+    """Scores and labels as two streams in two runs: labels arrive days after their rows, many of them in the second run."""
+    from ledgerlens.streaming.kpi import label_kpi, start_label_kpi
+
+    root = _fresh(spark, "st5-labels")
+    s = star(spark, sf)
+    rows = scored(spark, sf).select("txn_id", "ts_epoch", "day", "score_rules")
+    known = s.transactions.select("txn_id", "is_fraud", (F.col("ts_epoch") + DELAY * DAY).alias("label_epoch"))
+    low, high = rows.agg(F.min("ts_epoch"), F.max("ts_epoch")).first()
+    as_of = s.transactions.agg(F.max("ts_epoch")).first()[0]
+    middle = (low + high) // 2
+    for early in (True, False):
+        for table, at, name in ((rows, "ts_epoch", "scores"), (known.where(F.col("label_epoch") <= as_of), "label_epoch", "labels")):
+            table.where((F.col(at) < middle) == F.lit(early)).write.mode("append").parquet(f"{root}/{name}")
+        arriving = [spark.readStream.schema(t.schema).parquet(f"{root}/{n}") for t, n in ((rows, "scores"), (known, "labels"))]
+        start_label_kpi(*arriving, alert(), F.col("day"), DELAY * DAY, f"{root}/counts", f"{root}/check", available_now=True).awaitTermination()
+    return label_kpi(spark, f"{root}/counts")

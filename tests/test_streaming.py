@@ -176,3 +176,34 @@ def test_state_reads_only_the_buckets_of_the_batch(spark, star, root):
     plan = state.past(one, 0).older.customers._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "(bucket#" in plan.split("PartitionFilters")[1][:80]
     assert state.past(one, 0).by_customer.select("customer_id").distinct().count() <= 1
+
+
+def test_labels_that_arrive_later(spark, star, root):
+    """Two streams in four runs: matched rows equal the batch join, rows whose label never comes are counted once when they expire, repeats change nothing."""
+    from ledgerlens.streaming import kpi
+
+    delay = 2 * DAY
+    day, alert = F.floor(F.col("ts_epoch") / DAY), F.col("amount") > 50
+    rows = star.transactions.select("txn_id", "ts_epoch", "amount")
+    low, high = rows.agg(F.min("ts_epoch"), F.max("ts_epoch")).first()
+    lost = F.col("txn_id") % 7 == 0
+    late = F.col("txn_id") % 7 == 1  # known after maturity
+    known = star.transactions.where(~lost).select("txn_id", "is_fraud", (F.col("ts_epoch") + F.when(late, delay + 5).otherwise(delay // 2)).alias("label_epoch"))
+    cuts = [low - 1, low + (high - low) // 3, low + 2 * (high - low) // 3, high + 10 * DAY]
+    end = spark.createDataFrame([(-1, high + 20 * DAY, 0.0)], rows.schema)  # moves the watermark on
+    last = spark.createDataFrame([(-2, 0, high + 20 * DAY)], known.schema)
+    for i in range(4):
+        if i < 3:
+            new = [t.where((F.col(c) > cuts[i]) & (F.col(c) <= cuts[i + 1])) for t, c in ((rows, "ts_epoch"), (known, "label_epoch"))]
+            again = [t.unionByName(t.orderBy("txn_id").limit(50)) for t in new]
+        else:
+            again = [end, last]
+        for t, name in zip(again, ("scores", "labels")):
+            t.coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+        streams = [spark.readStream.schema(t.schema).parquet(f"{root}/{n}") for t, n in ((rows, "scores"), (known, "labels"))]
+        kpi.start_label_kpi(*streams, alert, day, delay, f"{root}/counts", f"{root}/check", available_now=True).awaitTermination()
+    got = {r["day"]: tuple(r)[1:] for r in kpi.label_kpi(spark, f"{root}/counts").collect()}
+    a, y = F.when(alert, 1).otherwise(0), F.when(~(lost | late), F.col("is_fraud"))
+    want = star.transactions.groupBy(day.alias("day")).agg(F.count(y), F.coalesce(F.sum(F.when(y.isNotNull(), a)), F.lit(0)), F.coalesce(F.sum(y), F.lit(0)),
+                                                           F.coalesce(F.sum(a * y), F.lit(0)), F.count_if(y.isNull()))
+    assert got == {r["day"]: tuple(r)[1:] for r in want.collect()} and sum(v[4] for v in got.values()) > 0
