@@ -34,7 +34,7 @@ def bin_edges(reference: DataFrame, features: Sequence[str], bins: int = 10) ->
     return q.groupBy("feature").agg(F.sort_array(F.collect_set("q")).alias("edges"))  # at most bins - 1 values
 
 
-def _binned(df: DataFrame, features: Sequence[str], edges: DataFrame, by: Sequence[str]) -> DataFrame:
+def bin_counts(df: DataFrame, features: Sequence[str], edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts per (by, feature, bin); bin -1 holds missing values. Partial counts are tiny before the shuffle."""
     joined = _long(df, features, by).join(F.broadcast(edges), "feature", "left")  # one small array per feature
     joined = joined.withColumn("edges", F.coalesce("edges", F.array().cast("array<double>")))
@@ -52,8 +52,12 @@ def psi_table(reference: DataFrame, current: DataFrame, features: Sequence[str],
               bins: int = 10) -> DataFrame:
     """PSI per (by, feature); missing when the reference or the current side has no value at all."""
     edges = materialize(bin_edges(reference, features, bins), "edges")  # one row per feature, used by every step below
-    ref = _profile(_binned(reference, features, edges, []), ["feature"], "ref")
-    cur = _profile(_binned(current, features, edges, by), [*by, "feature"], "cur")
+    return psi_of_counts(edges, bin_counts(reference, features, edges), bin_counts(current, features, edges, by), by)
+
+
+def psi_of_counts(edges: DataFrame, reference: DataFrame, current: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """PSI per (by, feature) from counts per bin, however they came about."""
+    ref, cur = _profile(reference, ["feature"], "ref"), _profile(current, [*by, "feature"], "cur")
     both = cur.join(ref, "feature").join(edges, "feature", "left")
 
     def count(side, b):
@@ -99,6 +103,14 @@ def windowed_drift(scored: DataFrame, reference: DataFrame, features: Sequence[s
     features = drift_features(features)
     d = with_windows(scored, window_days)
     psi = psi_table(reference, d, [*features, score], ["window"])
+    base = d.groupBy("window").agg(F.min("_d0").alias("_d0"), F.count("*").alias("n_txn"),
+                                   F.avg(F.when(F.col(score) >= threshold, 1.0).otherwise(0.0)).alias("alert_rate"),
+                                   F.avg(score).alias("mean_score"))
+    return drift_report(psi, base, score, window_days)
+
+
+def drift_report(psi: DataFrame, base: DataFrame, score: str, window_days: int) -> DataFrame:
+    """The report from PSI per (window, feature) and ``base``: ``_d0``, ``n_txn``, ``alert_rate`` and ``mean_score`` per window."""
     score_psi = psi.where(F.col("feature") == score).select("window", F.col("psi").alias("score_psi"))
     ranked = psi.where(F.col("feature") != score).withColumn("rank", F.row_number().over(
         Window.partitionBy("window").orderBy(F.desc_nulls_last("psi"), "feature")))  # one row per feature
@@ -108,9 +120,6 @@ def windowed_drift(scored: DataFrame, reference: DataFrame, features: Sequence[s
         F.sum(F.when(F.col("psi") >= PSI_WARN, 1).otherwise(0)).alias("n_features_warn"),
         F.sum(F.when(F.col("psi") >= PSI_ALERT, 1).otherwise(0)).alias("n_features_alert"),
         F.sort_array(F.collect_list(F.when(F.col("rank") <= 3, F.struct("rank", name.alias("name"))))).alias("_top"))
-    base = d.groupBy("window").agg(F.min("_d0").alias("_d0"), F.count("*").alias("n_txn"),
-                                   F.avg(F.when(F.col(score) >= threshold, 1.0).otherwise(0.0)).alias("alert_rate"),
-                                   F.avg(score).alias("mean_score"))
     start = F.col("_d0") + F.col("window") * window_days
     return (base.join(per, "window").join(score_psi, "window")
             .select("window", start.alias("start_day"), (start + window_days - 1).alias("end_day"), "n_txn", "score_psi",

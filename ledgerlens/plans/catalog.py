@@ -1040,6 +1040,30 @@ def _(spark, sf):
     return rounded(drift.feature_drift(_reference(spark, sf), latest, drift.drift_features(FEATURES)), ["psi"], 6)
 
 
+def _cube(spark, sf):
+    """A cube that was filled in two steps, the first day of the second step counted twice."""
+    from ledgerlens.operators.cube import DriftCube
+
+    cube = DriftCube(spark, _fresh(spark, "cube"), FEATURES, "score_rules", REVIEW)
+    cube.start(_reference(spark, sf).withColumn("score_rules", rules.rule_score()))
+    rows = scored(spark, sf)
+    low, high = rows.agg(F.min("day"), F.max("day")).first()
+    middle = (low + high) // 2
+    cube.add(rows.where(F.col("day") <= middle))
+    cube.add(rows.where(F.col("day") >= middle))
+    return cube
+
+
+@query("mn4_drift_cube", ORACLES["mn4_windowed_drift"])
+def _(spark, sf):
+    return rounded(_cube(spark, sf).windowed_drift(SETTINGS.monitor_window_days), ["score_psi", "max_feature_psi", "alert_rate", "mean_score"], 6)
+
+
+@query("mn7_latest_from_cube", ORACLES["mn7_latest_feature_psi"])
+def _(spark, sf):
+    return rounded(_cube(spark, sf).latest_drift(SETTINGS.monitor_window_days), ["psi"], 6)
+
+
 @query("snk3_monitoring_csv", ORACLES["mn4_windowed_drift"])
 def _(spark, sf):
     """Writes the drift table of the monitoring run as CSV and reads it with its declared schema."""
