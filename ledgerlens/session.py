@@ -16,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def tune(spark: SparkSession) -> SparkSession:
     """Applies runtime settings that suit wide feature rows, unless the session sets them itself."""
     given = dict(spark.sparkContext.getConf().getAll())
@@ -54,6 +57,23 @@ def workspace(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/ledgerlens/{spark.sparkContext.applicationId}"
 
 
+@contextmanager
+def _short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of executions inside the block go when they end, not when the driver's JVM happens to collect garbage.
+
+    A session that sets this itself keeps its setting.
+    """
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    if SHUFFLE_CLEANUP in dict(spark.sparkContext.getConf().getAll()) or before == "true":
+        yield
+        return
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the workspace and read it back.
 
@@ -63,7 +83,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    with _short_lived_shuffles(spark):
+        df.write.parquet(path)
     if scopes := _scopes.get():
         scopes[-1].append(path)
     stored = spark.read.schema(schema).parquet(path)

@@ -160,3 +160,25 @@ def test_scratch_tables_are_deleted(spark):
         path = Path(inside.inputFiles()[0].removeprefix("file://").removeprefix("file:"))
         assert path.exists()
     assert not path.parent.exists() and before.count() == 3
+
+
+def test_shuffle_files_go_with_the_write(tmp_path):
+    """Storing a table leaves no shuffle files behind and the session's setting as it was."""
+    import subprocess
+    import sys
+
+    code = f"""
+import glob, os
+os.environ["SPARK_LOCAL_DIRS"] = {str(tmp_path)!r}
+from ledgerlens.session import SHUFFLE_CLEANUP, local_session, materialize
+s = local_session(2, shuffle_partitions=3, memory="1g")
+before = s.conf.get(SHUFFLE_CLEANUP)
+stored = materialize(s.range(100000).selectExpr("id % 1000 k").groupBy("k").count(), "t")
+files = lambda: glob.glob({str(tmp_path)!r} + "/**/shuffle_*", recursive=True)
+for _ in range(50):
+    if not files():
+        break
+    __import__("time").sleep(0.1)
+assert not files() and stored.count() == 1000 and s.conf.get(SHUFFLE_CLEANUP) == before
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
