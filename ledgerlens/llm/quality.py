@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney n-gram model of trusted text.
 
-Units are the UTF-8 bytes of a text, unfolded, with five bytes of context: scripts, capitals, digits and the way words follow each other at their
+Units are the UTF-8 bytes of a text, unfolded, with four bytes of context: scripts, capitals, digits and the way words follow each other at their
 seams all count. A text is preceded by zero bytes.
 
 Counting: the texts are read in blocks of bounded size; a task hands on every different n-gram of a block once, with its count. The counts of
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerlens.llm.common import add_columns, bounded_batches, pieces, unused, utf8
-from ledgerlens.session import materialize
+from ledgerlens.session import discard, materialize
 
-ORDER = 6
+ORDER = 5
 SYMBOLS = 256
 MODEL = 8 * ORDER  # the bits of a key from here on are the number of the model
 FOLDS = 2
@@ -201,14 +201,19 @@ def probabilities(wanted: DataFrame, tables: list[DataFrame]) -> DataFrame:
             joined = joined.join(p.toDF("tail", "q"), "tail")
         own = F.coalesce((F.col("n") - F.when(once, d[0]).when(twice, d[1]).otherwise(d[2])) / F.col("total"), F.lit(0.0))
         lower = F.coalesce((d[0] * F.col("n1") + d[1] * F.col("n2") + d[2] * F.col("n3")) / F.col("total"), F.lit(1.0))
-        p = materialize(joined.select("gram", (own + lower * F.col("q")).alias("p")), "p")
+        below, p = p, materialize(joined.select("gram", (own + lower * F.col("q")).alias("p")), "p")
+        discard(level, *([below] if below is not None else []))
     return p
 
 
 def costs(needs: DataFrame) -> DataFrame:
-    """``block``, ``gram``, ``cost``: the negative logarithm of the probability of every key that a block asks for."""
-    p = probabilities(needs.select("gram").distinct(), counts(needs))
-    return materialize(needs.select("block", "gram").join(p, "gram").select("block", "gram", (-F.log("p")).cast("float").alias("cost")), "costs")
+    """``block``, ``gram``, ``cost``: the negative logarithm of the probability of every key that a block asks for. ``needs`` is stored; it goes."""
+    tables = counts(needs)
+    p = probabilities(needs.select("gram").distinct(), tables)
+    discard(*tables)
+    found = materialize(needs.select("block", "gram").join(p, "gram").select("block", "gram", (-F.log("p")).cast("float").alias("cost")), "costs")
+    discard(needs, p)
+    return found
 
 
 def score(docs: DataFrame, found: DataFrame, text: str, model: str, part: str, out: str, trusted_only: bool = False) -> DataFrame:

@@ -102,6 +102,7 @@ def test_probabilities_add_up(spark):
                                   "text string, model int, part int").coalesce(1)
     needs = quality.asked(texts, "text", "model", "part")
     ends = [(0, b"the c"), (1, b"the c"), (2, b"\0\0\0\0\0"), (0, b"zzzzz"), (1, b"ncat ")]
+    ends = [(m, h[1 - quality.ORDER:]) for m, h in ends]
     wanted = spark.createDataFrame([((m << quality.MODEL) | int.from_bytes(h + bytes([b]), "big"),) for m, h in ends for b in range(256)], "gram long")
     p = quality.probabilities(wanted, quality.counts(needs)).groupBy(F.shiftright("gram", 8)).agg(F.sum("p").alias("p"), F.count("*").alias("n"))
     assert all(r["n"] == 256 and abs(r["p"] - 1) < 1e-9 for r in p.collect())
