@@ -66,3 +66,26 @@ def test_same_seed_same_model_and_immature_labels_are_unused(trained, data):
     assert (again.model.review, again.model.block, again.model.name) == (trained.model.review, trained.model.block, trained.model.name)
     both = trained.scored.select("txn_id", "p_model").join(again.scored.select("txn_id", F.col("p_model").alias("q")), "txn_id")
     assert both.where("p_model <> q").count() == 0 and both.count() == trained.scored.count()
+
+
+def test_models_of_all_origins_are_fitted_side_by_side(data, monkeypatch):
+    from threading import Barrier
+
+    all_there = Barrier(4)
+
+    def fit(name, rows, features, t, n_rows, fraud_rate):
+        all_there.wait(60)
+        return name, n_rows
+
+    monkeypatch.setattr(training, "fit_candidate", fit)
+    part = training.train_rows(data)
+    n = part.facts["train"]["n_rows"]
+    assert part.rows.rdd.getNumPartitions() == 1  # a small table is one task
+    own = {"logistic_regression": ("logistic_regression", n), "boosted_trees": ("boosted_trees", n)}
+    assert training.fit_candidates([part, part], ["amount"], LIGHT.training) == [own, own]
+
+
+def test_training_rows_keep_every_core_busy(data, monkeypatch):
+    monkeypatch.setattr(training, "ROWS_WORTH_A_TASK", 50)
+    found = data.repartition(16)
+    assert training.train_rows(found).rows.rdd.getNumPartitions() == min(8, training.train_rows(found).rows.count() // 50)
