@@ -182,3 +182,11 @@ for _ in range(50):
 assert not files() and stored.count() == 1000 and s.conf.get(SHUFFLE_CLEANUP) == before
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
+def test_scored_sink_query(spark, trained, monkeypatch):
+    from ledgerlens.plans import catalog
+
+    monkeypatch.setattr(catalog, "_tables", {(spark.sparkContext.applicationId, "own", "trained"): trained})
+    rows = catalog.QUERIES["snk4_scored_parquet"](spark, "own").collect()
+    assert len(rows) == trained.scored.count() and {r.split for r in rows} == {"valid", "test"} and all(r.complete for r in rows)
