@@ -26,6 +26,12 @@ def safe_div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
+def ieee_div(a: Column, b: Column) -> Column:
+    """``a / b`` of doubles by IEEE 754: a zero denominator gives an infinity, or NaN for zero by zero, instead of an error."""
+    zero = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a == 0, float("nan"))
+    return F.when(b != 0, a / b).when(b == 0, zero)
+
+
 def signed_log(x: Column) -> Column:
     return F.signum(x) * F.log1p(F.abs(x))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DAY, AnalyticsParams, Skew
-from ledgerlens.functions.columns import flag
+from ledgerlens.functions.columns import flag, ieee_div
 from ledgerlens.operators.features import customer_series
 from ledgerlens.operators.ordering import global_row_number
 from ledgerlens.operators.skew import before, running
@@ -115,7 +115,7 @@ def _recent_behaviour(s: Star, p: AnalyticsParams, skew: Skew) -> DataFrame:
 
 def unusual_behaviour(s: Star, p: AnalyticsParams = AnalyticsParams(), skew: Skew = Skew()) -> DataFrame:
     w = _recent_behaviour(s, p, skew)
-    ratio = F.col("amount") / F.col("prior_mean")
+    ratio = ieee_div(F.col("amount"), F.col("prior_mean"))  # the first amounts of a customer may all be zero
     kind = (F.when(F.col("_spike") & F.col("_burst"), "spike+burst").when(F.col("_spike"), "amount_spike")
             .otherwise("velocity_burst"))
     return (w.where((F.col("_spike") & (F.col("prior_n") >= p.spike_min_history)) | F.col("_burst"))

@@ -190,3 +190,16 @@ def test_scored_sink_query(spark, trained, monkeypatch):
     monkeypatch.setattr(catalog, "_tables", {(spark.sparkContext.applicationId, "own", "trained"): trained})
     rows = catalog.QUERIES["snk4_scored_parquet"](spark, "own").collect()
     assert len(rows) == trained.scored.count() and {r.split for r in rows} == {"valid", "test"} and all(r.complete for r in rows)
+
+
+def test_unusual_behaviour_after_zero_amounts(spark):
+    """A mean of zero gives an infinite ratio, or none that is a number, and comes first as in the statement."""
+    from ledgerlens.sources.views import Star
+
+    rows = [(1, 1, 100, 0.0), (2, 1, 200, 5.0), (3, 2, 100, 0.0), (4, 2, 200, 0.0), (5, 3, 100, 2.0), (6, 3, 200, 3.0)]
+    t = spark.createDataFrame([(i, c, s, a, "online", 0) for i, c, s, a in rows],
+                              "txn_id long, customer_id long, ts_epoch long, amount double, channel string, is_fraud int")
+    t = t.withColumn("ts", F.timestamp_seconds("ts_epoch"))
+    found = analytics.unusual_behaviour(Star(t, None, None, None, None), AnalyticsParams(burst_count=1)).collect()
+    assert [(r.txn_id, r.flag) for r in found] == [(4, "velocity_burst"), (2, "spike+burst"), (6, "velocity_burst")]
+    assert np.isnan(found[0].amount_vs_mean) and found[1].amount_vs_mean == np.inf and found[2].amount_vs_mean == 1.5
