@@ -28,6 +28,7 @@ MERCHANT_PRIOR_WEIGHT = 200.0
 VELOCITY = {"10m": 600, "1h": 3600, "6h": 21_600, "24h": DAY, "7d": 7 * DAY}
 FACT_COLUMNS = ["txn_id", "customer_id", "account_id", "merchant_id", "location_id", "ts_epoch", "amount", "channel",
                 "device_id", "hour_local", "dow_local", "is_fraud"]
+ROWS_PER_PARTITION = 50_000  # a customer task sorts its wide rows about ten times over
 PAIR_DIMS = ["country", "merchant_id", "category", "channel", "hour_band", "device_key"]
 
 
@@ -59,6 +60,15 @@ def _at_each_slab(totals: DataFrame, rows: DataFrame, key: str, hot: HotKeys | N
     return totals.join(rows.select(key, "_slab_s", "_slab").distinct(), key)
 
 
+def partitions_for(df: DataFrame, rows: int) -> int:
+    """Partitions for windows over ``rows`` rows: what one task holds stays the same however many rows there are."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PARTITION))
+
+
+def _dealt(rows: DataFrame, parts: int | None, keys: list[str]) -> DataFrame:
+    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+
+
 def find_hot_spots(transactions: DataFrame, skew: Skew = Skew()) -> HotSpots:
     return HotSpots(find_hot_keys(transactions, "customer_id", skew.rows_per_task),
                     find_hot_keys(transactions, "merchant_id", skew.rows_per_task))
@@ -76,15 +86,16 @@ def build_features(star: Star, label_delay_days: int, skew: Skew = Skew(), hot:
     hot = hot or find_hot_spots(star.transactions, skew)
     extra = [c for c in keep if c in star.transactions.columns and c not in FACT_COLUMNS]
     rows = star.transactions.select(*FACT_COLUMNS, *extra)
-    rows = merchant_history(rows, label_delay_days, hot.merchants)
-    rows = customer_history(enrich_event(rows, star), star, hot.customers)
+    parts = partitions_for(rows, star.transactions.count())
+    rows = merchant_history(rows, label_delay_days, hot.merchants, parts=parts)
+    rows = customer_history(enrich_event(rows, star), star, hot.customers, parts=parts)
     kept = [c for c in keep if c not in FEATURES]
     return rows.select("txn_id", *kept, *FEATURES)
 
 
 # ------------------------------------------------------------------------------------------ merchant side
-def merchant_history(rows: DataFrame, label_delay_days: int, hot: HotKeys | None, older: Older | None = None) -> DataFrame:
-    """Prior count and mean, short-term counts and the fraud rate over labels already mature at the row's time."""
+def merchant_history(rows: DataFrame, label_delay_days: int, hot: HotKeys | None, older: Older | None = None, parts: int | None = None) -> DataFrame:
+    """Prior count and mean, short-term counts and the fraud rate over labels already mature at the row's time. The windows run in ``parts`` partitions."""
     delay = label_delay_days * DAY
     rows = attach_slab(rows, hot).withColumns({
         "_n": F.lit(1).cast("bigint"),
@@ -96,7 +107,7 @@ def merchant_history(rows: DataFrame, label_delay_days: int, hot: HotKeys | None
         series = series.unionByName(_at_each_slab(totals, rows, "merchant_id", hot), allowMissingColumns=True)
     keys = partition_keys("merchant_id", hot)
     mature = before(keys, delay)
-    series = series.withColumns({
+    series = _dealt(series, parts, keys).withColumns({
         **{f"_n_{lag}": running(F.col("_n"), before(keys, lag)) for lag in (1, 3601, DAY + 1)},
         "_amt_1": running(F.col("amount"), before(keys)),
         "_mature_fraud": running(F.col("_fraud"), mature), "_mature_n": running(F.col("_labelled"), mature)})
@@ -172,7 +183,8 @@ def with_pair_values(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"hour_band": F.floor(F.col("hour_local") / 4), "device_key": F.coalesce(F.col("device_id"), F.lit(""))})
 
 
-def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None, older: Older | None = None) -> DataFrame:
+def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None, older: Older | None = None, parts: int | None = None) -> DataFrame:
+    """All features of enriched rows with the columns of ``merchant_history``. The windows run in ``parts`` partitions."""
     rows = attach_slab(with_pair_values(rows), hot)
     keys = partition_keys("customer_id", hot)
     slabs = rows
@@ -182,7 +194,7 @@ def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None, older: Ol
             pairs = older.pairs.where(F.col("dim") == d).select("customer_id", F.col("value").cast(slabs.schema[d].dataType).alias(d), F.col("n").alias(f"_w_{d}"),
                                                                 F.col("last").alias("ts_epoch"), F.lit(False).alias("_own"))
             rows = rows.unionByName(_at_each_slab(pairs, slabs, "customer_id", hot), allowMissingColumns=True)
-    rows = rows.repartition(*keys)
+    rows = _dealt(rows, parts, keys)
     rows = row_features(enrich_customer(rows, star))
     # Last time the same customer used the same merchant; same-second repeats are recognised by the id order.
     visits = Window.partitionBy(*keys, "merchant_id").orderBy("ts_epoch", "txn_id")
@@ -194,7 +206,7 @@ def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None, older: Ol
     totals = None
     if older is not None:
         totals = _at_each_slab(older.customers, slabs, "customer_id", hot).withColumns({"ts_epoch": F.lit(older.cut - 1).cast("bigint"), "_own": F.lit(False)})
-    return _customer_windows(_with_expiry_rows(rows, hot), hot, totals)
+    return _customer_windows(_with_expiry_rows(rows, hot), hot, totals, parts)
 
 
 def _with_expiry_rows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
@@ -221,7 +233,7 @@ def _with_expiry_rows(rows: DataFrame, hot: HotKeys | None) -> DataFrame:
     return rows if hot is None else rows.withColumn("_slab", slab_of(F.col("ts_epoch")))
 
 
-def _customer_windows(rows: DataFrame, hot: HotKeys | None, totals: DataFrame | None = None) -> DataFrame:
+def _customer_windows(rows: DataFrame, hot: HotKeys | None, totals: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     real = F.col("_n") == 1
     amount, log_amount = F.col("amount"), F.col("log_amount")
 
@@ -241,6 +253,8 @@ def _customer_windows(rows: DataFrame, hot: HotKeys | None, totals: DataFrame |
     if totals is not None:
         series = series.unionByName(totals, allowMissingColumns=True)
     keys = partition_keys("customer_id", hot)
+    if parts and (hot is not None or totals is not None):  # a union has lost the partitions
+        series = series.repartition(parts, *keys)
     past = before(keys)
     # Growing sums, once per (weight, lag); lag 1 = strictly earlier, lag w + 1 = more than w seconds earlier.
     lags = {"_n": [1, *[w + 1 for w in VELOCITY.values()]], "_amt": [1, 3601, DAY + 1, 7 * DAY + 1],

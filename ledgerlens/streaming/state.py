@@ -93,7 +93,8 @@ class State:
 
     def _write(self, table: DataFrame, folder: str, key: str) -> None:
         rows = table.withColumn("bucket", bucket(key, self.buckets))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
+        # a bucket that outgrows a task is split; a task holds no more than that however long the history is
+        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{folder}")
 
     def _meta(self, folder: str, cut: int) -> None:
         self.spark.range(1).select(F.lit(cut).cast("bigint").alias("cut")).write.mode("overwrite").parquet(f"{self.path}/{folder}/meta")

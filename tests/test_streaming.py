@@ -207,3 +207,13 @@ def test_labels_that_arrive_later(spark, star, root):
     want = star.transactions.groupBy(day.alias("day")).agg(F.count(y), F.coalesce(F.sum(F.when(y.isNotNull(), a)), F.lit(0)), F.coalesce(F.sum(y), F.lit(0)),
                                                            F.coalesce(F.sum(a * y), F.lit(0)), F.count_if(y.isNull()))
     assert got == {r["day"]: tuple(r)[1:] for r in want.collect()} and sum(v[4] for v in got.values()) > 0
+
+
+def test_tasks_of_a_batch_grow_in_number_not_in_size(spark, star, monkeypatch):
+    from ledgerlens.operators import features
+
+    monkeypatch.setattr(features, "ROWS_PER_PARTITION", 40)
+    ids = star.transactions.where("txn_id % 40 = 0").select("txn_id")
+    got = scoring.replay(star, ids, THIRTY_DAYS, lambda f: f)
+    assert got.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    assert close(frame(got, FEATURES), frame(build_features(star, 2).join(ids, "txn_id"), FEATURES))
