@@ -118,3 +118,15 @@ def test_two_shuffles_by_entity(star):
     plan = build_features(star, 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(merchant_id") == 1 and plan.count("hashpartitioning(customer_id") == 1
     assert "CartesianProduct" not in plan
+
+
+def test_tasks_grow_in_number_not_in_size(spark, star, base, monkeypatch):
+    from ledgerlens.operators import features
+
+    monkeypatch.setattr(features, "ROWS_PER_PARTITION", 40)
+    wanted = -(-star.transactions.count() // 40)
+    built = build_features(star, 2)
+    assert built.rdd.getNumPartitions() == wanted > spark.sparkContext.defaultParallelism
+    assert same(base, to_frame(built)[FEATURES])
+    audit = leakage_audit(star, 2, last_cut(star.transactions))
+    assert audit.rdd.getNumPartitions() == wanted and audit.count() == 0
