@@ -25,46 +25,73 @@ OUTPUT = ("customer_id BIGINT, ts_epoch BIGINT, cnt_10m BIGINT, cnt_1h BIGINT, c
 STATE = "sec ARRAY<BIGINT>, n ARRAY<BIGINT>, amount ARRAY<DOUBLE>, small ARRAY<BIGINT>, online ARRAY<BIGINT>, shops ARRAY<STRING>"
 
 
-def _seconds(rows: pd.DataFrame) -> pd.DataFrame:
-    """One line per second: counts, amount and the merchants seen in it (joined by a unit separator)."""
-    g = rows.assign(n=1, small=(rows.amount < 5).astype(int), online=(rows.channel == "online").astype(int),
-                    shops=rows.merchant_id.astype(str)).groupby("ts_epoch", as_index=False)
-    out = g.agg(n=("n", "sum"), amount=("amount", "sum"), small=("small", "sum"), online=("online", "sum"),
-                shops=("shops", lambda s: "\x1f".join(sorted(set(s)))))
-    return out.rename(columns={"ts_epoch": "sec"})
-
-
-def _features(times: np.ndarray, past: pd.DataFrame) -> pd.DataFrame:
-    """Velocity of each time over the strictly earlier seconds of ``past`` (sorted by sec)."""
-    sec = past.sec.to_numpy()
+NUMBERS = {"n": np.int64, "amount": np.float64, "small": np.int64, "online": np.int64}
+COLUMNS = ["sec", *NUMBERS, "shops"]
+Seconds = dict[str, np.ndarray]  # one entry per second for each of COLUMNS, in order of time
+
+
+def _shops(merchants: pd.Series) -> np.ndarray:
+    """Merchant ids as text; a batch with missing ids holds the others as floats, which must not change them."""
+    known, place = np.unique(merchants.to_numpy(), return_inverse=True)
+    names = [str(int(m)) if isinstance(m, float) and m == m else str(m) for m in known.tolist()]
+    return np.array(names, object)[place]
+
+
+def _summed(sec: np.ndarray, numbers: Seconds, shops: np.ndarray) -> Seconds:
+    """One entry per second of entries in any order; the merchants of a second are joined by a unit separator."""
+    order = np.argsort(sec, kind="stable")
+    sec, shops = sec[order], shops[order]
+    first = np.flatnonzero(np.concatenate([[True], sec[1:] != sec[:-1]]))
+    out = {"sec": sec[first], **{c: np.add.reduceat(v[order], first) for c, v in numbers.items()}}
+    joined, ends = shops[first], np.append(first[1:], len(sec))
+    for i in np.flatnonzero(ends - first > 1):  # seconds with several entries
+        joined[i] = "\x1f".join(sorted({m for x in shops[first[i]:ends[i]] for m in x.split("\x1f")}))
+    return out | {"shops": joined}
+
+
+def _seconds(rows: pd.DataFrame) -> Seconds | None:
+    """Counts, amount and merchants of each second; rows without a time count nowhere."""
+    rows = rows[rows.ts_epoch.notna()]
+    if not len(rows):
+        return None
+    amount = rows.amount.to_numpy(float)
+    numbers = {"n": np.ones(len(rows), np.int64), "amount": np.nan_to_num(amount, nan=0.0), "small": (amount < 5).astype(np.int64),
+               "online": (rows.channel == "online").to_numpy(bool).astype(np.int64)}
+    return _summed(rows.ts_epoch.to_numpy(np.int64), numbers, _shops(rows.merchant_id))
+
+
+def _merged(a: Seconds, b: Seconds) -> Seconds:
+    both = {c: np.concatenate([a[c], b[c]]) for c in COLUMNS}
+    return _summed(both["sec"], {c: both[c] for c in NUMBERS}, both["shops"])
+
+
+def _features(times: np.ndarray, past: Seconds) -> dict[str, np.ndarray]:
+    """Velocity of each time over the strictly earlier seconds of ``past``."""
+    sec = past["sec"]
     at = np.searchsorted(sec, times, side="left")
 
     def total(column: str, span: int) -> np.ndarray:
-        sums = np.concatenate([[0], np.cumsum(past[column].to_numpy())])
+        sums = np.concatenate([[0], np.cumsum(past[column])])
         return sums[at] - sums[np.searchsorted(sec, times - span, side="left")]
 
-    out = pd.DataFrame({name: total("n", span) for name, span in SPANS.items()})
+    out = {name: total("n", span) for name, span in SPANS.items()}
     for name, span in {"sum_1h": 3600, "sum_24h": DAY, "sum_7d": KEEP}.items():
         out[name] = np.round(total("amount", span), 6)
     out["small_cnt_30m"] = total("small", 1800)
     out["online_cnt_1h"] = total("online", 3600)
     # Distinct merchants of the last day: a visit counts from its second, or from the expiry of the merchant's
     # previous visit if that is later, until a day after it.
-    visits = pd.DataFrame({"sec": sec, "shop": past.shops.str.split("\x1f")}).explode("shop").sort_values(["shop", "sec"])
-    enter = np.maximum(visits.sec, visits.groupby("shop").sec.shift().fillna(-np.inf) + DAY).to_numpy(dtype=float)
-    out["distinct_merchants_24h"] = (np.searchsorted(np.sort(enter), times, side="left")
-                                     - np.searchsorted(np.sort(visits.sec.to_numpy()), times - DAY, side="left"))
+    split = [x.split("\x1f") for x in past["shops"]]
+    _, shop = np.unique([m for x in split for m in x], return_inverse=True)
+    when = np.repeat(sec, [len(x) for x in split])
+    order = np.lexsort((when, shop))
+    again = np.concatenate([[False], shop[order][1:] == shop[order][:-1]])
+    visits = when[order]
+    enter = np.where(again, np.maximum(visits, np.concatenate([[0], visits[:-1]]) + DAY), visits)
+    out["distinct_merchants_24h"] = np.searchsorted(np.sort(enter), times, side="left") - np.searchsorted(np.sort(when), times - DAY, side="left")
     return out
 
 
-def _merged(parts: list[pd.DataFrame]) -> pd.DataFrame:
-    """Adds up several per-second tables, sorted by second."""
-    out = pd.concat(parts, ignore_index=True).groupby("sec", as_index=False).agg(
-        n=("n", "sum"), amount=("amount", "sum"), small=("small", "sum"), online=("online", "sum"),
-        shops=("shops", lambda s: "\x1f".join(sorted({m for x in s for m in x.split("\x1f")})))).sort_values("sec")
-    return out.astype({"sec": "int64", "n": "int64", "amount": "float64", "small": "int64", "online": "int64"})
-
-
 def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:  # seven quiet days: nothing left to count
         state.remove()
@@ -72,16 +99,18 @@ def _update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
     new = None
     for rows in batches:  # one Arrow batch at a time; only its seconds are kept
         seconds = _seconds(rows)
-        new = seconds if new is None else _merged([new, seconds])
-    columns = ["sec", "n", "amount", "small", "online", "shops"]
-    past = _merged([pd.DataFrame(dict(zip(columns, state.get))), new] if state.exists else [new])
-    times = np.sort(new.sec.to_numpy(dtype="int64"))
-    out = _features(times, past)
-    out.insert(0, "customer_id", key[0])
-    out.insert(1, "ts_epoch", times)
-    last, watermark = int(past.sec.max()), int(state.getCurrentWatermarkMs() // 1000)
-    kept = past[past.sec >= last - KEEP]
-    state.update(tuple(kept[c].tolist() for c in columns))
+        new = _merged(new, seconds) if new and seconds else new or seconds
+    if new is None:
+        return
+    past = new
+    if state.exists:
+        kinds = {"sec": np.int64, **NUMBERS, "shops": object}
+        past = _merged({c: np.array(x, kinds[c]) for c, x in zip(COLUMNS, state.get)}, new)
+    times = new["sec"]
+    out = pd.DataFrame({"customer_id": key[0], "ts_epoch": times, **_features(times, past)})
+    last, watermark = int(past["sec"][-1]), int(state.getCurrentWatermarkMs() // 1000)
+    kept = past["sec"] >= last - KEEP
+    state.update(tuple(past[c][kept].tolist() for c in COLUMNS))
     state.setTimeoutTimestamp(max(last + KEEP, watermark + 1) * 1000)
     yield out
 

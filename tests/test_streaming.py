@@ -217,3 +217,34 @@ def test_tasks_of_a_batch_grow_in_number_not_in_size(spark, star, monkeypatch):
     got = scoring.replay(star, ids, THIRTY_DAYS, lambda f: f)
     assert got.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
     assert close(frame(got, FEATURES), frame(build_features(star, 2).join(ids, "txn_id"), FEATURES))
+
+
+def test_velocity_against_single_rows():
+    """Batches of one customer, some of them with missing merchants, amounts and channels, against a count of single rows."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    parts = []
+    for i in range(3):
+        n = 60
+        rows = pd.DataFrame({"ts_epoch": np.sort(i * 50_000 + rng.integers(0, 50_000, n) // 20 * 20), "merchant_id": rng.integers(0, 9, n),
+                             "amount": np.round(rng.exponential(9, n), 2), "channel": rng.choice(["online", "atm"], n)})
+        if i == 1:  # the ids arrive as floats
+            rows.loc[::7, ["merchant_id", "amount", "channel"]] = None
+        parts.append(rows)
+    past = velocity._seconds(parts[0])
+    for rows in parts[1:]:
+        past = velocity._merged(past, velocity._seconds(rows))
+    every = pd.concat(parts)
+    times = past["sec"]
+    assert times.tolist() == sorted(set(every.ts_epoch)) and velocity._seconds(every[every.ts_epoch < 0]) is None
+    got = velocity._features(times, past)
+    for i, t in enumerate(times):
+        def last(span):
+            return every[(every.ts_epoch < t) & (every.ts_epoch >= t - span)]
+
+        assert [got[c][i] for c in velocity.SPANS] == [len(last(s)) for s in velocity.SPANS.values()]
+        assert got["sum_24h"][i] == pytest.approx(last(DAY).amount.sum(), abs=1e-6)
+        assert got["small_cnt_30m"][i] == (last(1800).amount < 5).sum() and got["online_cnt_1h"][i] == (last(3600).channel == "online").sum()
+        assert got["distinct_merchants_24h"][i] == last(DAY).merchant_id.nunique(dropna=False)
