@@ -7,7 +7,7 @@ exact and frequent scores cost nothing. Running totals over it give every thresh
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -261,16 +261,25 @@ def block_performance(df: DataFrame, score: str, threshold: float, block_days: i
                     "precision", "recall"))
 
 
+def random_draws(boots: int, days: int, seed: int) -> np.ndarray:
+    """For each resample the places of its days, by a generator."""
+    return np.random.default_rng(seed).integers(0, days, (boots, days))
+
+
+def hashed_draws(boots: int, days: int, seed: int) -> np.ndarray:
+    """The same from a hash, so that any engine can repeat them."""
+    return np.array([[int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:8], 16) % days for j in range(days)] for b in range(boots)]).reshape(boots, days)
+
+
 def bootstrap_ranking(df: DataFrame, score: str, boots: int = 150, seed: int = 0, day: str = "day",
-                      label: str = LABEL) -> DataFrame:
+                      label: str = LABEL, drawn: Callable[[int, int, int], np.ndarray] = random_draws) -> DataFrame:
     """Average precision of each day-block resample.
 
     A resample is a multiplicity per day, so no row is copied: the (score, day) counts are sorted once, and the running totals of all
     resamples are arrays that go along.
     """
     days = sorted(r[0] for r in df.select(day).distinct().collect())  # one number per day
-    # the draws come from a hash, so that any engine can repeat them
-    draws = np.array([[int(hashlib.md5(f"{seed}|{b}|{j}".encode()).hexdigest()[:8], 16) % len(days) for j in range(len(days))] for b in range(boots)]).reshape(boots, len(days))
+    draws = drawn(boots, len(days), seed) if days else np.zeros((boots, 0), int)
     times = {d: row for d, row in zip(days, np.array([np.bincount(x, minlength=len(days)) for x in draws]).T)}
     shared = df.sparkSession.sparkContext.broadcast(times)
     counts = df.groupBy(F.col(score).cast("double").alias("s"), F.col(day).cast("long").alias("d")).agg(
@@ -311,7 +320,7 @@ def bootstrap_ranking(df: DataFrame, score: str, boots: int = 150, seed: int = 0
 
 def bootstrap_interval(df: DataFrame, score: str, boots: int = 150, seed: int = 0) -> DataFrame:
     """95 % interval of average precision; at most ``boots`` values reach the last step."""
-    return bootstrap_ranking(df, score, boots, seed).agg(
+    return bootstrap_ranking(df, score, boots, seed, drawn=hashed_draws).agg(
         F.percentile("pr_auc", F.lit(0.025)).alias("ci_low"), F.percentile("pr_auc", F.lit(0.975)).alias("ci_high"),
         F.count("*").alias("n_boot"))
 
