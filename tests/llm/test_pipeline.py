@@ -8,6 +8,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
+from ledgerlens.llm import jaccard, simhash
 from tests.llm.test_decontam import plain
 from tests.llm.test_jaccard import plain as plain_groups
 from tests.llm.test_pii import PATTERN
@@ -85,3 +86,25 @@ def test_empty(spark, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_through_fingerprints(spark, monkeypatch):
+    """Groups of near fingerprints are verified: texts with other sets stay, copies that fingerprints miss go, and a crowd is not compared again."""
+    chorus, words = "one two three four five six seven " * 300, [f"word{i}" for i in range(400)]
+    edited = [*words[:200], *[f"other{i}" for i in range(50)], *words[200:]]
+    texts = [chorus + " ".join(words[:14]), chorus + " ".join(words[20:34]), " ".join(words), " ".join(edited), None]
+    a, b, c, d = (simhash.fingerprint_of(t) for t in texts[:4])
+    assert (a ^ b).bit_count() <= simhash.RADIUS < (c ^ d).bit_count()
+    crowd = "the crowd of copies each with one more word of its own ".split()
+    texts += [" ".join([f"{w}{k}" for k in range(40) for w in crowd] + [f"own{i}"]) for i in range(60)]
+    rows, counts, possible = list(enumerate(texts)), [], jaccard._possible
+    assert plain_groups(rows) == {0, 1, 2, 4, 5}
+
+    def counted(sets, pairs, threshold):
+        counts.append(pairs.count())
+        return possible(sets, pairs, threshold)
+
+    monkeypatch.setattr(jaccard, "_possible", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ids(corpus_pipeline.one_of_each(spark, docs, SF).collect()) == {0, 1, 2, 4, 5}
+    assert counts[0] >= 60 and sum(counts[1:]) < 60
