@@ -60,13 +60,13 @@ def _at_each_slab(totals: DataFrame, rows: DataFrame, key: str, hot: HotKeys | N
     return totals.join(rows.select(key, "_slab_s", "_slab").distinct(), key)
 
 
-def partitions_for(df: DataFrame, rows: int) -> int:
-    """Partitions for windows over ``rows`` rows: what one task holds stays the same however many rows there are."""
-    return max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_PARTITION))
+def partitions_for(df: DataFrame, rows: int) -> int | None:
+    """Partitions for windows over ``rows`` rows: what one task holds stays the same however many rows there are. None if one task may hold them all."""
+    return None if rows <= ROWS_PER_PARTITION else max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS_PER_PARTITION))
 
 
 def _dealt(rows: DataFrame, parts: int | None, keys: list[str]) -> DataFrame:
-    return rows.repartition(parts, *keys) if parts else rows.repartition(*keys)
+    return rows.repartition(parts, *keys) if parts else rows
 
 
 def find_hot_spots(transactions: DataFrame, skew: Skew = Skew()) -> HotSpots:
@@ -194,7 +194,7 @@ def customer_history(rows: DataFrame, star: Star, hot: HotKeys | None, older: Ol
             pairs = older.pairs.where(F.col("dim") == d).select("customer_id", F.col("value").cast(slabs.schema[d].dataType).alias(d), F.col("n").alias(f"_w_{d}"),
                                                                 F.col("last").alias("ts_epoch"), F.lit(False).alias("_own"))
             rows = rows.unionByName(_at_each_slab(pairs, slabs, "customer_id", hot), allowMissingColumns=True)
-    rows = _dealt(rows, parts, keys)
+    rows = _dealt(rows, parts, keys) if parts else rows.repartition(*keys)
     rows = row_features(enrich_customer(rows, star))
     # Last time the same customer used the same merchant; same-second repeats are recognised by the id order.
     visits = Window.partitionBy(*keys, "merchant_id").orderBy("ts_epoch", "txn_id")
@@ -253,8 +253,8 @@ def _customer_windows(rows: DataFrame, hot: HotKeys | None, totals: DataFrame |
     if totals is not None:
         series = series.unionByName(totals, allowMissingColumns=True)
     keys = partition_keys("customer_id", hot)
-    if parts and (hot is not None or totals is not None):  # a union has lost the partitions
-        series = series.repartition(parts, *keys)
+    if hot is not None or totals is not None:  # a union has lost the partitions
+        series = _dealt(series, parts, keys)
     past = before(keys)
     # Growing sums, once per (weight, lag); lag 1 = strictly earlier, lag w + 1 = more than w seconds earlier.
     lags = {"_n": [1, *[w + 1 for w in VELOCITY.values()]], "_amt": [1, 3601, DAY + 1, 7 * DAY + 1],

@@ -125,7 +125,8 @@ def leakage_audit(star: Star, label_delay_days: int, cut_epoch: int, skew: Skew
         a, b = F.col(f"a.{f}").cast("double"), F.col(f"b.{f}").cast("double")
         different = different | (a.isNull() != b.isNull()) | F.coalesce(F.abs(a - b) > 1e-6, F.lit(False))
     parts = partitions_for(full, star.transactions.count())  # wide rows of both sides are sorted by id
-    full, part = full.repartition(parts, "txn_id"), part.repartition(parts, "txn_id")
+    if parts:
+        full, part = full.repartition(parts, "txn_id"), part.repartition(parts, "txn_id")
     joined = full.alias("a").join(part.alias("b"), F.col("a.txn_id") == F.col("b.txn_id"), "full")
     return joined.where(F.col("a.txn_id").isNull() | F.col("b.txn_id").isNull() | different).select(
         F.coalesce("a.txn_id", "b.txn_id").alias("txn_id"))
