@@ -1,5 +1,6 @@
 """Sources, SQL runner, training, reasons, backtest and the end-to-end run."""
 
+import re
 from dataclasses import replace
 
 import numpy as np
@@ -203,3 +204,12 @@ def test_unusual_behaviour_after_zero_amounts(spark):
     found = analytics.unusual_behaviour(Star(t, None, None, None, None), AnalyticsParams(burst_count=1)).collect()
     assert [(r.txn_id, r.flag) for r in found] == [(4, "velocity_burst"), (2, "spike+burst"), (6, "velocity_burst")]
     assert np.isnan(found[0].amount_vs_mean) and found[1].amount_vs_mean == np.inf and found[2].amount_vs_mean == 1.5
+
+
+def test_feature_rows_stay_out_of_one_generated_method(data):
+    """The method that reads all columns is one that the JVM compiles late or never, so Spark must not use it."""
+    from ledgerlens.session import TUNING
+
+    plan = data._sc._jvm.PythonSQLUtils.explainString(data._jdf.queryExecution(), "codegen")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert max(sizes) > int(TUNING["spark.sql.codegen.hugeMethodLimit"])
