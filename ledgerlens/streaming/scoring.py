@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgerlens.config import Settings
 from ledgerlens.operators.arrivals import first_seen, with_local_time
 from ledgerlens.operators.explain import with_reasons
-from ledgerlens.operators.features import FACT_COLUMNS, customer_history, enrich_event, merchant_history, partitions_for
+from ledgerlens.operators.features import (CUSTOMER_REACH, FACT_COLUMNS, customer_history, enrich_event, merchant_history, merchant_reach,
+                                            partitions_for)
 from ledgerlens.operators.quality import validate_rows
 from ledgerlens.operators.rules import rule_hits, rule_score
 from ledgerlens.operators.skew import find_hot_keys
@@ -66,12 +67,12 @@ def batch_features(star: Star, batch: DataFrame, settings: Settings, keep: list[
     arrived = batch.count()
     series = new.unionByName(slim.withColumn("is_new", F.lit(False)), allowMissingColumns=True)
     parts = partitions_for(batch, arrived + slim.count())
-    new = merchant_history(series, delay, find_hot_keys(series, "merchant_id", limit), older, parts).where("is_new")
+    new = merchant_history(series, delay, find_hot_keys(series, "merchant_id", limit, merchant_reach(delay)), older, parts).where("is_new")
 
     old = (past.by_customer if past else history_of(stored.select(*columns), batch, "customer_id")).withColumn("is_new", F.lit(False))
     parts = partitions_for(batch, arrived + old.count() + (older.pairs.count() if older else 0))  # a pair's total becomes a row
     series = new.unionByName(old, allowMissingColumns=True)
-    hot = find_hot_keys(series, "customer_id", limit)
+    hot = find_hot_keys(series, "customer_id", limit, CUSTOMER_REACH)
     out = customer_history(enrich_event(series, star), star, hot, older, parts).where("is_new")
     return out.select("txn_id", *[c for c in keep if c not in FEATURES], *FEATURES)
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.config import DAY, Skew
-from ledgerlens.operators.features import build_features
+from ledgerlens.operators.features import build_features, customer_series
 from ledgerlens.operators.quality import last_cut, leakage_audit
 from ledgerlens.schema import FEATURES
 
@@ -87,6 +87,17 @@ def test_hot_customer_and_merchant_with_ties(spark, star):
         assert x.merch_fraud_rate_matured == pytest.approx((known.is_fraud.sum() + 2) / (len(known) + 200))
 
 
+@pytest.mark.parametrize("step", [300, 1])
+def test_history_rows_do_not_outgrow_the_rows(spark, star, step):
+    """However low the row limit: slabs far shorter than the window would each repeat the rows of all of it."""
+    rows = spark.range(20_000).select(F.lit(7).alias("customer_id"), (F.col("id") * step).alias("ts_epoch"))
+    series, keys = customer_series(rows, ["customer_id", "ts_epoch"], 7 * DAY // 300 * step, Skew(rows_per_task=20))
+    counted = series.groupBy(F.col("_own")).count().collect()
+    found = {r["_own"]: r["count"] for r in counted}
+    assert keys == ["customer_id", "_slab"] and found[True] == 20_000 and 0 < found[False] <= 20_000
+    assert series.select("_slab").distinct().count() > 5
+
+
 def test_future_rows_change_nothing(star):
     assert leakage_audit(star, 2, last_cut(star.transactions)).count() == 0
 
